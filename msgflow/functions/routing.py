@@ -15,8 +15,8 @@ def effective_intent(intent: Column, confidence: Column, source: Column, sentime
     A null confidence counts as 0.0 and a null sentiment as not negative.
     """
     sure = F.coalesce(confidence, F.lit(0.0))
-    trusted = ~(source <=> F.lit("model")) | (sure >= confident) | (intent <=> F.lit("complaint"))
-    upset = (sure >= noise_floor) & (sentiment <=> F.lit(values.SENTIMENTS[0]))
+    trusted = ~(source.eqNullSafe(F.lit("model"))) | (sure >= confident) | (intent.eqNullSafe(F.lit("complaint")))
+    upset = (sure >= noise_floor) & (sentiment.eqNullSafe(F.lit(values.SENTIMENTS[0])))
     return F.when(trusted, intent).when(upset, "complaint").otherwise("out_of_scope")
 
 

@@ -99,7 +99,7 @@ def report_lines(report_df: DataFrame, name_width: int | None = None) -> DataFra
     body = report_df.select((number + F.when(F.col("position") == 0, 1).otherwise(2)).alias("line_no"),
                             line.alias("line"))
     titles = "".join(f"{t:>10}" for t in ("precision", "recall", "f1-score", "support"))
-    gap = report_df.agg((F.count_if("position = 0") + 2).cast("int").alias("line_no")).withColumn("line", F.lit(""))
+    gap = report_df.agg((F.count_if(F.expr("position = 0")) + 2).cast("int").alias("line_no")).withColumn("line", F.lit(""))
     spark = report_df.sparkSession
     head = spark.createDataFrame([(0, " " * (name_width + 1) + titles), (1, "")], "line_no int, line string")
     return head.unionByName(gap).unionByName(body).orderBy("line_no")

@@ -237,8 +237,8 @@ def split_overlap(df: DataFrame, text: str = "text", split: str = "split") -> Da
     """One row: exact texts shared by train and test, and by train and validation."""
     seen = df.groupBy(text).agg(*[F.max((F.col(split) == s).cast("int")).alias(s)
                                   for s in ("train", "val", "test")])
-    return seen.agg(F.count_if("train = 1 AND test = 1").alias("train_test"),
-                    F.count_if("train = 1 AND val = 1").alias("train_val"))
+    return seen.agg(F.count_if(F.expr("train = 1 AND test = 1")).alias("train_test"),
+                    F.count_if(F.expr("train = 1 AND val = 1")).alias("train_val"))
 
 
 def template_overlap(df: DataFrame, text: str = "text", split: str = "split") -> DataFrame:
@@ -248,8 +248,8 @@ def template_overlap(df: DataFrame, text: str = "text", split: str = "split") ->
     templates = templates.withColumn(text, normalise_placeholders(F.col(text)))
     seen = templates.groupBy(text).agg(*[F.max((F.col(split) == s).cast("int")).alias(s)
                                          for s in ("train", "test")])
-    totals = seen.agg(F.count_if("train = 1").alias("train_templates"),
-                      F.count_if("test = 1").alias("test_templates"),
-                      F.count_if("train = 1 AND test = 1").alias("shared_templates"))
+    totals = seen.agg(F.count_if(F.expr("train = 1")).alias("train_templates"),
+                      F.count_if(F.expr("test = 1")).alias("test_templates"),
+                      F.count_if(F.expr("train = 1 AND test = 1")).alias("shared_templates"))
     share = F.try_divide(F.col("shared_templates") * 100.0, F.col("test_templates"))
     return totals.withColumn("shared_percent", F.round(share, 1))

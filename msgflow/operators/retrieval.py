@@ -26,13 +26,14 @@ def _kernel(sparse: bool, k: int) -> tuple[Callable, Callable]:
     def ragged(column):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
-        parts = ([pa.compute.struct_field(column, name) for name in ("indices", "values")]
+        parts = ([pc.struct_field(column, name) for name in ("indices", "values")]
                  if sparse else [column])
-        lengths = pa.compute.list_value_length(parts[0]).fill_null(0).to_numpy(zero_copy_only=False)
-        flat = [pa.compute.list_flatten(p).to_numpy(zero_copy_only=False) for p in parts]
+        lengths = pc.list_value_length(parts[0]).fill_null(0).to_numpy(zero_copy_only=False)
+        flat = [pc.list_flatten(p).to_numpy(zero_copy_only=False) for p in parts]
         return lengths.astype(np.int64), [flat[0].astype(np.int64) if sparse else flat[0].astype(np.float64),
                                           *[f.astype(np.float64) for f in flat[1:]]]
 
