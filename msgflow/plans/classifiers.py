@@ -18,6 +18,7 @@ from msgflow.operators.prepare import clean_rows, mapped, short_spans
 from msgflow.staging import spread, stage
 
 UNKNOWN_LANGUAGE = "unknown"
+ROWS_PER_TASK = 2_000  # at least, when a model is fitted
 
 
 @dataclass
@@ -83,12 +84,14 @@ def training_vectors(df: DataFrame, text: str, label: str, labels: list[str],
     return stage(rows.select("features", target.alias("target"), weight.alias("weight")), "training-vectors")
 
 
-def fit_linear(vectors: DataFrame, c: float, max_iter: int = 1000, tol: float = 1e-6) -> LogisticRegressionModel:
+def fit_linear(vectors: DataFrame, c: float, max_iter: int = 1000, tol: float = 1e-4) -> LogisticRegressionModel:
     """Minimise c * sum(w * loss) + |coefficients|^2 / 2, intercepts free.
 
     Spark averages the loss over the weights, so the penalty is 1 / (c * sum(w)).
     """
-    total = vectors.agg(F.sum("weight")).first()[0]
+    rows, total = vectors.agg(F.count("*"), F.sum("weight")).first()
+    # Every iteration is a job: a small table in few partitions saves most of its cost.
+    vectors = vectors.coalesce(min(vectors.rdd.getNumPartitions(), rows // ROWS_PER_TASK + 1))
     return LogisticRegression(
         featuresCol="features", labelCol="target", weightCol="weight", family="multinomial",
         regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False,
