@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.preparation import pairs, split_documents
-from catalog.registry import query, table
+from catalog.registry import SQL_DECORATED, decorated, query, sql_clean_intent, sql_clean_language, table
 from catalog.retrieval import knowledge_base
-from catalog.routes import chatty
+from catalog.routes import SQL_CHATTY, chatty, sql_small_talk
 from msgflow.examples import intent_examples, sentiment_examples
 from msgflow.functions.text import clean_intent_text
 from msgflow.operators import evaluate, prepare
@@ -121,6 +121,15 @@ def predict_language(spark, sf_dir):
     return K.predict_language(rows, language_model(spark, sf_dir)).select("doc_id", "lang", "language", "language_confidence")
 
 
+@query("f9_blank_language", f"""
+WITH {SQL_DECORATED} SELECT doc_id, {sql_clean_language('text')} = '' AS unknown FROM decorated""")
+def blank_language(spark, sf_dir):
+    """Texts with nothing left after cleaning are unknown with confidence 0, and no others."""
+    rows = spread(decorated(table(spark, sf_dir, "documents")).select("doc_id", "text"))
+    scored = K.predict_language(rows, language_model(spark, sf_dir))
+    return scored.select("doc_id", ((F.col("language") == "unknown") & (F.col("language_confidence") == 0)).alias("unknown"))
+
+
 @query("f10_predict_sentiment")
 def predict_sentiment(spark, sf_dir):
     rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -133,6 +142,16 @@ def predict_intent(spark, sf_dir):
         "message_id", "intent", "intent_confidence", "intent_source")
 
 
+@query("f12_rule_first", f"""
+WITH {SQL_CHATTY}, ruled AS (SELECT message_id, {sql_small_talk(sql_clean_intent('text'))} AS talk FROM chatty)
+SELECT message_id, CASE WHEN talk IS NULL THEN 'model' ELSE 'rule' END AS intent_source, coalesce(talk, '') AS talk FROM ruled""")
+def rule_first(spark, sf_dir):
+    """Where the rule hits it decides, with confidence 1; everywhere else the model does."""
+    rows = predict_intent(spark, sf_dir)
+    ruled = (F.col("intent_source") == "rule") & (F.col("intent_confidence") == 1.0)
+    return rows.select("message_id", "intent_source", F.when(ruled, F.col("intent")).otherwise("").alias("talk"))
+
+
 @query("f14_score_test_table")
 def score_test_table(spark, sf_dir):
     """The report of the language model on the held-out rows."""
@@ -140,13 +159,16 @@ def score_test_table(spark, sf_dir):
     return evaluate.report(language_model(spark, sf_dir).score(prepare.clean_rows(test), "text"))
 
 
-@query("s6_saved_classifier")
+@query("s6_saved_classifier", f"WITH {SQL_CHATTY} SELECT message_id, true AS same FROM chatty")
 def saved_classifier(spark, sf_dir):
-    """Scores of a model that was saved, loaded, saved again and loaded again."""
+    """A model that was saved and loaded scores every message as before."""
     path = new_path(spark, "model-copy")
-    intent_model(spark, sf_dir).save(path)
-    return K.TextClassifier.load(spark, path).score(spread(chatty(spark, sf_dir)), "text").select(
-        "message_id", "prediction", "confidence")
+    model = intent_model(spark, sf_dir)
+    model.save(path)
+    rows = model.score(spread(chatty(spark, sf_dir)), "text", "before", "sure_before")
+    rows = K.TextClassifier.load(spark, path).score(rows, "text", "after", "sure_after")
+    same = (F.col("before") == F.col("after")) & (F.col("sure_before") == F.col("sure_after"))
+    return rows.select("message_id", same.alias("same"))
 
 
 @query("c7_answer_messages")

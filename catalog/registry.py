@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from msgflow.functions.terms import once
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -79,11 +81,8 @@ def vote(text):
             gone = F.length(padded) - F.length(F.replace(padded, F.lit(f" {w} "), F.lit("")))
             n = n + gone
         counts.append(n)
-    best = F.greatest(*counts)
-    guess = F.lit(None).cast("string")
-    for name, n in reversed(list(zip(VOTE_WORDS, counts))):
-        guess = F.when(n == best, name).otherwise(guess)
-    return guess
+    names = F.array(*[F.lit(name) for name in VOTE_WORDS])
+    return once(F.array(*counts), lambda n: F.element_at(names, F.array_position(n, F.array_max(n)).cast("int")))
 
 
 def sql_vote(text: str) -> str:

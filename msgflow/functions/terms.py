@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, functions as F, types as T
 
@@ -15,6 +17,11 @@ _PARTS = T.StructType([
 ])
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def char_terms(text: Column, min_n: int = 1, max_n: int = 3) -> Column:
     """Character n-grams inside words padded with one space on each side.
 
@@ -25,17 +32,24 @@ def char_terms(text: Column, min_n: int = 1, max_n: int = 3) -> Column:
     """
     if not 1 <= min_n <= 3 or max_n < min_n:
         raise ValueError("n-gram sizes need 1 <= min_n <= 3 and min_n <= max_n")
-    plain = collapse_spaces(F.lower(F.coalesce(text, F.lit(""))))
-    laid_out = F.concat(F.lit(" "), F.replace(plain, F.lit(" "), F.lit("  ")), F.lit(" "))
     one = r"[^\p{Cs}]"
 
-    def grams(n: int) -> Column:
-        if n == 1:
-            return F.split(laid_out, "")
-        return F.regexp_extract_all(laid_out, F.lit(f"(?=((?:(?!  ){one}){{{n - 1}}}{one}))"), 1)
+    def grams(laid_out: Column) -> Column:
+        found = []
+        for n in range(min_n, max_n + 1):
+            if n == 1:
+                found.append(F.split(laid_out, ""))
+            else:
+                window = f"(?=((?:(?!  ){one}){{{n - 1}}}{one}))"
+                found.append(F.regexp_extract_all(laid_out, F.lit(window), 1))
+        return F.concat(*found)
 
-    found = F.concat(*[grams(n) for n in range(min_n, max_n + 1)])
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(found)
+    def lay_out(plain: Column) -> Column:
+        return F.concat(F.lit(" "), F.replace(plain, F.lit(" "), F.lit("  ")), F.lit(" "))
+
+    none = F.array().cast("array<string>")
+    plain = collapse_spaces(F.lower(F.coalesce(text, F.lit(""))))
+    return once(plain, lambda p: F.when(p == "", none).otherwise(once(lay_out(p), grams)))
 
 
 def word_terms(text: Column, max_n: int = 2, max_words: int | None = None) -> Column:
@@ -43,18 +57,20 @@ def word_terms(text: Column, max_n: int = 2, max_words: int | None = None) -> Co
 
     ``max_words`` cuts the token list first (the input length of a model).
     """
+    none = F.array().cast("array<string>")
+
+    def runs(tokens: Column) -> Column:
+        found = [tokens]
+        for n in range(2, max_n + 1):
+            # Joined neighbour by neighbour; the padding at the end gives nulls.
+            tail = F.when(F.size(tokens) >= n, F.slice(tokens, n, F.size(tokens))).otherwise(none)
+            joined = F.zip_with(found[-1], tail, lambda a, b: F.concat(a, F.lit(" "), b))
+            found.append(F.filter(joined, lambda g: g.isNotNull()))
+        return F.concat(*found)
+
     lowered = F.lower(F.coalesce(text, F.lit("")))
     tokens = F.regexp_extract_all(lowered, F.lit(f"{WORD}{{2,}}"), 0)
-    if max_words is not None:
-        tokens = F.slice(tokens, 1, max_words)
-    runs = [tokens]
-    for n in range(2, max_n + 1):
-        # Joined neighbour by neighbour; the padding at the end gives nulls.
-        tail = F.when(F.size(tokens) >= n, F.slice(tokens, n, F.size(tokens)))
-        joined = F.zip_with(runs[-1], F.coalesce(tail, F.array().cast("array<string>")),
-                            lambda a, b: F.concat(a, F.lit(" "), b))
-        runs.append(F.filter(joined, lambda g: g.isNotNull()))
-    return F.concat(*runs)
+    return once(tokens if max_words is None else F.slice(tokens, 1, max_words), runs)
 
 
 # Spark has no expression that opens or builds a sparse ML vector; JSON carries

@@ -17,6 +17,15 @@ SPLIT_BUCKETS = 4  # hex digits: 65,536 buckets per class
 # ------------------------------------------------------------------ cleaning
 
 
+def computed_once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Add a costly column that a later filter does not make Spark compute again.
+
+    A filter moves below a projection and takes a copy of its expressions along;
+    it stays above a generator.
+    """
+    return df.select("*", F.explode(F.array(column)).alias(name))
+
+
 def clean_rows(df: DataFrame, text: str = "text",
                cleaner: Callable[[Column], Column] = clean_language_text,
                observation: Observation | None = None) -> DataFrame:
@@ -24,7 +33,7 @@ def clean_rows(df: DataFrame, text: str = "text",
 
     ``observation`` receives ``n_dropped`` when the result is first used.
     """
-    cleaned = df.withColumn(text, cleaner(F.col(text)))
+    cleaned = computed_once(df, "_cleaned", cleaner(F.col(text))).withColumn(text, F.col("_cleaned")).drop("_cleaned")
     if observation is not None:
         cleaned = cleaned.observe(observation, F.count_if(F.length(text) == 0).alias("n_dropped"))
     return cleaned.where(F.length(text) > 0)
@@ -205,7 +214,7 @@ def short_spans(df: DataFrame, id_col: str, text: str = "text", label: str = "la
     A row needs more than ``min_words`` words.  The length is uniform up to
     ``max_words``; with probability ``start_share`` the span begins the text.
     """
-    parts = df.select(F.col(id_col), F.col(label), words(F.col(text)).alias("_words"))
+    parts = computed_once(df, "_words", words(F.col(text))).select(id_col, label, "_words")
     parts = parts.where(F.size("_words") > min_words)
     parts = parts.withColumn("span_no", F.explode(F.sequence(F.lit(1), F.lit(spans_per_row))))
     key = [F.col(id_col), F.col("span_no")]
