@@ -9,7 +9,7 @@ from msgflow.operators import evaluate
 
 
 def voted(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]).select(
         "doc_id", "text", F.col("lang").alias("label"), vote(F.col("text")).alias("prediction"))
 
 

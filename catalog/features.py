@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from catalog.registry import WORD, query, sql_collapse, table
 from msgflow.operators.features import INTENT_TERMS, LANGUAGE_TERMS, TermRule, TfIdf, class_weights
-from msgflow.staging import spread
 
 
 def sql_char_terms(source: str, id_col: str, text: str, max_n: int = 3) -> str:
@@ -42,7 +41,7 @@ def sql_weights(counted: str, sublinear: bool, name: str = "weights") -> str:
 
 
 def documents(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return table(spark, sf_dir, "documents", ["doc_id", "text"])
 
 
 def _vocabulary(spark, sf_dir, rule: TermRule):

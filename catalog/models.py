@@ -19,7 +19,7 @@ from msgflow.plans import classifiers as K
 from msgflow.plans.knowledge import build_vectors
 from msgflow.plans.message_flow import MessageModels, answer_messages
 from msgflow.sources.tables import add_sentiment_examples
-from msgflow.staging import new_path, spread, stage
+from msgflow.staging import new_path, stage
 from msgflow.streaming.messages import answer_stream
 
 _saved: dict[tuple, str] = {}
@@ -57,7 +57,7 @@ def intent_rows(spark, sf_dir):
 
 def sentiment_rows(spark, sf_dir):
     """Labelled documents as emotions: toxic is anger, poor quality surprise, the rest joy."""
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    rows = table(spark, sf_dir, "documents", ["doc_id", "text"]).join(table(spark, sf_dir, "labels"), "doc_id")
     rows = rows.withColumn("label", F.when(F.col("toxic") == 1, 3).when(F.col("quality") == 0, 5).otherwise(1))
     rows = prepare.map_emotions(rows).select("doc_id", "text", "emotion", "sentiment", "sentiment_id")
     rows = prepare.stratified_split(stage(rows, "sentiment-rows"), "doc_id", "sentiment")
@@ -95,17 +95,17 @@ def message_models(spark, sf_dir) -> MessageModels:
 @query("f4_language_training")
 def language_training(spark, sf_dir):
     """Accuracy of the language model on each split, the augmented rows left out."""
-    return K.split_accuracy(language_model(spark, sf_dir), spread(language_rows(spark, sf_dir)), "text", "label")
+    return K.split_accuracy(language_model(spark, sf_dir), language_rows(spark, sf_dir), "text", "label")
 
 
 @query("f5_intent_training")
 def intent_training(spark, sf_dir):
-    return K.split_accuracy(intent_model(spark, sf_dir), spread(intent_rows(spark, sf_dir)), "text", "routing_intent")
+    return K.split_accuracy(intent_model(spark, sf_dir), intent_rows(spark, sf_dir), "text", "routing_intent")
 
 
 @query("f6_sentiment_training")
 def sentiment_training(spark, sf_dir):
-    return K.split_accuracy(sentiment_model(spark, sf_dir), spread(sentiment_rows(spark, sf_dir)), "text", "sentiment")
+    return K.split_accuracy(sentiment_model(spark, sf_dir), sentiment_rows(spark, sf_dir), "text", "sentiment")
 
 
 @query("f7_best_candidate")
@@ -117,7 +117,7 @@ def best_candidate(spark, sf_dir):
 
 @query("f9_predict_language")
 def predict_language(spark, sf_dir):
-    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    rows = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
     return K.predict_language(rows, language_model(spark, sf_dir)).select("doc_id", "lang", "language", "language_confidence")
 
 
@@ -125,20 +125,20 @@ def predict_language(spark, sf_dir):
 WITH {SQL_DECORATED} SELECT doc_id, {sql_clean_language('text')} = '' AS unknown FROM decorated""")
 def blank_language(spark, sf_dir):
     """Texts with nothing left after cleaning are unknown with confidence 0, and no others."""
-    rows = spread(decorated(table(spark, sf_dir, "documents")).select("doc_id", "text"))
+    rows = decorated(table(spark, sf_dir, "documents", ["doc_id", "text"]))
     scored = K.predict_language(rows, language_model(spark, sf_dir))
     return scored.select("doc_id", ((F.col("language") == "unknown") & (F.col("language_confidence") == 0)).alias("unknown"))
 
 
 @query("f10_predict_sentiment")
 def predict_sentiment(spark, sf_dir):
-    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = table(spark, sf_dir, "documents", ["doc_id", "text"])
     return K.predict_sentiment(rows, sentiment_model(spark, sf_dir)).select("doc_id", "sentiment", "sentiment_confidence")
 
 
 @query("f12_predict_intent")
 def predict_intent(spark, sf_dir):
-    return K.predict_intent(spread(chatty(spark, sf_dir)), intent_model(spark, sf_dir)).select(
+    return K.predict_intent(chatty(spark, sf_dir), intent_model(spark, sf_dir)).select(
         "message_id", "intent", "intent_confidence", "intent_source")
 
 
@@ -155,7 +155,7 @@ def rule_first(spark, sf_dir):
 @query("f14_score_test_table")
 def score_test_table(spark, sf_dir):
     """The report of the language model on the held-out rows."""
-    test = spread(language_rows(spark, sf_dir).where("split = 'test'"))
+    test = language_rows(spark, sf_dir).where("split = 'test'")
     return evaluate.report(language_model(spark, sf_dir).score(prepare.clean_rows(test), "text"))
 
 
@@ -165,7 +165,7 @@ def saved_classifier(spark, sf_dir):
     path = new_path(spark, "model-copy")
     model = intent_model(spark, sf_dir)
     model.save(path)
-    rows = model.score(spread(chatty(spark, sf_dir)), "text", "before", "sure_before")
+    rows = model.score(chatty(spark, sf_dir), "text", "before", "sure_before")
     rows = K.TextClassifier.load(spark, path).score(rows, "text", "after", "sure_after")
     same = (F.col("before") == F.col("after")) & (F.col("sure_before") == F.col("sure_after"))
     return rows.select("message_id", same.alias("same"))
@@ -174,7 +174,7 @@ def saved_classifier(spark, sf_dir):
 @query("c7_answer_messages")
 def answers(spark, sf_dir):
     """Every user turn through the three models, routing, retrieval and reply."""
-    messages = spread(chatty(spark, sf_dir).select("message_id", "conv_id", "text"))
+    messages = chatty(spark, sf_dir).select("message_id", "conv_id", "text")
     return answer_messages(messages, message_models(spark, sf_dir))
 
 

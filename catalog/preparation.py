@@ -17,7 +17,7 @@ RAW_INTENTS = list(values.RAW_INTENT_ROUTING)
 
 def pairs(spark, sf_dir):
     """Question/answer pairs out of the conversations; intent and category stand in."""
-    turns = pairs_from_turns(table(spark, sf_dir, "conversations"))
+    turns = pairs_from_turns(table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))
     number = (F.col("conv_id") % len(RAW_INTENTS) + 1).cast("int")
     return turns.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("id"), "instruction", "response",
                         F.element_at(F.array(*[F.lit(x) for x in RAW_INTENTS]), number).alias("intent"),
@@ -84,7 +84,7 @@ split_rows AS (
 
 
 def split_documents(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    documents = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
     return prepare.stratified_split(documents, "doc_id", "lang")
 
 
@@ -153,7 +153,7 @@ begun AS (SELECT *, CASE WHEN {sql_draw(42, 'front', 'doc_id', 'span_no')} / 429
   ELSE {sql_draw(42, 'start', 'doc_id', 'span_no')} % ({_N} - n + 1) END AS s FROM sized)
 SELECT doc_id, span_no, array_to_string(list_slice(w, s + 1, s + n), ' ') AS text, lang FROM begun""")
 def short_spans(spark, sf_dir):
-    documents = prepare.clean_rows(table(spark, sf_dir, "documents"))
+    documents = prepare.clean_rows(table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
     return prepare.short_spans(documents, "doc_id", "text", "lang", spans_per_row=2)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from msgflow.functions.terms import once
+from msgflow.staging import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,8 +25,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """A given table; text-heavy callers name their columns and get the rows spread over all cores."""
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return scan if columns is None else spread(scan.select(*columns))
 
 
 # Unicode whitespace and word characters for DuckDB's regular expressions.

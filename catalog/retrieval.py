@@ -18,7 +18,7 @@ def knowledge_base(spark, sf_dir):
 
 
 def user_turns(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    turns = table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]).where(F.col("role") == "user")
     return turns.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("query_id"), "text")
 
 
@@ -90,7 +90,7 @@ def dense_top_k(spark, sf_dir):
 @query("r3_dense_top_k_blocks", f"{_DENSE} SELECT query_id, rank::INT AS rank, doc_id, similarity_score FROM ranked WHERE rank <= 5")
 def dense_top_k_blocks(spark, sf_dir):
     """The way beyond the broadcast limit, with small blocks."""
-    return _dense(spark, sf_dir, 5, broadcast_bytes=0, block_bytes=64_000, chunk_queries=200)
+    return _dense(spark, sf_dir, 5, broadcast_bytes=0, block_bytes=64_000, chunk_bytes=100_000)
 
 
 SQL_TEXT_HITS = f"""{SQL_KB_WEIGHTS},
@@ -116,7 +116,7 @@ def text_top_k(spark, sf_dir):
 
 @query("r3_text_top_k_blocks", f"WITH {SQL_TEXT_HITS} SELECT query_id, rank::INT AS rank, doc_id, similarity_score FROM hits")
 def text_top_k_blocks(spark, sf_dir):
-    return _text_hits(spark, sf_dir, broadcast_bytes=0, block_bytes=100_000, chunk_queries=100)[1]
+    return _text_hits(spark, sf_dir, broadcast_bytes=0, block_bytes=100_000, chunk_bytes=100_000)[1]
 
 
 @query("r4_retrieved_documents", f"""

@@ -22,7 +22,7 @@ ALONE = 3  # every third message is its opening and nothing else
 
 def chatty(spark, sf_dir):
     """User turns that start with small talk, or are nothing but small talk, by (conv_id, turn)."""
-    turns = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    turns = table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]).where(F.col("role") == "user")
     n = F.col("conv_id") * 7 + F.col("turn")
     opening = F.element_at(F.array(*[F.lit(x) for x in OPENINGS]), (n % len(OPENINGS) + 1).cast("int"))
     text = F.when(n % ALONE == 0, opening).otherwise(F.concat(opening, F.col("text")))

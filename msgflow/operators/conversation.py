@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from msgflow.staging import stage
+
 TURN_BLOCK = 100_000  # turns of one conversation that a single task orders
 
 
@@ -32,18 +34,22 @@ def previous_value(df: DataFrame, group: str, order: str, value: str, output: st
     """Add the value of the row before in its group, null for the first row.
 
     A group is cut into blocks of its integer order column, so that a task
-    orders at most ``block`` rows of it however long it is; the last row of a
-    block is handed on to the next one.
+    orders at most ``block`` rows of it however long it is.  The first row of a
+    later block takes its value from the row that ends the block before; a small
+    staged table names those rows, and it is empty unless a group is that long.
     """
     cut = df.withColumn("_block", F.floor(F.col(order) / block))
+    ends = cut.groupBy(group, "_block").agg(F.max(order).alias("_end"))
+    across = Window.partitionBy(group).orderBy("_block")  # one row per block
+    handed = (ends.withColumn("_before", F.lag("_end").over(across)).where(F.col("_before").isNotNull())
+              .select(F.col(group).alias("_group"), F.col("_block").alias("_next"), "_before"))
+    handed = stage(handed, "block-ends")
+    carried = (df.select(group, F.col(order).alias("_before"), F.col(value).alias("_carried"))
+               .join(handed.withColumnRenamed("_group", group), [group, "_before"])
+               .select(group, F.col("_next").alias("_block"), "_carried"))
     inside = Window.partitionBy(group, "_block").orderBy(order)
     cut = (cut.withColumn(output, F.lag(value).over(inside))
-           .withColumn("_first", F.lag(order).over(inside).isNull())
-           .withColumn("_last", F.lead(order).over(inside).isNull()))
-    across = Window.partitionBy(group).orderBy("_block")  # one row per block
-    carried = (cut.where("_last").select(group, "_block", F.col(value).alias("_value"))
-               .withColumn("_carried", F.lag("_value").over(across))
-               .where(F.col("_carried").isNotNull()).select(group, "_block", "_carried"))
+           .withColumn("_first", F.lag(order).over(inside).isNull()))
     out = cut.join(carried, [group, "_block"], "left")
     picked = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col(output))
     return out.withColumn(output, picked).select(*df.columns, output)

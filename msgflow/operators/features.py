@@ -48,13 +48,13 @@ def term_counts(df: DataFrame, text: str, rule: TermRule) -> DataFrame:
                  F.count_if(F.col("_distinct") == 1).alias("n_docs")))
 
 
-def fit_terms(df: DataFrame, text: str, rule: TermRule) -> DataFrame:
+def fit_terms(df: DataFrame, text: str, rule: TermRule, n_rows: int | None = None) -> DataFrame:
     """The vocabulary, staged: (idx, term, total, n_docs, idf).
 
     Terms in fewer than ``min_df`` texts go first, then the ``max_features`` of
     the highest total stay, ties by term; idx follows the term order.
     """
-    n_rows = df.select(F.count("*")).scalar()
+    n_rows = df.select(F.count("*")).scalar() if n_rows is None else F.lit(n_rows)
     top = (term_counts(df, text, rule).where(F.col("n_docs") >= rule.min_df)
            .orderBy(F.desc("total"), "term").limit(rule.max_features))
     # At most max_features rows are left for this window.
@@ -76,8 +76,8 @@ class TfIdf:
         self.idf = [r["idf"] for r in rows]
 
     @classmethod
-    def fit(cls, df: DataFrame, text: str, rule: TermRule) -> TfIdf:
-        return cls(rule, fit_terms(df, text, rule))
+    def fit(cls, df: DataFrame, text: str, rule: TermRule, n_rows: int | None = None) -> TfIdf:
+        return cls(rule, fit_terms(df, text, rule, n_rows))
 
     def vectors(self, df: DataFrame, text: str, output: str = "features") -> DataFrame:
         """Add the TF-IDF vector (Spark ML, sparse, L2 norm 1 or no terms at all)."""

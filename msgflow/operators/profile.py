@@ -30,7 +30,7 @@ def class_counts(df: DataFrame, label: str, top: int | None = None) -> DataFrame
 def class_shares(df: DataFrame, label: str) -> DataFrame:
     """(label, n, percent): percent of all rows, rows without a label included."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    total = counts.select(F.sum("n")).scalar()
+    total = df.select(F.count("*")).scalar()
     return (counts.where(F.col(label).isNotNull())
             .select(label, "n", F.round(F.col("n") * 100.0 / total, 2).alias("percent")))
 

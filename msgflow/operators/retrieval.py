@@ -13,11 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from msgflow import values
-from msgflow.staging import spread
 
 BROADCAST_BYTES = 256 * 1024 * 1024  # vector tables up to this size go to every executor
 BLOCK_BYTES = 64 * 1024 * 1024       # larger ones are searched in blocks of about this size
-CHUNK_QUERIES = 50_000               # against chunks of about as many queries
+CHUNK_BYTES = 64 * 1024 * 1024       # against chunks of queries of about this size
 
 
 def _kernel(sparse: bool, k: int) -> tuple[Callable, Callable]:
@@ -143,15 +142,15 @@ def _top_k_broadcast(queries: DataFrame, vectors: DataFrame, k: int, query_id: s
                 [batch.column(0).take(pa.array(row)), pa.array(rank, pa.int32()), pa.array(doc, pa.int64()),
                  pa.array(score, pa.float64())], names=[query_id, "rank", "doc_id", "similarity_score"])
 
-    return spread(queries.select(query_id, "embedding")).mapInArrow(run, _hits_schema(queries, query_id))
+    return queries.select(query_id, "embedding").mapInArrow(run, _hits_schema(queries, query_id))
 
 
 def _top_k_blocks(queries: DataFrame, vectors: DataFrame, k: int, query_id: str,
-                  total_bytes: int, block_bytes: int, chunk_queries: int) -> DataFrame:
+                  total_bytes: int, block_bytes: int, chunk_bytes: int) -> DataFrame:
     """Every (query chunk, vector block) cell is one bounded group that keeps its k best;
     a query's candidates, k per block, are then merged."""
     n_blocks = max(1, -(-total_bytes // block_bytes))
-    n_chunks = max(1, -(-queries.count() // chunk_queries))
+    n_chunks = max(1, -(-vector_bytes(queries) // chunk_bytes))
 
     def cells(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         out = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int"))
@@ -182,7 +181,7 @@ def _top_k_blocks(queries: DataFrame, vectors: DataFrame, k: int, query_id: str,
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = values.SEARCH_TOP_K, query_id: str = "query_id",
           broadcast_bytes: int = BROADCAST_BYTES, block_bytes: int = BLOCK_BYTES,
-          chunk_queries: int = CHUNK_QUERIES) -> DataFrame:
+          chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(query_id, rank, doc_id, similarity_score): the k best documents of each query.
 
     Fewer than k rows only if the table holds fewer than k documents.  The
@@ -192,7 +191,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = values.SEARCH_TOP_K,
     size = vector_bytes(vectors)
     if size <= broadcast_bytes:
         return _top_k_broadcast(queries, vectors, k, query_id)
-    return _top_k_blocks(queries, vectors, k, query_id, size, block_bytes, chunk_queries)
+    return _top_k_blocks(queries, vectors, k, query_id, size, block_bytes, chunk_bytes)
 
 
 def with_documents(hits: DataFrame, knowledge_base: DataFrame, query_id: str = "query_id",

@@ -12,10 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from msgflow.functions.smalltalk import small_talk
 from msgflow.functions.text import clean_intent_text, clean_language_text
 from msgflow.operators import evaluate
-from msgflow.operators.evaluate import class_list
 from msgflow.operators.features import (INTENT_TERMS, LANGUAGE_TERMS, SENTIMENT_TERMS, TermRule, TfIdf)
 from msgflow.operators.prepare import clean_rows, mapped, short_spans
-from msgflow.staging import spread, stage
+from msgflow.staging import new_path, stage
 
 UNKNOWN_LANGUAGE = "unknown"
 ROWS_PER_TASK = 2_000  # at least, when a model is fitted
@@ -70,17 +69,26 @@ _ABOUT = ("labels array<string>, analyzer string, max_n int, max_features int, m
           "sublinear boolean, max_words int")
 
 
-def training_vectors(df: DataFrame, text: str, label: str, labels: list[str],
+def class_sizes(df: DataFrame, label: str) -> dict[str, int]:
+    """Rows per class, in label order; an error if there are too many values, or only one, to be classes."""
+    rows = (df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+            .limit(evaluate.MAX_CLASSES + 1).collect())
+    if len(rows) > evaluate.MAX_CLASSES:
+        raise ValueError(f"More than {evaluate.MAX_CLASSES} classes in {label}.")
+    if len(rows) < 2:
+        raise ValueError(f"A classifier needs at least two classes in {label}.")
+    return dict(sorted((r[label], r["n"]) for r in rows))
+
+
+def training_vectors(df: DataFrame, text: str, label: str, sizes: dict[str, int],
                      features: TfIdf, balanced: bool) -> DataFrame:
     """(features, target, weight), staged: the optimiser reads it again and again."""
-    rows = features.vectors(df.where(F.col(label).isNotNull()), text)
-    target = mapped(F.col(label), {c: float(i) for i, c in enumerate(labels)})
+    target = mapped(F.col(label), {c: float(i) for i, c in enumerate(sizes)})
     weight = F.lit(1.0)
     if balanced:
-        # One count per class; the number of classes is checked by class_list.
-        counts = {r[label]: r["count"] for r in df.where(F.col(label).isin(labels)).groupBy(label).count().collect()}
-        n = sum(counts.values())
-        weight = mapped(F.col(label), {c: n / (len(counts) * k) for c, k in counts.items()})
+        n = sum(sizes.values())
+        weight = mapped(F.col(label), {c: n / (len(sizes) * k) for c, k in sizes.items()})
+    rows = features.vectors(df.where(F.col(label).isNotNull()), text)
     return stage(rows.select("features", target.alias("target"), weight.alias("weight")), "training-vectors")
 
 
@@ -92,23 +100,25 @@ def fit_linear(vectors: DataFrame, c: float, max_iter: int = 1000, tol: float =
     rows, total = vectors.agg(F.count("*"), F.sum("weight")).first()
     # Every iteration is a job: a small table in few partitions saves most of its cost.
     vectors = vectors.coalesce(min(vectors.rdd.getNumPartitions(), rows // ROWS_PER_TASK + 1))
-    return LogisticRegression(
+    model = LogisticRegression(
         featuresCol="features", labelCol="target", weightCol="weight", family="multinomial",
         regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False,
         maxIter=max_iter, tol=tol,
     ).fit(vectors)
+    # Read back, the model no longer drags its training summary into every task.
+    path = new_path(vectors.sparkSession, "fitted")
+    model.write().save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def fit_classifier(df: DataFrame, text: str, label: str, rule: TermRule, c: float = 1.0,
                    balanced: bool = False, max_iter: int = 1000) -> TextClassifier:
     """Fit vocabulary and model on ``df`` and nothing else."""
-    labels = class_list(df, label)
-    if len(labels) < 2:
-        raise ValueError(f"A classifier needs at least two classes in {label}.")
-    df = spread(df)
-    features = TfIdf.fit(df, text, rule)
-    vectors = training_vectors(df, text, label, labels, features, balanced)
-    return TextClassifier(features, labels, fit_linear(vectors, c, max_iter))
+    df = df.where(F.col(label).isNotNull())
+    sizes = class_sizes(df, label)
+    features = TfIdf.fit(df, text, rule, sum(sizes.values()))
+    vectors = training_vectors(df, text, label, sizes, features, balanced)
+    return TextClassifier(features, list(sizes), fit_linear(vectors, c, max_iter))
 
 
 # ------------------------------------------------------------ the three models
@@ -123,7 +133,7 @@ def language_training_rows(train: DataFrame, id_col: str = "id", text: str = "te
 
 
 def train_language(train: DataFrame, id_col: str = "id", text: str = "text", label: str = "label") -> TextClassifier:
-    rows = language_training_rows(spread(train), id_col, text, label)
+    rows = language_training_rows(train, id_col, text, label)
     return fit_classifier(rows, text, label, LANGUAGE_TERMS, c=10.0)
 
 
@@ -135,13 +145,12 @@ def train_intent(train: DataFrame, text: str = "text", label: str = "routing_int
 def train_sentiment(train: DataFrame, val: DataFrame, text: str = "text", label: str = "sentiment",
                     penalties: tuple[float, ...] = (0.1, 1.0, 10.0)) -> tuple[TextClassifier, list[dict]]:
     """Weighted loss; keeps the candidate with the best validation macro-F1, the first on a tie."""
-    labels = class_list(train, label)
-    train, val = spread(train), spread(val)
+    sizes = class_sizes(train, label)
     features = TfIdf.fit(train, text, SENTIMENT_TERMS)
-    vectors = training_vectors(train, text, label, labels, features, balanced=True)
+    vectors = training_vectors(train, text, label, sizes, features, balanced=True)
     tried, best = [], None
     for c in penalties:
-        candidate = TextClassifier(features, labels, fit_linear(vectors, c))
+        candidate = TextClassifier(features, list(sizes), fit_linear(vectors, c))
         scores = evaluate.macro_scores(candidate.score(val, text), label).first().asDict()
         tried.append({"c": c, **scores})
         if best is None or scores["macro_f1"] > best[0]:

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame
 from msgflow import values
 from msgflow.operators.features import INTENT_TERMS, TermRule, TfIdf
 from msgflow.operators.retrieval import top_k, with_documents
-from msgflow.staging import spread, stage
+from msgflow.staging import stage
 
 
 def build_vectors(knowledge_base: DataFrame, rule: TermRule = INTENT_TERMS) -> tuple[TfIdf, DataFrame]:
     """Fit the vocabulary on the questions and return it with the vector table (doc_id, embedding)."""
-    questions = spread(knowledge_base.select("doc_id", "instruction"))
+    questions = knowledge_base.select("doc_id", "instruction")
     features = TfIdf.fit(questions, "instruction", rule)
     vectors = features.arrays(questions, "instruction").select("doc_id", "embedding")
     return features, stage(vectors, "vectors")

@@ -60,7 +60,8 @@ def score_messages(messages: DataFrame, models: MessageModels, text: str = "text
 
 def answer_scored(scored: DataFrame, knowledge_base: DataFrame, question_features: TfIdf, vectors: DataFrame,
                   message_id: str = "message_id", text: str = "text", k: int = values.MODEL_TOP_K,
-                  make_hook: Callable[[], Callable[[str], str]] | None = None) -> DataFrame:
+                  make_hook: Callable[[], Callable[[str], str]] | None = None,
+                  hold: Callable[[DataFrame, str], DataFrame] = stage) -> DataFrame:
     """Add documents, response, escalate and error to scored messages.
 
     Retrieval and answers see only the messages on a knowledge route; their
@@ -76,7 +77,7 @@ def answer_scored(scored: DataFrame, knowledge_base: DataFrame, question_feature
         grounded = (grounded.withColumn("_answer", default_answer(responses))
                     .withColumn("error", F.lit(None).cast("string")))
     else:
-        grounded = stage(grounded, "grounded")
+        grounded = hold(grounded, "grounded")
         prompts = grounded.where(on_route).select(
             message_id, user_prompt(F.col(text), responses, F.col("sentiment")).alias("prompt"))
         answers = hook_answers(prompts, make_hook, message_id).withColumnRenamed("answer", "_answer")
@@ -88,14 +89,16 @@ def answer_scored(scored: DataFrame, knowledge_base: DataFrame, question_feature
 
 def answer_messages(messages: DataFrame, models: MessageModels, message_id: str = "message_id",
                     text: str = "text", k: int = values.MODEL_TOP_K,
-                    make_hook: Callable[[], Callable[[str], str]] | None = None) -> DataFrame:
+                    make_hook: Callable[[], Callable[[str], str]] | None = None,
+                    hold: Callable[[DataFrame, str], DataFrame] = stage) -> DataFrame:
     """The full result of every message, and ``error`` where the answer hook failed.
 
-    The scored table is staged, so the models run once.
+    ``hold`` keeps the scored table, so that the models run once: staged by
+    default; a stream keeps a micro-batch in the cache.
     """
-    scored = stage(score_messages(messages, models, text), "scored")
+    scored = hold(score_messages(messages, models, text), "scored")
     answered = answer_scored(scored, models.knowledge_base, models.question_features, models.vectors,
-                             message_id, text, k, make_hook)
+                             message_id, text, k, make_hook, hold)
     return answered.select(*messages.columns, *RESULT_FIELDS, "error")
 
 

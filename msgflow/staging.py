@@ -40,11 +40,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a table of few scan partitions over all cores before costly per-row work.
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scanned table of few partitions over all cores before costly per-row work.
 
     A table with at least as many partitions as the cluster has cores, so any
-    large one, is left alone.
+    large one, is left alone.  For plain scans only: to count the partitions of
+    a plan with shuffles, Spark would have to run them.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

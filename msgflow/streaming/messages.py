@@ -19,8 +19,18 @@ def start_stream(messages: DataFrame, handle: Callable[[DataFrame], DataFrame],
                  checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Apply ``handle`` to every micro-batch; without an interval, drain what is there and stop."""
 
+    return _start(messages, lambda batch, held: handle(batch), output, checkpoint, interval)
+
+
+def _start(messages: DataFrame, handle: Callable[[DataFrame, list[DataFrame]], DataFrame], output: str,
+           checkpoint: str, interval: str | None) -> StreamingQuery:
     def write(batch: DataFrame, batch_id: int) -> None:
-        handle(batch).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        held: list[DataFrame] = []
+        try:
+            handle(batch, held).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        finally:
+            for df in held:
+                df.unpersist()
 
     writer = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
@@ -29,9 +39,16 @@ def start_stream(messages: DataFrame, handle: Callable[[DataFrame], DataFrame],
 
 def answer_stream(messages: DataFrame, models: MessageModels, output: str, checkpoint: str,
                   interval: str | None = None, make_hook: Callable | None = None) -> StreamingQuery:
-    """Answer arriving messages with the batch plan."""
-    return start_stream(messages, lambda batch: answer_messages(batch, models, make_hook=make_hook),
-                        output, checkpoint, interval)
+    """Answer arriving messages with the batch plan; a batch is cached until it is written."""
+
+    def handle(batch: DataFrame, held: list[DataFrame]) -> DataFrame:
+        def hold(df: DataFrame, name: str) -> DataFrame:
+            held.append(df.persist())
+            return held[-1]
+
+        return answer_messages(batch, models, make_hook=make_hook, hold=hold)
+
+    return _start(messages, handle, output, checkpoint, interval)
 
 
 def read_output(spark: SparkSession, output: str) -> DataFrame:

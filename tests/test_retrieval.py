@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from msgflow.operators import retrieval as R
 
-BLOCKS = {"broadcast_bytes": 0, "block_bytes": 400, "chunk_queries": 7}
+BLOCKS = {"broadcast_bytes": 0, "block_bytes": 400, "chunk_bytes": 500}
 
 
 def brute(queries, docs, k):
@@ -51,7 +51,7 @@ def test_hot_term_and_long_queries(spark):
     queries = {i: {0: 1.0, i % 50 + 1: 1.0} for i in range(900)}
     q, d = frame(spark, queries, "query_id", True, 0), frame(spark, docs, "doc_id", True, 0)
     a = R.top_k(q, d, 2).collect()
-    b = R.top_k(q, d, 2, broadcast_bytes=0, block_bytes=30_000, chunk_queries=300).collect()
+    b = R.top_k(q, d, 2, broadcast_bytes=0, block_bytes=30_000, chunk_bytes=10_000).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) == 1800
     assert all(r.similarity_score == 1.0 and r.doc_id == r.query_id % 50 + 50 * (r["rank"] - 1) for r in a)
 
