@@ -47,13 +47,13 @@ feedback AS (SELECT '2024-01-01 00:00:00' AS timestamp, user_message, assistant_
 
 
 def feedback(spark, sf_dir):
-    """A vote on every assistant turn; only some turns have a result on record."""
+    """A vote on every assistant turn; only some turns have result fields on record."""
     turns = table(spark, sf_dir, "conversations")
     pairs = C.assistant_pairs(turns)
     votes = pairs.select("conv_id", "turn", F.when(F.col("conv_id") % 3 == 0, "down").otherwise("up").alias("feedback"))
-    results = pairs.where(F.col("turn") % 4 == 1).select(
-        "conv_id", "turn", F.lit("en").alias("language"), F.lit("Neutral").alias("sentiment"),
-        F.lit("review").alias("intent"), F.lit("rag").alias("route"))
+    known = lambda value, name: F.when(F.col("turn") % 4 == 1, value).alias(name)
+    results = pairs.select("conv_id", "turn", known("en", "language"), known("Neutral", "sentiment"),
+                           known("review", "intent"), known("rag", "route"))
     return C.feedback_records(pairs, results, votes, ["conv_id", "turn"], F.lit("2024-01-01 00:00:00"))
 
 

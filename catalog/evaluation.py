@@ -140,7 +140,7 @@ def weighted_cross_entropy(spark, sf_dir):
 
     events = table(spark, sf_dir, "events").select("event_type", unit_draw(7, "p", F.col("event_id")).alias("p"))
     weights = class_weights(events, "event_type").select("event_type", F.col("weight").alias("w"))
-    return _rounded(evaluate.weighted_cross_entropy(events.join(F.broadcast(weights), "event_type"), "p", "w"), "loss")
+    return _rounded(evaluate.weighted_cross_entropy(events.join(weights, "event_type"), "p", "w"), "loss")
 
 
 @query("f13_split_accuracy", f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MAX_CLASSES = 1000
 
@@ -86,8 +86,6 @@ def report_lines(report_df: DataFrame, name_width: int | None = None) -> DataFra
 
     A report has one row per class, so the line numbers come from a small window.
     """
-    from pyspark.sql import Window
-
     if name_width is None:
         name_width = max(12, report_df.agg(F.max(F.length("name"))).first()[0] or 0)
     cell = lambda c: F.lpad(F.coalesce(F.format_string("%.2f", F.round(c, 2)), F.lit("")), 10, " ")
@@ -133,8 +131,7 @@ def confusion_pairs_dense(df: DataFrame, labels: list, label: str = "label",
     listed = F.array(*[F.lit(x) for x in labels])
     grid = (df.sparkSession.range(1).select(F.explode(listed).alias("label"))
             .select("label", F.explode(listed).alias("prediction")))
-    counts = (df.where(F.col(label).isin(labels) & F.col(prediction).isin(labels))
-              .groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction"))
+    counts = (df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction"))
               .agg(F.count("*").alias("n")))
     return (grid.join(counts, ["label", "prediction"], "left")
             .select("label", "prediction", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
