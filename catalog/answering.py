@@ -53,21 +53,20 @@ def default_answers(spark, sf_dir):
     return answered(spark, sf_dir).where(F.col("route").isin("rag", "rag_escalate")).select("message_id", "response")
 
 
-def failing_hook():
-    """A stand-in generator: it counts characters, and fails on prompts with a ç."""
-    def answer(prompt):
-        if "ç" in prompt:
-            raise ValueError("cannot answer")
-        return f"{len(prompt)} characters"
-    return answer
-
-
 @query("c6_hook_answers", f"""
 WITH {SQL_RULED} SELECT message_id, CASE WHEN contains(text, 'ç') THEN {sql_text(values.ANSWER_FALLBACK)} ELSE length(text) || ' characters' END AS answer,
   CASE WHEN contains(text, 'ç') THEN 'cannot answer' END AS error FROM ruled""")
 def hooked_answers(spark, sf_dir):
+    """A stand-in generator: it counts characters, and fails on prompts with a ç."""
+    def make_hook():
+        def answer(prompt):
+            if "ç" in prompt:
+                raise ValueError("cannot answer")
+            return f"{len(prompt)} characters"
+        return answer
+
     prompts = ruled(chatty(spark, sf_dir)).select("message_id", F.col("text").alias("prompt"))
-    return hook_answers(prompts, failing_hook)
+    return hook_answers(prompts, make_hook)
 
 
 @query("c7_answer_scored", f"""

@@ -75,7 +75,7 @@ def intent_model(spark, sf_dir):
 
 def _sentiment_candidates(spark, sf_dir):
     rows = stage(sentiment_rows(spark, sf_dir), "sentiment-split")
-    return K.train_sentiment(rows.where("split = 'train'"), rows.where("split = 'val'"))
+    return K.train_sentiment(rows.where("split = 'train'"), rows.where("split = 'val'"), penalties=(0.1, 1.0))
 
 
 def sentiment_model(spark, sf_dir):

@@ -36,18 +36,15 @@ def unit_vectors(spark, sf_dir):
         "vec_id", (F.col("pos") + 1).alias("pos"), F.round("value", 6).alias("value"))
 
 
-def length_encoder():
-    """A stand-in encoder: text -> (characters, vowels, 1)."""
-    def encode(texts):
-        return [[len(t), sum(c in "aeiou" for c in t.lower()), 1.0] for t in texts]
-    return encode
-
-
 @query("r1_encoder_hook", """
 WITH raw AS (SELECT doc_id, length(text)::DOUBLE AS a, length(regexp_replace(lower(text), '[^aeiou]', '', 'g'))::DOUBLE AS b FROM documents)
 SELECT doc_id, round(a / sqrt(a * a + b * b + 1), 6) AS x, round(b / sqrt(a * a + b * b + 1), 6) AS y FROM raw""")
 def encoder_hook(spark, sf_dir):
-    rows = hook_embeddings(table(spark, sf_dir, "documents"), length_encoder, "doc_id", "text")
+    """A stand-in encoder: text -> (characters, vowels, 1)."""
+    def make_encoder():
+        return lambda texts: [[len(t), sum(c in "aeiou" for c in t.lower()), 1.0] for t in texts]
+
+    rows = hook_embeddings(table(spark, sf_dir, "documents"), make_encoder, "doc_id", "text")
     return rows.select("doc_id", F.round(F.get("embedding", 0), 6).alias("x"), F.round(F.get("embedding", 1), 6).alias("y"))
 
 
