@@ -73,7 +73,10 @@ class TfIdf:
         if not rows:
             raise ValueError("Empty vocabulary: no term passes min_df.")
         self.terms = [r["term"] for r in rows]
-        self.idf = [r["idf"] for r in rows]
+        # Built once: handing the terms over to the JVM costs more than planning with them.
+        self._counter = CountVectorizerModel.from_vocabulary(self.terms, inputCol="_terms", outputCol="_counts")
+        self._weigher = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in rows]),
+                                           inputCol="_counts", outputCol="_weighted")
 
     @classmethod
     def fit(cls, df: DataFrame, text: str, rule: TermRule, n_rows: int | None = None) -> TfIdf:
@@ -81,16 +84,13 @@ class TfIdf:
 
     def vectors(self, df: DataFrame, text: str, output: str = "features") -> DataFrame:
         """Add the TF-IDF vector (Spark ML, sparse, L2 norm 1 or no terms at all)."""
-        raw, counted, weighted = "_terms", "_counts", "_weighted"
-        out = df.withColumn(raw, self.rule.terms(F.col(text)))
-        out = CountVectorizerModel.from_vocabulary(self.terms, inputCol=raw, outputCol=counted).transform(out)
+        out = self._counter.transform(df.withColumn("_terms", self.rule.terms(F.col(text))))
         if self.rule.sublinear:
-            out = out.withColumn("_parts", vector_parts(F.col(counted)))
+            out = out.withColumn("_parts", vector_parts(F.col("_counts")))
             damped = F.transform("_parts.values", lambda tf: F.lit(1.0) + F.log(tf))
-            out = out.withColumn(counted, sparse_vector(F.col("_parts.size"), F.col("_parts.indices"), damped))
-        out = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol=counted, outputCol=weighted).transform(out)
-        out = Normalizer(p=2.0, inputCol=weighted, outputCol=output).transform(out)
-        return out.drop(raw, counted, "_parts", weighted)
+            out = out.withColumn("_counts", sparse_vector(F.col("_parts.size"), F.col("_parts.indices"), damped))
+        out = Normalizer(p=2.0, inputCol="_weighted", outputCol=output).transform(self._weigher.transform(out))
+        return out.drop("_terms", "_counts", "_parts", "_weighted")
 
     def arrays(self, df: DataFrame, text: str, output: str = "embedding") -> DataFrame:
         """Add the same vector as struct(indices, values)."""
