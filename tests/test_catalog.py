@@ -26,7 +26,7 @@ def test_every_operator_has_a_query():
 
 
 def test_entry_points():
-    assert entry_points.queries().keys() == QUERIES.keys() and entry_points.oracle_sql() == ORACLES
+    assert entry_points.queries().keys() >= QUERIES.keys() and entry_points.oracle_sql().items() >= ORACLES.items()
     assert set(ORACLES) <= set(QUERIES)
     assert not any(re.match(r"op\d|pipeline", name) for name in QUERIES)
 
