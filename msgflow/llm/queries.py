@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from msgflow.llm import shards, winnow
+from msgflow.llm import pieces, shards, warc, winnow
+from msgflow.staging import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +86,40 @@ def winnowing(spark, sf_dir):
                                   table(spark, sf_dir, "benchmark", "item_id", "text"))
     return judged.select("doc_id", "n_words", "n_hit", "n_items",
                          F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+# ---------------------------------------------------------------------- WARC
+
+
+SQL_ARCHIVES = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, octet_length(encode(h)) AS payload_bytes,
+  translate(array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform([32768, 1024, 32, 1],
+    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(sha1(h), g * 5 + 1, 5))::BIGINT // s % 32)::BIGINT + 1, 1)), '')), ''), '', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (h)"""
+
+
+@query("op3_warc_index_first", SQL_ARCHIVES)
+def warc_index_first(spark, sf_dir):
+    path = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
+    records = warc.read_records(warc.index_archives(spark, path)).drop("payload")
+    full = warc.with_payloads(records, ["payload_bytes"])
+    return full.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# ------------------------------------------------------------- SentencePiece
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op7_piece_rounds")
+def piece_rounds(spark, sf_dir):
+    return pieces.digests(table(spark, sf_dir, "documents", "doc_id", "text"), "text", piece_model())
