@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from msgflow.llm import pieces, shards, warc, winnow
+from msgflow.llm import pieces, shards, warc, weighted_prints, winnow
 from msgflow.staging import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,11 @@ def piece_model() -> str:
 @query("op7_piece_rounds")
 def piece_rounds(spark, sf_dir):
     return pieces.digests(table(spark, sf_dir, "documents", "doc_id", "text"), "text", piece_model())
+
+
+# -------------------------------------------------------------- fingerprints
+
+
+@query("op9_weighted_sampling")
+def weighted_sampling(spark, sf_dir):
+    return weighted_prints.edit_probe(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
