@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from msgflow.llm import pieces, shards, warc, weighted_prints, winnow
+from msgflow.llm import personal_data, pieces, shards, warc, weighted_prints, winnow
 from msgflow.staging import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,17 @@ def piece_rounds(spark, sf_dir):
 @query("op9_weighted_sampling")
 def weighted_sampling(spark, sf_dir):
     return weighted_prints.edit_probe(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+# ------------------------------------------------------------- personal data
+
+
+@query("op10_candidate_boosting")
+def candidate_boosting(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = personal_data.find(docs, "text", *personal_data.fit(docs, "text"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(F.transform(kinds, lambda x: x == F.lit(k)), False)).cast("long").alias(f"n_{k}")  # noqa: B023
+              for k in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(personal_data.written("base").cast("binary"), 256).alias("base_sha256"),
+                        personal_data.written("spans").alias("spans"))
