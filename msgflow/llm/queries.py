@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from msgflow.llm import ngram_join, personal_data, pieces, shards, warc, weighted_prints, winnow
+from msgflow.llm import line_chunks, ngram_join, personal_data, pieces, shards, warc, weighted_prints, winnow
 from msgflow.staging import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,32 @@ def virtual_slots(spark, sf_dir):
     return shards.assign(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", 16)
 
 
+# ---------------------------------------------------------------- line dedup
+
+SQL_LINE_CHUNKS = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents WHERE text IS NOT NULL),
+h AS (SELECT *, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h, len(list_filter(string_split(t, ' '), lambda w: w <> '')) AS w FROM l),
+e AS (SELECT *, w >= {line_chunks.LEAST_WORDS} OR coalesce(lead(w) OVER o >= {line_chunks.LEAST_WORDS}, true)
+    OR (coalesce(lag(h) OVER o, 0) * 31 + h) % 4294967296 // 16 % {line_chunks.LINES} = 0 AS ends FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+n AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM e),
+k AS (SELECT doc_id, c, string_agg(t, chr(10) ORDER BY p) AS t, sum(w) AS w FROM n GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, c) > 1 AS again FROM k),
+g AS (SELECT *, c - row_number() OVER (PARTITION BY doc_id, again ORDER BY c) AS run FROM r),
+z AS (SELECT *, again AND sum(w) OVER (PARTITION BY doc_id, again, run) >= {line_chunks.LEAST_WORDS} AS gone FROM g),
+m AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(t, chr(10) ORDER BY c) FILTER (WHERE NOT gone), '') AS t FROM z GROUP BY 1)
+SELECT doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, length(coalesce(m.t, ''))::BIGINT AS n_chars, sha256(coalesce(m.t, '')) AS text_sha256
+FROM documents LEFT JOIN m USING (doc_id)"""
+
+
+@query("op5_line_chunks", SQL_LINE_CHUNKS)
+def repeated_lines(spark, sf_dir):
+    """What is left of each document: its lost chunks, and length and SHA-256 of the text."""
+    left = line_chunks.deduplicated(table(spark, sf_dir, "documents", "doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return left.select("doc_id", "n_removed", F.length(text).cast("long").alias("n_chars"),
+                       F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+
+
 # ----------------------------------------------------------- decontamination
 
 SQL_CONTAMINATION = f"""
