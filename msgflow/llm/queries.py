@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from msgflow.llm import line_chunks, ngram_join, personal_data, pieces, shards, warc, weighted_prints, winnow
+from msgflow.llm import language_crf, line_chunks, ngram_join, personal_data, pieces, shards, warc, weighted_prints, winnow
 from msgflow.staging import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,6 +157,23 @@ def warc_index_first(spark, sf_dir):
     return full.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+# --------------------------------------------------------------- language ID
+
+
+def language_model(spark, sf_dir):
+    """The CRF learned from text and language of the documents that are not held out."""
+    rows = table(spark, sf_dir, "documents", "doc_id", "text", "lang").where(~language_crf.held_out(F.col("doc_id")))
+    return language_crf.train(language_crf.training_segments(rows, "text", "lang"))
+
+
+@query("op6_conditional_field")
+def conditional_field(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = docs.withColumn("held_out", language_crf.held_out(F.col("doc_id")))
+    found = language_crf.predicted(docs, "text", language_model(spark, sf_dir))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 # ------------------------------------------------------------- SentencePiece
 
 
