@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from msgflow.llm import language_crf, line_chunks, ngram_join, personal_data, pieces, shards, warc, weighted_prints, winnow
+from msgflow.llm import language_crf, line_chunks, ngram_join, page_difference as page_difference_, personal_data, pieces, shards, warc, weighted_prints, winnow
 from msgflow.staging import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,3 +208,11 @@ def candidate_boosting(spark, sf_dir):
               for k in personal_data.KINDS]
     return found.select("doc_id", *counts, F.sha2(personal_data.written("base").cast("binary"), 256).alias("base_sha256"),
                         personal_data.written("spans").alias("spans"))
+
+
+# ---------------------------------------------------------------- page texts
+
+
+@query("op2_page_difference")
+def page_difference(spark, sf_dir):
+    return page_difference_.extracted(table(spark, sf_dir, "pages", "page_id", "url", "html"))
