@@ -316,7 +316,7 @@ def _letters(column: pa.Array) -> list[bool]:
 
 
 def predicted(docs: DataFrame, text: str, model: Crf | None) -> DataFrame:
-    """The columns of ``docs`` without the text, and ``lang_pred`` and ``score``.
+    """The columns of ``docs``, and ``lang_pred`` and ``score``.
 
     ``lang_pred`` is the label with the largest mean chance over the words of the
     whole text (ties: the first by name) and ``score`` that mean; a text that is
@@ -325,13 +325,13 @@ def predicted(docs: DataFrame, text: str, model: Crf | None) -> DataFrame:
     text is looked at, so repeated rows have equal results; columns named like the
     added ones are replaced; no rows give no rows.
     """
-    kept = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by the tables and LEXICON
 
     def run(batches):
         cutter, crf = Words(SPACES), shared.value
         for batch in batches:
-            column = text_column(batch.column(len(kept)))
+            column = text_column(batch.column(kept.index(text)))
             for start, stop in pieces(column):
                 part = column.slice(start, stop - start)
                 langs, scores = [UNDETERMINED] * len(part), [0.0] * len(part)
@@ -347,7 +347,7 @@ def predicted(docs: DataFrame, text: str, model: Crf | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(langs), pa.array(scores)], [*kept, "lang_pred", "score"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept]
-    return docs.select(*kept, text).mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return docs.select(*kept).mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
 
 
 def held_out(doc_id: Column) -> Column:

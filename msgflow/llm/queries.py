@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from msgflow.llm import language_crf, line_chunks, ngram_join, page_difference as page_difference_, personal_data, pieces, shards, warc, weighted_prints, winnow
 from msgflow.staging import new_path
 
@@ -216,3 +217,11 @@ def candidate_boosting(spark, sf_dir):
 @query("op2_page_difference")
 def page_difference(spark, sf_dir):
     return page_difference_.extracted(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+# ------------------------------------------------------------------ pipeline
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
