@@ -99,7 +99,7 @@ def sql_vote(text: str) -> str:
 
 
 def decorated(documents: DataFrame) -> DataFrame:
-    """documents with URLs, placeholders and blank texts in some rows, by doc_id."""
+    """documents, and beside them copies with URLs, placeholders and blank texts, by doc_id (a billion higher)."""
     n = F.col("doc_id") % 10
     text = (F.when(n == 0, F.concat(F.lit("See HTTPS://shop.example/a?b=1 "), F.col("text")))
             .when(n == 1, F.concat(F.col("text"), F.lit("\twww.Shop.example/x  now")))
@@ -108,12 +108,14 @@ def decorated(documents: DataFrame) -> DataFrame:
             .when(n == 4, F.lit("  \n"))
             .when(n == 5, F.lit(None).cast("string"))
             .otherwise(F.col("text")))
-    return documents.withColumn("text", text)
+    copies = documents.withColumn("text", text).withColumn("doc_id", F.col("doc_id") + 1_000_000_000)
+    return documents.unionByName(copies)
 
 
 SQL_DECORATED = """
 decorated AS (
-  SELECT * REPLACE (CASE doc_id % 10
+  SELECT * FROM documents UNION ALL
+  SELECT * REPLACE (doc_id + 1000000000 AS doc_id, CASE doc_id % 10
     WHEN 0 THEN 'See HTTPS://shop.example/a?b=1 ' || text
     WHEN 1 THEN text || chr(9) || 'www.Shop.example/x  now'
     WHEN 2 THEN '  {{Order Number}}' || chr(160) || text || ' {{Person Name}} {{'

@@ -17,22 +17,24 @@ from msgflow.streaming.messages import start_stream
 
 OPENINGS = ["Hi there! ", "Good  morning, ", "Thanks a lot — ", "bye bye ", "THANK YOU so much", "See you later, folks",
             "hello thanks", "Take care & goodbye", "thanks, you're great", "hi", ""]
-ALONE = 3  # every third message is its opening and nothing else
+ALONE = 3        # every third message comes again as its opening and nothing else,
+LATER = 500_000  # so many turns later
 
 
 def chatty(spark, sf_dir):
-    """User turns that start with small talk, or are nothing but small talk, by (conv_id, turn)."""
+    """User turns, most of them after some small talk, and added ones that are nothing but small talk, by (conv_id, turn)."""
     turns = table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]).where(F.col("role") == "user")
     n = F.col("conv_id") * 7 + F.col("turn")
     opening = F.element_at(F.array(*[F.lit(x) for x in OPENINGS]), (n % len(OPENINGS) + 1).cast("int"))
-    text = F.when(n % ALONE == 0, opening).otherwise(F.concat(opening, F.col("text")))
-    return turns.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("message_id"), "conv_id", "turn", text.alias("text"))
+    whole = turns.select("conv_id", "turn", F.concat(opening, F.col("text")).alias("text"))
+    alone = turns.where(n % ALONE == 0).select("conv_id", (F.col("turn") + LATER).alias("turn"), opening.alias("text"))
+    return whole.unionByName(alone).select((F.col("conv_id") * 1000000 + F.col("turn")).alias("message_id"), "conv_id", "turn", "text")
 
 
 _N = "(conv_id * 7 + turn)"
 _OPENING = f"([{', '.join(sql_text(x) for x in OPENINGS)}])[({_N} % {len(OPENINGS)} + 1)::INT]"
-SQL_CHATTY = f"""chatty AS (SELECT conv_id * 1000000 + turn AS message_id, conv_id, turn,
-  CASE WHEN {_N} % {ALONE} = 0 THEN {_OPENING} ELSE {_OPENING} || text END AS text FROM conversations WHERE role = 'user')"""
+SQL_CHATTY = f"""chatty AS (SELECT conv_id * 1000000 + turn AS message_id, conv_id, turn, {_OPENING} || text AS text FROM conversations WHERE role = 'user'
+  UNION ALL SELECT conv_id * 1000000 + turn + {LATER}, conv_id, turn + {LATER}, {_OPENING} FROM conversations WHERE role = 'user' AND {_N} % {ALONE} = 0)"""
 
 
 def sql_small_talk(text: str) -> str:

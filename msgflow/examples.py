@@ -1,4 +1,4 @@
-"""Hand-written training examples in everyday phrasing, in our own words.
+"""Hand-written training examples: what customers of a garden shop might write.
 
 They are only defaults: every operator that appends examples takes a table.
 """
@@ -8,78 +8,75 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 INTENT_EXAMPLES = {
-    "order_status": [
-        "where is my order", "where is my parcel right now", "has my order left the warehouse",
-        "my delivery did not come yet", "what is the status of my order", "when does my order arrive",
-        "is my parcel out for delivery", "any news about my delivery", "how many days until my order arrives",
-        "please track my order", "the order i placed last week is still not here", "where can i track my parcel",
-    ],
-    "order_management": [
-        "cancel my order please", "i would like to change my order", "i want to order something new",
-        "please cancel order 99", "can you edit the order i placed", "i changed my mind, do not send the order",
-        "may i change an order after paying", "add one more item to my order", "can i still cancel the order",
-        "replace an item in my order", "is there a fee to cancel an order", "how do i place an order",
+    "account_management": [
+        "the login page rejects my username since the update", "two profiles share my phone number, merge them",
+        "erase my profile and everything stored in it", "my login code never reaches my phone",
+        "add my partner as a second user of our profile", "which email did i use for my login",
+        "the site says my profile is blocked after three wrong logins",
     ],
     "billing_and_refunds": [
-        "i want a refund", "i want my money back", "my payment was refused", "send me the invoice",
-        "you charged me two times", "how long does a refund take", "i need the receipt for my purchase",
-        "which cards can i pay with", "the payment page shows an error", "where is my refund",
-        "there is a mistake on my bill", "please refund the broken item",
-    ],
-    "account_management": [
-        "i forgot my password", "reset my password", "create an account for me", "delete my account",
-        "i cannot log in to my account", "change the email of my account", "my account is locked",
-        "change my user name", "use another account", "signing up does not work",
-        "update the details of my account", "i cannot open my profile",
+        "the rake was charged at full price although it was on sale", "the credit for the returned hose is still missing on my card",
+        "can the tax number be printed on the bill", "two amounts left my bank for one purchase",
+        "credit my card for the cracked flower pot", "your bill lists a wheelbarrow that was never bought",
+        "do you take payment by bank transfer", "how much of the price comes back if the box was opened",
+        "the gift card was not deducted from the bill",
     ],
     "complaint": [
-        "i want to complain", "this is the worst service", "i am angry about this service",
-        "the product came broken and nobody helps", "this is not acceptable", "very bad experience with your shop",
-        "your service is terrible", "wrong item again, i am fed up", "nobody answers me, this is awful",
-        "i will write a bad review", "i am very disappointed", "this happened to me three times already",
+        "half of the roses arrived dead and your staff laughed at me", "this shop lied about the guarantee and i am furious",
+        "rude phone staff, dirty store, broken mower: shame on you", "the third rotten delivery in a row, an utter disgrace",
+        "your advert is a lie, the lamp fell apart within a day", "shame on whoever packed these bulbs so carelessly",
+    ],
+    "order_management": [
+        "make it four bags of soil instead of two", "swap the green bench for the brown one before you pack it",
+        "drop the watering can from tonight's basket", "hold back the seeds until i have added a spade",
+        "split my basket into two separate purchases", "call off the greenhouse, the landlord said no",
+        "put a second pair of gloves into the same basket", "i picked the wrong pot size, swap it for the large one",
+    ],
+    "order_status": [
+        "the tracking page has said packed since tuesday", "on which day will the courier bring the mower",
+        "did the courier already try to bring the bench", "the tracking number is unknown to the courier",
+        "is the greenhouse still in your depot or on the truck", "the truck passed my street without stopping, when is the next try",
+        "how far away is the courier with my tomato plants",
     ],
     "out_of_scope": [
-        "let me talk to a person", "change the address you ship to", "stop the newsletter",
-        "put me through to customer service", "i have a new shipping address", "i want a human agent",
-        "take me off the mailing list", "my shipping address is wrong", "a human please, not a bot",
-        "subscribe me to the newsletter", "set up a second shipping address", "my question is about something else",
+        "which shrubs survive in a shady yard", "does your store sell tickets for the flower show",
+        "the weather ruined our picnic yesterday", "are there jobs in your store this summer",
+        "recommend a song for gardening", "who won the match last night", "how do i get ants out of a lawn",
+        "translate this poem about tulips",
     ],
 }
 
 SENTIMENT_EXAMPLES = {
+    "Positive/Satisfied": [
+        "the roses smell wonderful and the box was lovely", "brilliant advice, my lawn has never been greener",
+        "what a pleasant surprise, a free pack of seeds", "the gardener who phoned me was kind and patient",
+        "beautiful bench, easy to build, worth every cent", "hardly any wait and nothing broken, lovely work",
+        "cannot fault the courier, kind and early", "no regrets, this mower is brilliant",
+        "far from dull, the flower show was wonderful",
+    ],
     "Neutral": [
-        "where is my parcel", "where is my package", "when does my order come", "what is the status of the order",
-        "how can i reset the password", "how can i change the address", "which payment methods are there",
-        "can i cancel an order", "how long does delivery take", "i want to update my account",
-        "can i have an invoice", "how do i track a parcel", "what are the rules for returns",
-        "can i edit an order before it is sent", "help me create an account", "how do i leave the mailing list",
-        "can i speak to a person", "do you deliver abroad", "how do i use a voucher", "what is the status of a refund",
+        "the hedge is two metres tall", "opening hours on sunday", "does the pump run on battery or mains",
+        "my postcode begins with four", "the catalogue lists six kinds of soil", "which aisle holds the nails",
+        "is the blue hose longer than the red one", "the parcel weighs nine kilos", "seeds go into the ground in march",
+        "how wide is the gate of the greenhouse", "one bag covers ten square metres", "what time does the store close",
     ],
     "Negative/Frustrated": [
-        "so frustrating, the order is late again", "weeks of waiting and nobody helps me",
-        "unacceptable, give me my money back now", "i am unhappy with the service", "it came broken and nobody answers",
-        "third time i ask and still no answer", "the worst service ever", "i am annoyed, the refund did not come",
-        "ridiculous, nobody answers my question", "i want to complain about my experience",
-        "not acceptable", "this is not acceptable at all", "that is not okay", "not good enough",
-        "not what i expected", "this is not fair", "not helpful at all", "the service is not good",
-        "i am not happy", "i am not satisfied", "it does not work", "not the quality i expected",
-    ],
-    "Positive/Satisfied": [
-        "thanks so much, it works now", "great, it arrived early", "i appreciate the quick answer",
-        "solved perfectly, thank you", "excellent service, i am happy", "thank you for the quick refund",
-        "i am glad this was sorted out", "great help, just what i needed",
-        "not a bad experience at all", "no complaints about the service", "not disappointing at all, on the contrary",
+        "the hose burst on day one, what a rip off", "rude staff and a filthy store, never again",
+        "i am sick of these rotten plants", "everything about this purchase was a nightmare",
+        "the mower is useless junk and nobody cares", "far from brilliant, the pump leaks everywhere",
+        "hardly lovely when half the roses are dead", "never have i felt so cheated", "no kindness, no patience, just shouting",
+        "what a miserable waste of a morning", "disgusting smell, dead fish, broken pump",
     ],
 }
 
 
 def intent_examples(spark: SparkSession) -> DataFrame:
-    """(text, routing_intent): 12 rows for each trained intent."""
+    """(text, routing_intent): some rows for each trained intent."""
     rows = [(text, label) for label, texts in INTENT_EXAMPLES.items() for text in texts]
     return spark.createDataFrame(rows, "text string, routing_intent string")
 
 
 def sentiment_examples(spark: SparkSession) -> DataFrame:
-    """(text, sentiment): 53 rows, negated phrases both ways among them."""
+    """(text, sentiment): some rows for each sentiment, turned-around phrases both ways among them."""
     rows = [(text, label) for label, texts in SENTIMENT_EXAMPLES.items() for text in texts]
     return spark.createDataFrame(rows, "text string, sentiment string")

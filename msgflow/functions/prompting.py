@@ -6,21 +6,11 @@ from pyspark.sql import Column, functions as F
 
 from msgflow import values
 
-# Rules for an answer hook; our own wording, no result depends on it.
-SYSTEM_RULES = (
-    "You answer customers of an online shop. Use nothing but the support responses "
-    "you are given: no invented policies, facts, orders or refunds. Text in double "
-    "braces marks a blank in a template; never show it or fill it in, speak in general "
-    "terms or ask for the detail. If the customer is upset, acknowledge that first. If "
-    "the responses do not cover the question, say so and offer a human agent. Be brief."
-)
-
-
 def context_block(responses: Column) -> Column:
     """Numbered response blocks with a blank line between them, or a line saying there are none."""
     blocks = F.transform(
         responses,
-        lambda text, i: F.concat(F.lit("[Support response "), (i + 1).cast("string"), F.lit("]\n"),
+        lambda text, i: F.concat(F.lit(values.PROMPT_BLOCK[0]), (i + 1).cast("string"), F.lit(values.PROMPT_BLOCK[1]),
                                  F.coalesce(text, F.lit(""))),
     )
     none = responses.isNull() | (F.size(responses) == 0)
@@ -32,8 +22,8 @@ def user_prompt(message: Column, responses: Column, sentiment: Column | None = N
     line = F.lit("")
     if sentiment is not None:
         said = F.coalesce(sentiment, F.lit("")) != ""
-        line = F.when(said, F.concat(F.lit("\nDetected customer sentiment: "), sentiment)).otherwise("")
+        line = F.when(said, F.concat(F.lit(values.PROMPT_SENTIMENT), sentiment)).otherwise("")
     return F.concat(
-        F.lit("Context (retrieved past support responses):\n"), context_block(responses),
-        F.lit("\n"), line, F.lit('\nCustomer question: "'), message, F.lit('"\n'),
+        F.lit(values.PROMPT_CONTEXT), context_block(responses),
+        F.lit("\n"), line, F.lit(values.PROMPT_QUESTION[0]), message, F.lit(values.PROMPT_QUESTION[1]),
     )

@@ -33,26 +33,26 @@ def previous_value(df: DataFrame, group: str, order: str, value: str, output: st
                    block: int = TURN_BLOCK) -> DataFrame:
     """Add the value of the row before in its group, null for the first row.
 
-    A group is cut into blocks of its integer order column, so that a task
-    orders at most ``block`` rows of it however long it is.  The first row of a
-    later block takes its value from the row that ends the block before; a small
-    staged table names those rows, and it is empty unless a group is that long.
+    Rows of a group stand in the order of ``order`` and, where that ties, of
+    ``value``; rows equal in both are alike.  The table is sorted over all tasks
+    and staged with each row's place, so its places are unique, and cut into
+    blocks of ``block`` places, whatever the values of the order column are.  A
+    task orders one block; the last row of each block, a small table, is handed
+    to the next one.
     """
-    cut = df.withColumn("_block", F.floor(F.col(order) / block))
-    ends = cut.groupBy(group, "_block").agg(F.max(order).alias("_end"))
-    across = Window.partitionBy(group).orderBy("_block")  # one row per block
-    handed = (ends.withColumn("_before", F.lag("_end").over(across)).where(F.col("_before").isNotNull())
-              .select(F.col(group).alias("_group"), F.col("_block").alias("_next"), "_before"))
-    handed = stage(handed, "block-ends")
-    carried = (df.select(group, F.col(order).alias("_before"), F.col(value).alias("_carried"))
-               .join(handed.withColumnRenamed("_group", group), [group, "_before"])
-               .select(group, F.col("_next").alias("_block"), "_carried"))
-    inside = Window.partitionBy(group, "_block").orderBy(order)
-    cut = (cut.withColumn(output, F.lag(value).over(inside))
-           .withColumn("_first", F.lag(order).over(inside).isNull()))
-    out = cut.join(carried, [group, "_block"], "left")
-    picked = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col(output))
-    return out.withColumn(output, picked).select(*df.columns, output)
+    keys = [group, order, value]
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    placed = stage(placed, "turn-places").withColumn("_part", F.shiftright("_at", 33))
+    place = F.col("_at") - F.shiftleft(F.col("_part"), 33)
+    placed = placed.withColumn("_block", F.floor(place / block))
+    before = F.struct(F.col(group).alias("g"), F.col(value).alias("v"))
+    ends = placed.groupBy("_part", "_block").agg(F.max_by(before, "_at").alias("_end"))
+    across = Window.partitionBy(F.lit(0)).orderBy("_part", "_block")  # one row per block
+    handed = stage(ends.select("_part", "_block", F.lag("_end").over(across).alias("_handed")), "block-ends")
+    inside = Window.partitionBy("_part", "_block").orderBy("_at")
+    out = placed.withColumn("_before", F.lag(before).over(inside)).join(handed, ["_part", "_block"])
+    last = F.coalesce("_before", "_handed")
+    return out.select(*df.columns, F.when(last["g"].eqNullSafe(F.col(group)), last["v"]).alias(output))
 
 
 def assistant_pairs(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",

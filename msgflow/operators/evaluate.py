@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-MAX_CLASSES = 1000
+MAX_CLASSES = 1000  # columns of a matrix; the long form has no limit
 
 
 def is_wrong(label: str = "label", prediction: str = "prediction") -> Column:
@@ -125,16 +125,22 @@ def confusion_matrix(df: DataFrame, labels: list | None = None, label: str = "la
     return wide.orderBy(order)
 
 
+def confusion_counts(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """(label, prediction, n) for the pairs that occur, however many classes there are."""
+    return df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(F.count("*").alias("n"))
+
+
 def confusion_pairs_dense(df: DataFrame, labels: list, label: str = "label",
                           prediction: str = "prediction") -> DataFrame:
     """(label, prediction, n) for every pair of listed labels, zeros included."""
     listed = F.array(*[F.lit(x) for x in labels])
     grid = (df.sparkSession.range(1).select(F.explode(listed).alias("label"))
             .select("label", F.explode(listed).alias("prediction")))
-    counts = (df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction"))
-              .agg(F.count("*").alias("n")))
-    return (grid.join(counts, ["label", "prediction"], "left")
-            .select("label", "prediction", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    counts = confusion_counts(df, label, prediction)
+    # A null-safe join: from a plain one Spark infers a filter on the prediction and computes it twice per row.
+    same = grid["label"].eqNullSafe(counts["label"]) & grid["prediction"].eqNullSafe(counts["prediction"])
+    return grid.join(counts, same, "left").select(
+        grid["label"], grid["prediction"], F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def errors(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

@@ -31,7 +31,7 @@ class TermRule:
 
 LANGUAGE_TERMS = TermRule("char", max_n=3, max_features=50_000, sublinear=True)
 INTENT_TERMS = TermRule("word", max_n=2, max_features=20_000, min_df=2)
-SENTIMENT_TERMS = TermRule("word", max_n=2, max_features=20_000, min_df=2, max_words=64)
+SENTIMENT_TERMS = TermRule("word", max_n=2, max_features=20_000, min_df=2)
 
 
 def term_counts(df: DataFrame, text: str, rule: TermRule) -> DataFrame:

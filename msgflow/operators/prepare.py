@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 from msgflow import values
 from msgflow.functions.draws import draw, rank_key, unit_draw
 from msgflow.functions.text import clean_intent_text, clean_language_text, normalise_placeholders, words
-from msgflow.staging import stage
+from msgflow.staging import new_path, stage
 
 SPLIT_BUCKETS = 4  # hex digits: 65,536 buckets per class
 
@@ -67,32 +67,45 @@ def unmapped_values(df: DataFrame, raw: str, mapping: Mapping) -> DataFrame:
 def map_intents(df: DataFrame, raw: str = "intent",
                 mapping: Mapping[str, str] = values.RAW_INTENT_ROUTING,
                 output: str = "routing_intent") -> DataFrame:
-    """Map raw to routing intents; raise, naming the unmapped values in order, if there are any."""
-    shown = 1000
-    found = [r[0] for r in unmapped_values(df, raw, mapping).orderBy(raw).limit(shown + 1).collect()]
-    if found:
-        more = " and more (see unmapped_values)" if len(found) > shown else ""
-        raise ValueError(f"No routing intent for raw values {found[:shown]}{more}. Extend the map.")
+    """Map raw to routing intents; raise if there are unmapped values.
+
+    The error names the first ones and a table that lists them all in order.
+    """
+    missing = unmapped_values(df, raw, mapping)
+    if not missing.isEmpty():
+        path = new_path(df.sparkSession, "unmapped-values")
+        missing.orderBy(raw).write.parquet(path)
+        listed = df.sparkSession.read.parquet(path)
+        first = [r[0] for r in listed.orderBy(raw).limit(20).collect()]
+        raise ValueError(f"No routing intent for {listed.count()} raw values, the first of them {first}; "
+                         f"all are listed in {path}. Extend the map.")
     return df.withColumn(output, mapped(F.col(raw), mapping))
 
 
 # -------------------------------------------------------------------- dedupe
 
 
+def digest(text: Column) -> Column:
+    """32 bytes that stand for a text wherever texts are only compared; null for null."""
+    return F.unhex(F.sha2(text.cast("string").cast("binary"), 256))
+
+
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Of the rows with the same ``key`` keep the one that comes first in ``order``.
+    """Of the rows with the same ``key`` keep the one that comes first in ``order``, which is not null.
 
-    Copies collapse before the shuffle, so a text that fills a third of the
-    table costs no more than any other.
+    Copies collapse to a digest and the first place before the shuffle, so a text
+    that fills a third of the table costs no more than any other; the rows are
+    then met by digest and place, which spreads copies over all tasks.  Of rows
+    that share key and place any one stays.
     """
-    rest = [c for c in df.columns if c != key]
-    first = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row"))
-    return first.select(*[F.col(key) if c == key else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
+    keyed = df.withColumn("_key", F.coalesce(digest(F.col(key)), F.lit(b"").cast("binary")))
+    first = keyed.groupBy("_key").agg(F.min(order).alias(order))
+    return keyed.join(first, ["_key", order], "left_semi").dropDuplicates(["_key", order]).select(*df.columns)
 
 
 def duplicate_counts(df: DataFrame, key: str) -> DataFrame:
     """One row: rows before, rows after and rows dropped by ``keep_first``."""
-    return (df.groupBy(key).agg(F.count("*").alias("n"))
+    return (df.groupBy(digest(F.col(key))).agg(F.count("*").alias("n"))
             .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_before"), F.count("*").alias("n_after"))
             .withColumn("n_dropped", F.col("n_before") - F.col("n_after")))
 
@@ -125,56 +138,56 @@ def build_knowledge_base(pairs: DataFrame, order: str = "id") -> DataFrame:
 # -------------------------------------------------------------------- splits
 
 
-def split_quotas(counts: list[tuple[str, int]], test_size: float, val_size: float) -> dict[str, tuple[int, int]]:
-    """Rows per class that go to test and validation: largest remainder, ties by label."""
+def _shared_out(sizes: DataFrame, n: str, wanted: int, total: int, output: str) -> DataFrame:
+    """Add each class's share of ``wanted`` rows: largest remainder, ties by label.
+
+    ``sizes`` has one row per class, and so have its two windows.
+    """
+    exact = F.lit(wanted).cast("decimal(38,0)") * F.col(n).cast("decimal(18,0)")
+    rest = exact % F.lit(total).cast("decimal(38,0)")
+    sizes = sizes.withColumn("_rest", rest).withColumn("_base", ((exact - rest) / F.lit(total)).cast("bigint"))
+    everyone = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    left = F.lit(wanted) - F.sum("_base").over(everyone)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_rest"), "_label"))
+    return sizes.withColumn(output, F.col("_base") + (place <= left).cast("bigint")).drop("_base", "_rest")
 
-    def share(sizes: dict[str, int], wanted: int) -> dict[str, int]:
-        total = sum(sizes.values())
-        given = {c: wanted * n // total for c, n in sizes.items()}
-        by_rest = sorted(sizes, key=lambda c: (-(wanted * sizes[c] % total), c))
-        for c in by_rest[: wanted - sum(given.values())]:
-            given[c] += 1
-        return given
 
-    sizes = dict(counts)
-    total = sum(sizes.values())
+def split_quotas(sizes: DataFrame, total: int, test_size: float, val_size: float) -> DataFrame:
+    """(_label, _n) with ``_test`` and ``_val``, the rows of each class that go to test and validation."""
     n_test = math.ceil(test_size * total)
-    test = share(sizes, n_test)
-    left = {c: n - test[c] for c, n in sizes.items()}
+    out = _shared_out(sizes, "_n", n_test, total, "_test").withColumn("_left", F.col("_n") - F.col("_test"))
     n_val = math.ceil(val_size / (1 - test_size) * (total - n_test))
-    val = share(left, n_val)
-    return {c: (test[c], val[c]) for c in sizes}
+    return _shared_out(out, "_left", n_val, total - n_test, "_val").drop("_left")
 
 
 def stratified_split(df: DataFrame, id_col: str, label: str, test_size: float = 0.15,
-                     val_size: float = 0.15, seed: int = 42, max_classes: int = 1000) -> DataFrame:
-    """Add ``split`` (train, val or test) with exact quotas per class.
+                     val_size: float = 0.15, seed: int = 42) -> DataFrame:
+    """Add ``split`` (train, val or test) with exact quotas per class, however many classes there are.
 
     Rows of a class are ordered by a seeded hash; the first go to test, the next
     to validation.  Only the two cut points of each class are computed: counts
     per (class, hash bucket) find the bucket, and only that bucket's rows are
-    ordered.  The table itself is not shuffled.
+    ordered.  The cut points are a staged table of one row per class, which Spark
+    broadcasts if its files are small; then the table itself is not shuffled.
     """
-    spark = df.sparkSession
     keyed = df.select(F.col(label).alias("_label"), F.col(id_col).alias("_id"),
                       rank_key(seed, F.col(id_col)).alias("_key"))
     keyed = keyed.withColumn("_bucket", F.substring("_key", 1, SPLIT_BUCKETS))
     counts = stage(keyed.groupBy("_label", "_bucket").agg(F.count("*").alias("_n")), "split-counts")
 
-    classes = [(r["_label"], r["_n"]) for r in
-               counts.groupBy("_label").agg(F.sum("_n").alias("_n")).limit(max_classes + 1).collect()]
-    if len(classes) > max_classes:
-        raise ValueError(f"More than {max_classes} classes in {label}.")
-    if any(c is None for c, _ in classes):
+    sizes = stage(counts.groupBy("_label").agg(F.sum("_n").alias("_n")), "split-sizes")
+    seen = sizes.agg(F.sum("_n").alias("total"), F.count_if(F.col("_label").isNull()).alias("unlabelled"),
+                     F.count_if(F.col("_n") < 2).alias("single")).first()
+    if seen["unlabelled"]:
         raise ValueError(f"Rows without a {label} cannot be stratified.")
-    if any(n < 2 for _, n in classes):
+    if seen["single"]:
         raise ValueError(f"Every {label} needs at least 2 rows to be stratified.")
-    quotas = split_quotas(classes, test_size, val_size)
+    quotas = split_quotas(sizes, seen["total"] or 0, test_size, val_size) if seen["total"] else sizes.select(
+        "*", F.lit(0).alias("_test"), F.lit(0).alias("_val"))
 
-    marks = [(c, part, place) for c, (test, val) in quotas.items()
-             for part, place in (("test", test), ("val", test + val)) if place > 0]
-    label_type = df.schema[label].dataType.simpleString()
-    places = F.broadcast(spark.createDataFrame(marks, f"_label {label_type}, _part string, _place bigint"))
+    marks = F.array(F.struct(F.lit("test").alias("_part"), F.col("_test").alias("_place")),
+                    F.struct(F.lit("val").alias("_part"), (F.col("_test") + F.col("_val")).alias("_place")))
+    places = stage(quotas.select("_label", F.inline(marks)).where("_place > 0"), "split-places")
     so_far = F.sum("_n").over(Window.partitionBy("_label").orderBy("_bucket")
                               .rowsBetween(Window.unboundedPreceding, 0))
     upto = counts.withColumn("_upto", so_far).join(places, "_label")
@@ -183,14 +196,14 @@ def stratified_split(df: DataFrame, id_col: str, label: str, test_size: float =
                                            (F.col("_place") - F.col("_upto") + F.col("_n")).alias("_rank")),
                         "split-buckets")
     in_bucket = Window.partitionBy("_label", "_part").orderBy("_key", "_id")
-    cuts = (keyed.join(F.broadcast(cut_buckets), ["_label", "_bucket"])  # at most two rows per class
+    cuts = (keyed.join(cut_buckets, ["_label", "_bucket"])  # at most two rows per class
             .withColumn("_row", F.row_number().over(in_bucket)).where("_row = _rank")
             .groupBy("_label").pivot("_part", ["test", "val"])
             .agg(F.first(F.struct("_key", "_id"))))
     cuts = stage(cuts, "split-cuts")
     place = F.struct(rank_key(seed, F.col(id_col)).alias("_key"), F.col(id_col).alias("_id"))
     split = F.when(place <= F.col("test"), "test").when(place <= F.col("val"), "val").otherwise("train")
-    return (df.join(F.broadcast(cuts), df[label] == cuts["_label"], "left")  # one row per class
+    return (df.join(cuts, df[label] == cuts["_label"], "left")  # one row per class
             .select(*[df[c] for c in df.columns], split.alias("split")))
 
 
@@ -233,19 +246,21 @@ def short_spans(df: DataFrame, id_col: str, text: str = "text", label: str = "la
 
 def split_uniqueness(df: DataFrame, text: str = "text", split: str = "split") -> DataFrame:
     """(split, n_rows, n_texts).  Copies collapse per (split, text) before the final count."""
-    per_text = df.groupBy(split, text).agg(F.count("*").alias("_n"))
-    return per_text.groupBy(split).agg(F.sum("_n").alias("n_rows"), F.count(text).alias("n_texts"))
+    per_text = df.groupBy(split, digest(F.col(text)).alias("_key")).agg(F.count("*").alias("_n"))
+    return per_text.groupBy(split).agg(F.sum("_n").alias("n_rows"), F.count("_key").alias("n_texts"))
 
 
 def shared_texts(left: DataFrame, right: DataFrame, text: str = "text") -> DataFrame:
     """The distinct texts that both tables hold."""
-    return left.select(text).distinct().join(right.select(text).distinct(), text, "left_semi")
+    key = digest(F.col(text)).alias("_key")
+    shared = left.select(key).distinct().join(right.select(key).distinct(), "_key", "left_semi")
+    return left.select(text, key).join(shared, "_key", "left_semi").dropDuplicates(["_key"]).select(text)
 
 
 def split_overlap(df: DataFrame, text: str = "text", split: str = "split") -> DataFrame:
     """One row: exact texts shared by train and test, and by train and validation."""
-    seen = df.groupBy(text).agg(*[F.max((F.col(split) == s).cast("int")).alias(s)
-                                  for s in ("train", "val", "test")])
+    seen = df.groupBy(digest(F.col(text))).agg(*[F.max((F.col(split) == s).cast("int")).alias(s)
+                                                 for s in ("train", "val", "test")])
     return seen.agg(F.count_if(F.expr("train = 1 AND test = 1")).alias("train_test"),
                     F.count_if(F.expr("train = 1 AND val = 1")).alias("train_val"))
 
@@ -254,9 +269,9 @@ def template_overlap(df: DataFrame, text: str = "text", split: str = "split") ->
     """One row: templates (placeholders normalised) in train, in test and in both, and the
     shared share of test templates in percent; null when test is empty."""
     templates = df.where(F.col(split).isin("train", "test"))
-    templates = templates.withColumn(text, normalise_placeholders(F.col(text)))
-    seen = templates.groupBy(text).agg(*[F.max((F.col(split) == s).cast("int")).alias(s)
-                                         for s in ("train", "test")])
+    templates = templates.withColumn("_key", digest(normalise_placeholders(F.col(text))))
+    seen = templates.groupBy("_key").agg(*[F.max((F.col(split) == s).cast("int")).alias(s)
+                                           for s in ("train", "test")])
     totals = seen.agg(F.count_if(F.expr("train = 1")).alias("train_templates"),
                       F.count_if(F.expr("test = 1")).alias("test_templates"),
                       F.count_if(F.expr("train = 1 AND test = 1")).alias("shared_templates"))

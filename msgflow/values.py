@@ -105,6 +105,10 @@ FAILED_REPLY = (
     "Please try again, or contact human support."
 )
 NO_CONTEXT = "(No relevant support information was found in the knowledge base.)"
+PROMPT_CONTEXT = "Context (retrieved past support responses):\n"
+PROMPT_BLOCK = ("[Support response ", "]\n")  # around its number
+PROMPT_SENTIMENT = "\nDetected customer sentiment: "
+PROMPT_QUESTION = ('\nCustomer question: "', '"\n')  # around the message
 PLACEHOLDER_TOKEN = "{{PLACEHOLDER}}"
 SYNTHETIC_EMOTION = "synthetic"
 

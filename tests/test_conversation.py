@@ -23,6 +23,18 @@ def test_previous_value_over_blocks_and_gaps(spark, block):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 100])
+def test_previous_value_with_ties_null_groups_and_sparse_orders(spark, block):
+    rows = [("g", 0, "a"), ("g", 0, "b"), ("g", 3, "c"), ("g", 3, "c"), ("g", 10 ** 15, "d"), (None, 1, "x"), (None, 2, "y"),
+            ("h", -5, None), ("h", -5, "z"), ("h", None, "n")]
+    df = spark.createDataFrame(rows, "g string, n long, text string").repartition(3)
+    got = sorted((str(r.g), str(r.n), str(r.text), str(r.before)) for r in C.previous_value(df, "g", "n", "text", "before", block).collect())
+    assert got == sorted([("g", "0", "a", "None"), ("g", "0", "b", "a"), ("g", "3", "c", "b"), ("g", "3", "c", "c"),
+                          ("g", str(10 ** 15), "d", "c"), ("None", "1", "x", "None"), ("None", "2", "y", "x"),
+                          ("h", "None", "n", "None"), ("h", "-5", "None", "n"), ("h", "-5", "z", "None")])
+    assert C.previous_value(df.limit(0), "g", "n", "text", "before", block).count() == 0
+
+
 def test_turns_pairs_and_sizes(spark):
     scored = spark.createDataFrame([(1, 0, "hi", "hello"), (1, 1, "where", "there"), (2, 0, "a", "b")],
                                    "conv_id long, position long, text string, response string")

@@ -14,19 +14,20 @@ from msgflow.streaming.messages import answer_stream, read_output
 from msgflow.staging import new_path
 
 MESSAGES = [
-    (1, "Hi there!", "greeting", "direct"),
-    (2, "Thanks for your help!", "gratitude", "direct"),
-    (3, "Bye, talk later", "goodbye", "direct"),
-    (4, "Where is my order?", "order_status", "rag"),
-    (5, "Hello, where is my order?", "order_status", "rag"),
-    (6, "I want a refund", "billing_and_refunds", "rag"),
-    (7, "I forgot my password", "account_management", "rag"),
-    (8, "This is the worst service", "complaint", "rag_escalate"),
-    (9, "Let me talk to a person", "out_of_scope", "refusal"),
+    (1, "good morning", "greeting", "direct"),
+    (2, "thx a lot, team", "gratitude", "direct"),
+    (3, "see you soon", "goodbye", "direct"),
+    (4, "did the courier bring the tracking number", "order_status", "rag"),
+    (5, "hey, is the truck with the courier still in the depot?", "order_status", "rag"),
+    (6, "the amounts on the bill and on my card differ", "billing_and_refunds", "rag"),
+    (7, "my profile is blocked and the login fails", "account_management", "rag"),
+    (8, "shame on your rude staff, i am furious", "complaint", "rag_escalate"),
+    (9, "which song suits the weather", "out_of_scope", "refusal"),
     (10, "", "out_of_scope", "refusal"),
     (11, "  \t ", "out_of_scope", "refusal"),
     (12, None, "out_of_scope", "refusal"),
     (13, "https://only.a/link", None, None),
+    (14, "the tracking page has said packed since tuesday", "order_status", "rag"),
 ]
 
 
@@ -66,15 +67,16 @@ def test_fixed_rows(answered):
 
 
 def test_best_document_answers(answered):
-    doc = answered[4].retrieved_documents[0]
-    assert doc.instruction == "where is my order" and doc.similarity_score == 1.0
-    assert answered[4].response == doc.response == "Answer to: where is my order"
+    known = "the tracking page has said packed since tuesday"
+    doc = answered[14].retrieved_documents[0]
+    assert doc.instruction == known and doc.similarity_score == 1.0
+    assert answered[14].response == doc.response == f"Answer to: {known}"
 
 
 def test_hook_sees_only_knowledge_routes(messages, models):
     def make_hook():
         def answer(prompt):
-            if "password" in prompt.split("Customer question")[1]:
+            if "blocked" in prompt.split("Customer question")[1]:
                 raise RuntimeError("no luck")
             assert 'Customer question: "' in prompt and "[Support response 3]" in prompt
             return "hooked"
@@ -125,14 +127,14 @@ def test_json_and_counts(messages, models):
     df = M.answer_messages(messages, models)
     seen = Observation("routes")
     rows = M.observe_routes(df, seen).select("message_id", M.result_json().alias("j")).collect()
-    one = json.loads(next(r.j for r in rows if r.message_id == 4))
-    assert list(one) == M.RESULT_FIELDS and one["retrieved_documents"][0]["instruction"] == "where is my order"
+    one = json.loads(next(r.j for r in rows if r.message_id == 14))
+    assert list(one) == M.RESULT_FIELDS and one["retrieved_documents"][0]["instruction"] == "the tracking page has said packed since tuesday"
     assert seen.get["direct"] == 3 and sum(seen.get.values()) == len(MESSAGES)
     assert sum(r.n for r in M.outcome_counts(df).collect()) == len(MESSAGES)
 
 
 def test_retrieve_by_text(spark, models):
-    queries = spark.createDataFrame([(1, "I want a refund"), (2, "qqq")], "query_id long, text string")
+    queries = spark.createDataFrame([(1, "amounts on the bill"), (2, "qqq")], "query_id long, text string")
     got = {r.query_id: r.retrieved_documents for r in
            retrieve(queries, models.question_features, models.vectors, models.knowledge_base).collect()}
     assert len(got[1]) == len(got[2]) == 5
@@ -143,8 +145,8 @@ def test_retrieve_by_text(spark, models):
 
 
 @pytest.mark.parametrize("text,label", [
-    ("This is unacceptable, I want a refund now.", "Negative/Frustrated"), ("Thanks so much, that solved my problem!", "Positive/Satisfied"),
-    ("Where is my package?", "Neutral"), ("this is not acceptable", "Negative/Frustrated"), ("not a bad experience", "Positive/Satisfied"),
+    ("Rude, filthy, useless: a nightmare", "Negative/Frustrated"), ("The bench is beautiful and the advice was kind", "Positive/Satisfied"),
+    ("which aisle holds the soil", "Neutral"), ("far from brilliant, it leaks", "Negative/Frustrated"), ("cannot fault the lovely roses", "Positive/Satisfied"),
 ])
 def test_sentiment(spark, models, text, label):
     row = K.predict_sentiment(spark.createDataFrame([(text,)], "text string"), models.sentiment).first()
@@ -152,7 +154,7 @@ def test_sentiment(spark, models, text, label):
 
 
 @pytest.mark.parametrize("text,label", [
-    ("where is the order", "en"), ("¿dónde está el pedido?", "es"), ("où est la commande", "fr"), ("wo ist die bestellung", "de"),
+    ("when will the things arrive", "en"), ("¿cuándo van a llegar las cosas?", "es"), ("quand les choses vont arriver", "fr"), ("wann kommt die bestellung aus dem laden", "de"),
     (" ", "unknown"), (None, "unknown"),
 ])
 def test_language(spark, models, text, label):
@@ -191,7 +193,7 @@ def test_save_load_and_errors(spark, models):
     path = new_path(spark, "saved")
     models.intent.save(path)
     again = K.TextClassifier.load(spark, path)
-    df = spark.createDataFrame([("where is my order",), ("?",)], "text string")
+    df = spark.createDataFrame([("is the courier near",), ("?",)], "text string")
     assert again.score(df, "text").collect() == models.intent.score(df, "text").collect()
     assert again.labels == models.intent.labels and again.features.rule == models.intent.features.rule
     with pytest.raises(FileNotFoundError, match="train one"):

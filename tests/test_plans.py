@@ -44,9 +44,14 @@ def test_term_counts_shuffle_terms_only(documents):
     assert "ReadSchema: struct<text:string>" in text
 
 
-def test_keep_first_shuffles_once_after_a_partial_aggregate(documents):
+def test_texts_are_compared_by_digest(documents):
     text = plan(prepare.keep_first(documents.select("doc_id", "text"), "text", "doc_id"))
-    assert exchanges(text) == 1 and text.index("partial_min_by") > text.index("Exchange")
+    assert "HashAggregate(keys=[_key" in text and "partial_min(doc_id" in text and "hashpartitioning(text" not in text
+    rows = documents.select("doc_id", "text", F.lit("train").alias("split"))
+    for counted in (prepare.split_uniqueness(rows), prepare.split_overlap(rows), prepare.template_overlap(rows),
+                    prepare.duplicate_counts(rows, "text")):
+        text = plan(counted)
+        assert "SortAggregate" not in text and "hashpartitioning(text" not in text and "hashpartitioning(split#" in text or "sha2" in text
 
 
 def test_split_does_not_shuffle_the_table(documents):
@@ -57,7 +62,7 @@ def test_split_does_not_shuffle_the_table(documents):
 def test_previous_turn_shuffles_texts_once(spark):
     turns = spark.read.parquet(f"{DATA}/conversations.parquet")
     text = plan(conversation.assistant_pairs(turns))
-    assert len(re.findall(r"Exchange hashpartitioning\(conv_id#\d+L?, _block", text)) >= 1
+    assert len(re.findall(r"Exchange hashpartitioning\(_part#\d+L?, _block", text)) >= 1
     assert exchanges(text) <= 2
 
 

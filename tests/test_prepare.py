@@ -72,8 +72,43 @@ def test_split_refuses_missing_and_single_labels(spark):
         P.stratified_split(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id long, label string"), "id", "label")
 
 
-def test_quota_ties_go_by_label():
-    assert P.split_quotas([("b", 10), ("a", 10)], 0.15, 0.15) == {"b": (1, 2), "a": (2, 1)}
+def plain_quotas(sizes, test_size, val_size):
+    def share(sizes, wanted):
+        total = sum(sizes.values())
+        given = {c: wanted * n // total for c, n in sizes.items()}
+        for c in sorted(sizes, key=lambda c: (-(wanted * sizes[c] % total), c))[:wanted - sum(given.values())]:
+            given[c] += 1
+        return given
+
+    total = sum(sizes.values())
+    test = share(sizes, math.ceil(test_size * total))
+    left = {c: n - test[c] for c, n in sizes.items()}
+    val = share(left, math.ceil(val_size / (1 - test_size) * sum(left.values())))
+    return {c: (test[c], val[c]) for c in sizes}
+
+
+def test_quotas_are_largest_remainders_with_ties_by_label(spark):
+    rng = random.Random(5)
+    tables = [{"b": 10, "a": 10}, {f"c{i}": rng.randint(2, 50) for i in range(3000)}, {"x": 3 * 10 ** 17, "y": 10 ** 17, "z": 7}]
+    for sizes in tables:
+        df = spark.createDataFrame(list(sizes.items()), "_label string, _n long")
+        got = P.split_quotas(df, sum(sizes.values()), 0.15, 0.15).collect()
+        if max(sizes.values()) < 10 ** 17:
+            assert {r._label: (r._test, r._val) for r in got} == plain_quotas(sizes, 0.15, 0.15)
+        else:
+            assert all(0 <= r._test + r._val <= r._n for r in got) and sum(r._test for r in got) == math.ceil(0.15 * sum(sizes.values()))
+
+
+def test_many_classes_and_no_rows(spark):
+    df = spark.range(6000).withColumn("label", F.col("id") % 2000)
+    got = P.stratified_split(df, "id", "label").groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in got} == {"test": 900, "val": 901, "train": 4199}
+    assert P.stratified_split(df.limit(0), "id", "label").count() == 0
+
+
+def test_keep_first_with_null_keys_and_ties(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (5, ""), (3, ""), (7, "x"), (7, "x")], "id long, text string")
+    assert sorted(str(tuple(r)) for r in P.keep_first(df, "text", "id").collect()) == sorted(map(str, [(1, None), (3, ""), (7, "x")]))
 
 
 def test_map_intents(spark):
@@ -83,6 +118,11 @@ def test_map_intents(spark):
     bad = spark.createDataFrame([("zeta",), ("review",), ("alpha",), ("zeta",)], "intent string")
     with pytest.raises(ValueError, match=r"\['alpha', 'zeta'\]"):
         P.map_intents(bad)
+    many = spark.range(2500).select(F.format_string("raw%04d", "id").alias("intent"))
+    with pytest.raises(ValueError, match="2500 raw values") as raised:
+        P.map_intents(many)
+    listed = spark.read.parquet(str(raised.value).split("all are listed in ")[1].split(". Extend")[0])
+    assert [r.intent for r in listed.orderBy("intent").collect()] == [f"raw{i:04d}" for i in range(2500)]
 
 
 def test_map_emotions(spark):
