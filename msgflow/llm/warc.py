@@ -1,16 +1,20 @@
 """WARC archives: written by Spark's text writer, indexed, and read back by byte ranges.
 
-A record is a header block, an empty line, the content and two line ends; the
-text writer with ``\\r\\n\\r\\n`` between lines writes exactly that, to any file
-system Spark knows.  Reading is index first: one pass writes offset, length, URL
-and digest per record; a selection of index rows is then sorted by file and
-offset, near neighbours are coalesced, and each range is read at once.
+A record is a header block, an empty line, the content and two line ends, as a
+gzip member of its own.  The text writer, with an empty gzip member between
+lines, puts them to any file system Spark knows.  Reading is index first: one
+pass writes offset, length, URL and digest per record; a selection of index rows
+is then sorted by file and offset, near neighbours are coalesced, and each range
+is read at once.
 """
 
 from __future__ import annotations
 
+import gzip
 import re
+import zlib
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -22,6 +26,9 @@ _CONV, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 #: Ranges at most so far apart are read as one; one read is at most about so long (a longer record is read alone).
 GAP, READ = 64 << 10, 4 << 20
 
+#: What the text writer puts after each record: a gzip member of no bytes, as Latin-1 characters.
+_EMPTY_MEMBER = gzip.compress(b"", mtime=0)
+
 _INDEX = ("file string, offset long, length long, page_id long, url string, record_type string, "
           "payload_digest string, refers_to long")
 _RECORD = "page_id long, url string, record_type string, refers_to long, payload string, payload_bytes long, payload_digest string"
@@ -49,7 +56,7 @@ def with_references(pages: DataFrame, smallest: int = 0) -> DataFrame:
 
 
 def record(page_id: Column, url: Column, html: Column, first: Column, date: str) -> Column:
-    """A record as text, without the two line ends after it."""
+    """A whole record as text."""
     end = F.lit("\r\n")
     revisit = first.isNotNull() & (first != F.coalesce(page_id, first + 1))
     payload = html.cast("binary")
@@ -73,7 +80,7 @@ def record(page_id: Column, url: Column, html: Column, first: Column, date: str)
         F.when(revisit, F.concat(F.lit("X-Refers-To-Page-ID: "), first.cast("string"))),
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(content).cast("string"))]
-    return F.concat(F.concat_ws("\r\n", *lines), end, end, content)  # concat_ws leaves null lines out
+    return F.concat(F.concat_ws("\r\n", *lines), end, end, content, end, end)  # concat_ws leaves null lines out
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", smallest: int = 0) -> None:
@@ -84,9 +91,14 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
     the others revisits of it; rows that share that page_id, and rows without one, are
     all responses.  Other columns are not read; an empty table writes no record.
     """
+
+    def member(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: gzip.compress(x, mtime=0))
+
     rows = with_references(pages, smallest)
-    lines = rows.select(record(F.col("page_id"), F.col("url"), F.col("html"), F.col("first"), date).alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").text(path)
+    lines = rows.select(record(F.col("page_id"), F.col("url"), F.col("html"), F.col("first"), date).cast("binary").alias("value"))
+    lines = lines.select(F.pandas_udf(member, "binary")("value").cast("string").alias("value"))
+    lines.write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY_MEMBER.decode("latin-1")).text(path)
 
 
 def _opened(uri: str):
@@ -110,20 +122,26 @@ def _entry(head: dict[str, str]) -> dict:
             "payload_digest": digest.split(":", 1)[1] if digest else None, "refers_to": number[1]}
 
 
-def _records(file, chunk: int = 1 << 20):
-    """(offset, length, header) of each record; of the contents only ends are looked at."""
-    size, offset = file.size(), 0
-    while offset < size:
-        window = b""
-        while (end := window.find(b"\r\n\r\n")) < 0:
-            more = file.read_at(min(chunk, 1 << 14 if not window else chunk), offset + len(window))
-            if not more:
-                raise ValueError(f"a record at {offset} has no end of its header")
-            window += more
-        head = _header(window[:end])
-        length = end + 4 + int(head["Content-Length"]) + 4
-        yield offset, length, head
-        offset += length
+def _records(file, feed: int = 4096, chunk: int = 1 << 20):
+    """(offset, length, header) of each record; of its content nothing is kept."""
+    size, begin, data, at = file.size(), 0, b"", 0  # data[at:] has not been read yet and begins at byte ``begin``
+    while begin < size:
+        member, head, ended, length = zlib.decompressobj(31), b"", False, 0
+        while not member.eof:
+            if at == len(data):
+                data, at = file.read_at(chunk, begin + length), 0
+                if not data:
+                    raise ValueError(f"the record at {begin} has no end")
+            part = data[at:at + feed]
+            out = member.decompress(part)
+            used = len(part) - len(member.unused_data)
+            at, length = at + used, length + used
+            if not ended:
+                head += out
+                ended = b"\r\n\r\n" in head
+        if head:
+            yield begin, length, _header(head[:head.index(b"\r\n\r\n")])
+        begin += length
 
 
 def index_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -186,9 +204,9 @@ def read_records(index: DataFrame, gap: int = GAP, read: int = READ) -> DataFram
                 out = []
                 for item in row["records"]:
                     begin = item["offset"] - row["start"]
-                    end = data.index(b"\r\n\r\n", begin)
-                    entry = _entry(_header(data[begin:end]))
-                    content = data[end + 4:begin + item["length"] - 4]
+                    whole = zlib.decompress(data[begin:begin + item["length"]], 31)
+                    end = whole.index(b"\r\n\r\n")
+                    entry, content = _entry(_header(whole[:end])), whole[end + 4:-4]
                     payload = content[content.index(b"\r\n\r\n") + 4:]
                     if entry["record_type"] == "response":
                         digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
