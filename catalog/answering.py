@@ -3,14 +3,15 @@
 from pyspark.sql import functions as F
 
 from catalog.features import sql_weights, sql_word_terms
+from catalog.preparation import SQL_KB
 from catalog.registry import query, sql_text
 from catalog.retrieval import SQL_KB_WEIGHTS, knowledge_base
 from catalog.routes import SQL_DIRECT, SQL_RULED, chatty, ruled
 from msgflow import values
 from msgflow.functions.prompting import user_prompt
-from msgflow.operators.answers import hook_answers
+from msgflow.operators.answers import EncoderFeatures
 from msgflow.plans.knowledge import build_vectors
-from msgflow.plans.message_flow import answer_scored, result_json
+from msgflow.plans.message_flow import RESULT_FIELDS, answer_scored, result_json
 from msgflow.staging import stage
 
 
@@ -53,20 +54,59 @@ def default_answers(spark, sf_dir):
     return answered(spark, sf_dir).where(F.col("route").isin("rag", "rag_escalate")).select("message_id", "response")
 
 
+SQL_PROMPTS = f"""{SQL_ANSWERED}, prompted AS (SELECT *, 'Context (retrieved past support responses):' || chr(10) || coalesce(context, {sql_text(values.NO_CONTEXT)})
+  || chr(10) || chr(10) || 'Detected customer sentiment: ' || sentiment || chr(10) || 'Customer question: "' || text || '"' || chr(10) AS prompt
+  FROM answered WHERE route IN ('rag', 'rag_escalate'))"""
+
+
 @query("c6_hook_answers", f"""
-WITH {SQL_RULED} SELECT message_id, CASE WHEN contains(text, 'ç') THEN {sql_text(values.ANSWER_FALLBACK)} ELSE length(text) || ' characters' END AS answer,
-  CASE WHEN contains(text, 'ç') THEN 'cannot answer' END AS error FROM ruled""")
+WITH {SQL_PROMPTS} SELECT message_id, CASE WHEN contains(prompt, 'ç') THEN {sql_text(values.ANSWER_FALLBACK)} ELSE length(prompt) || ' characters' END
+  || CASE WHEN escalate THEN {sql_text(values.ESCALATION_NOTICE)} ELSE '' END AS response,
+  CASE WHEN contains(prompt, 'ç') THEN 'cannot answer' END AS error FROM prompted""")
 def hooked_answers(spark, sf_dir):
-    """A stand-in generator: it counts characters, and fails on prompts with a ç."""
-    def make_hook():
+    """The prompts that the flow builds go to the hook, and its answers into the replies."""
+    def make_hook():  # inside the query, so that executors need not import this module
         def answer(prompt):
             if "ç" in prompt:
                 raise ValueError("cannot answer")
             return f"{len(prompt)} characters"
         return answer
 
-    prompts = ruled(chatty(spark, sf_dir)).select("message_id", F.col("text").alias("prompt"))
-    return hook_answers(prompts, make_hook)
+    rows = answered(spark, sf_dir, make_hook)
+    return rows.where(F.col("route").isin("rag", "rag_escalate")).select("message_id", "response", "error")
+
+
+SQL_ENCODED = f"""{SQL_RULED}, {SQL_KB},
+sized AS (SELECT doc_id, length(instruction)::DOUBLE AS a, length(regexp_replace(lower(instruction), '[^aeiou]', '', 'g'))::DOUBLE AS b FROM kb),
+known AS (SELECT doc_id, a / sqrt(a * a + b * b + 1) AS x, b / sqrt(a * a + b * b + 1) AS y, 1 / sqrt(a * a + b * b + 1) AS z FROM sized),
+asked_sized AS (SELECT *, length(text)::DOUBLE AS a, length(regexp_replace(lower(text), '[^aeiou]', '', 'g'))::DOUBLE AS b FROM ruled WHERE route IN ('rag', 'rag_escalate')),
+asked AS (SELECT *, a / sqrt(a * a + b * b + 1) AS x, b / sqrt(a * a + b * b + 1) AS y, 1 / sqrt(a * a + b * b + 1) AS z FROM asked_sized WHERE NOT contains(text, 'ç')),
+met AS (SELECT message_id, k.doc_id, round(asked.x * k.x + asked.y * k.y + asked.z * k.z, 6) AS s FROM asked CROSS JOIN known k),
+hits AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY s DESC, doc_id) AS rank FROM met QUALIFY rank <= 3),
+found AS (SELECT message_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS doc_ids FROM hits GROUP BY 1)"""
+
+
+@query("c7_encoder_flow", f"""
+WITH {SQL_ENCODED} SELECT r.message_id, r.route, coalesce(doc_ids, '') AS doc_ids, contains(text, 'ç') AND r.route IN ('rag', 'rag_escalate') AS failed,
+  CASE WHEN contains(text, 'ç') AND r.route IN ('rag', 'rag_escalate') THEN 'no ç please' END AS error FROM ruled r LEFT JOIN found USING (message_id)""")
+def encoder_flow(spark, sf_dir):
+    """A stand-in encoder, text -> (characters, vowels, 1), that fails on a ç: such a message gets the apology, the others go on."""
+    def make_encoder():
+        return lambda texts: [[len(t), sum(c in "aeiou" for c in t.lower()), 1.0] for t in texts]
+
+    def make_strict_encoder():
+        def encode(texts):
+            if any("ç" in t for t in texts):
+                raise ValueError("no ç please")
+            return [[len(t), sum(c in "aeiou" for c in t.lower()), 1.0] for t in texts]
+        return encode
+
+    kb = knowledge_base(spark, sf_dir)
+    _, vectors = build_vectors(kb, EncoderFeatures(make_encoder))
+    scored = stage(ruled(chatty(spark, sf_dir)), "ruled")
+    rows = answer_scored(scored, kb, EncoderFeatures(make_strict_encoder), vectors)
+    return rows.select("message_id", "route", F.array_join(F.col("retrieved_documents.doc_id").cast("array<string>"), ",").alias("doc_ids"),
+                       (F.col("response") == values.FAILED_REPLY).alias("failed"), "error")
 
 
 @query("c7_answer_scored", f"""
@@ -81,14 +121,18 @@ def answer_by_rule(spark, sf_dir):
 
 
 @query("c8_result_json", f"""
-WITH {SQL_ANSWERED} SELECT message_id, intent, route, response, escalate, n_docs, doc_ids FROM answered""")
+WITH {SQL_ANSWERED} SELECT message_id, 'en' AS language, 0.5::DOUBLE AS language_confidence, sentiment, 0.25::DOUBLE AS sentiment_confidence,
+  intent, intent_confidence, intent_source, route, response, escalate, n_docs, doc_ids, best_score FROM answered""")
 def result_as_json(spark, sf_dir):
-    """Serialise every result, then read the fields back out of the JSON."""
-    fields = ["intent", "route", "retrieved_documents", "response", "escalate"]
-    rows = answered(spark, sf_dir).select("message_id", result_json(fields).alias("json"))
-    back = F.from_json("json", "intent string, route string, retrieved_documents array<struct<doc_id:bigint>>, "
-                               "response string, escalate boolean")
+    """Serialise every result, all eleven fields, then read them back out of the JSON."""
+    rows = answered(spark, sf_dir).withColumns({"language": F.lit("en"), "language_confidence": F.lit(0.5),
+                                                "sentiment_confidence": F.lit(0.25)})
+    rows = rows.select("message_id", result_json().alias("json"))
+    back = F.from_json("json", "language string, language_confidence double, sentiment string, sentiment_confidence double, intent string, "
+                               "intent_confidence double, intent_source string, route string, "
+                               "retrieved_documents array<struct<doc_id:bigint,similarity_score:double>>, response string, escalate boolean")
+    documents = F.col("r.retrieved_documents")
     return rows.select("message_id", back.alias("r")).select(
-        "message_id", "r.intent", "r.route", "r.response", "r.escalate",
-        F.size("r.retrieved_documents").cast("bigint").alias("n_docs"),
-        F.array_join(F.col("r.retrieved_documents.doc_id").cast("array<string>"), ",").alias("doc_ids"))
+        "message_id", *[f"r.{c}" for c in RESULT_FIELDS if c != "retrieved_documents"], F.size(documents).cast("bigint").alias("n_docs"),
+        F.array_join(documents["doc_id"].cast("array<string>"), ",").alias("doc_ids"),
+        F.array_max(documents["similarity_score"]).alias("best_score"))

@@ -26,11 +26,12 @@ def sql_word_terms(source: str, id_col: str, text: str, name: str = "counted") -
   SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM {name}_words) GROUP BY 1, 2)"""
 
 
-def sql_vocabulary(source: str, counted: str, min_df: int, max_features: int) -> str:
+def sql_vocabulary(source: str, counted: str, min_df: int = 1, max_features: int | None = None) -> str:
+    most = "" if max_features is None else f"ORDER BY total DESC, term LIMIT {max_features}"
     return f"""
 vocabulary AS (SELECT term, sum(tf)::BIGINT AS total, count(*) AS n_docs,
   ln((1.0::DOUBLE + (SELECT count(*) FROM {source})) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE AS idf
-  FROM {counted} GROUP BY term HAVING count(*) >= {min_df} ORDER BY total DESC, term LIMIT {max_features})"""
+  FROM {counted} GROUP BY term HAVING count(*) >= {min_df} {most})"""
 
 
 def sql_weights(counted: str, sublinear: bool, name: str = "weights") -> str:

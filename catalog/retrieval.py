@@ -49,7 +49,7 @@ def encoder_hook(spark, sf_dir):
 
 
 SQL_KB_WEIGHTS = f"""{SQL_KB}, {sql_word_terms('kb', 'doc_id', 'instruction', 'kb_terms')},
-{sql_vocabulary('kb', 'kb_terms', 2, 20000)}, {sql_weights('kb_terms', False, 'kb_weights')}"""
+{sql_vocabulary('kb', 'kb_terms')}, {sql_weights('kb_terms', False, 'kb_weights')}"""
 
 
 @query("r2_vector_table", f"""
@@ -58,7 +58,7 @@ def vector_table(spark, sf_dir):
     features, vectors = build_vectors(knowledge_base(spark, sf_dir))
     parts = vectors.select("doc_id", F.inline(F.arrays_zip(
         F.col("embedding.indices").alias("idx"), F.col("embedding.values").alias("weight"))))
-    terms = features.vocabulary.select("idx", "term")  # staged: broadcast only if small
+    terms = features.vocabulary.select("idx", "term")  # staged: broadcast only if its files are small
     return parts.join(terms, "idx").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 

@@ -11,7 +11,7 @@ from msgflow.functions.text import clean_intent_text
 from msgflow.operators.prepare import mapped
 from msgflow.plans.message_flow import contain_failures, failed_reply, outcome_counts
 from msgflow.staging import new_path
-from msgflow.streaming.messages import start_stream
+from msgflow.streaming.messages import read_output, start_stream
 
 # --------------------------------------------------------------- small talk
 
@@ -202,11 +202,13 @@ SQL_TURNS = "turns AS (SELECT conv_id * 1000000 + turn AS message_id, conv_id, t
 @query("c11_drained_stream", f"""
 WITH {SQL_TURNS}, {sql_ruled('turns')} SELECT message_id, role, intent, intent_confidence, intent_source, sentiment, route FROM ruled""")
 def drained_stream(spark, sf_dir):
-    """The conversations file as a stream, routed batch by batch until it is drained."""
-    schema = table(spark, sf_dir, "conversations").schema
-    arriving = (spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
-                .withColumn("message_id", F.col("conv_id") * 1000000 + F.col("turn")))
+    """The conversations as a stream of several files, routed batch by batch until it is drained."""
+    turns = table(spark, sf_dir, "conversations")
+    arriving = new_path(spark, "arriving-turns")
+    turns.repartition(4, "conv_id").write.parquet(arriving)
+    stream = (spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+              .withColumn("message_id", F.col("conv_id") * 1000000 + F.col("turn")))
     output = new_path(spark, "routed-stream")
-    start_stream(arriving, ruled, output, new_path(spark, "stream-checkpoint")).awaitTermination()
-    return spark.read.parquet(output).select(
+    start_stream(stream, ruled, output, new_path(spark, "stream-checkpoint")).awaitTermination()
+    return read_output(spark, output).select(
         "message_id", "role", "intent", "intent_confidence", "intent_source", "sentiment", "route")

@@ -49,21 +49,59 @@ def hook_answers(df: DataFrame, make_hook: Callable[[], Callable[[str], str]], k
 
 
 def hook_embeddings(df: DataFrame, make_encoder: Callable, key: str, text: str) -> DataFrame:
-    """(key, embedding): ``make_encoder`` runs once per task and returns list of texts -> list of vectors.
+    """(key, embedding, embedding_error): see :class:`EncoderFeatures`."""
+    return EncoderFeatures(make_encoder).arrays(df.select(key, text), text).drop(*({text} - {key}))
 
-    The vectors are scaled to unit length.
+
+class EncoderFeatures:
+    """A dense encoder in the place of term weights.
+
+    ``make_encoder`` runs once per task and returns list of texts -> list of vectors;
+    these are scaled to unit length.  If a batch fails its texts are encoded one by
+    one, and a text that fails has a null vector and its error.
     """
-    from msgflow.operators.features import unit_length
 
-    schema = T.StructType([df.schema[key], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    def __init__(self, make_encoder: Callable[[], Callable[[list], list]]):
+        self.make_encoder = make_encoder
 
-    def run(batches):
-        import pandas as pd
+    def arrays(self, df: DataFrame, text: str, output: str = "embedding") -> DataFrame:
+        """Add ``output`` and ``{output}_error``."""
+        from msgflow.operators.features import unit_length
 
-        encode = make_encoder()
-        for batch in batches:
-            vectors = encode(list(batch[text]))
-            yield pd.DataFrame({key: batch[key], "embedding": [[float(x) for x in v] for v in vectors]})
+        make_encoder, place = self.make_encoder, df.columns.index(text)
+        schema = T.StructType([*df.schema.fields, T.StructField(output, T.ArrayType(T.DoubleType())),
+                               T.StructField(f"{output}_error", T.StringType())])
+
+        def run(batches):
+            import pyarrow as pa
 
-    found = df.select(key, text).mapInPandas(run, schema)
-    return found.withColumn("embedding", unit_length(F.col("embedding")))
+            encode = broken = None
+            try:
+                encode = make_encoder()
+            except Exception as problem:  # noqa: BLE001 - every text of the task reports it
+                broken = str(problem) or type(problem).__name__
+
+            def plain(vectors):
+                return [[float(x) for x in v] for v in vectors]
+
+            def one(text):
+                if encode is None:
+                    return None, broken
+                try:
+                    return plain(encode([text]))[0], None
+                except Exception as problem:  # noqa: BLE001
+                    return None, str(problem) or type(problem).__name__
+
+            for batch in batches:
+                texts = batch.column(place).to_pylist()
+                try:
+                    vectors, errors = plain(encode(texts)), [None] * len(texts)
+                    if len(vectors) != len(texts):
+                        raise ValueError("one vector for each text is needed")
+                except Exception:  # noqa: BLE001
+                    vectors, errors = zip(*map(one, texts)) if texts else ([], [])
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(list(vectors), pa.list_(pa.float64())), pa.array(list(errors), pa.string())],
+                    [*batch.schema.names, output, f"{output}_error"])
+
+        return df.mapInArrow(run, schema).withColumn(output, unit_length(F.col(output)))

@@ -30,6 +30,8 @@ class TermRule:
 
 
 LANGUAGE_TERMS = TermRule("char", max_n=3, max_features=50_000, sublinear=True)
+#: Retrieval keeps every term: one that stands in a single question tells most.
+RETRIEVAL_TERMS = TermRule("word", max_n=2, max_features=0, min_df=1)
 INTENT_TERMS = TermRule("word", max_n=2, max_features=20_000, min_df=2)
 SENTIMENT_TERMS = TermRule("word", max_n=2, max_features=20_000, min_df=2)
 
@@ -107,6 +109,45 @@ class TfIdf:
         return pairs.join(F.broadcast(self.vocabulary.select("idx", "term")), "idx").select(id_col, "term", "weight")
 
 
+class TermWeights:
+    """The idf of every term of a corpus as a table, for TF-IDF without a vocabulary.
+
+    A term's index is its 64-bit hash, so nothing is collected and nothing is cut
+    (``max_features`` and ``min_df`` of the rule are not looked at); two terms share
+    an index with a chance of about n * n / 2^65.
+    """
+
+    def __init__(self, rule: TermRule, vocabulary: DataFrame):
+        self.rule = rule
+        self.vocabulary = vocabulary  # idx, term, n_docs, idf
+
+    @classmethod
+    def fit(cls, df: DataFrame, text: str, rule: TermRule = RETRIEVAL_TERMS) -> TermWeights:
+        n_rows = df.select(F.count("*")).scalar()
+        idf = (F.log((F.lit(1.0) + n_rows) / (F.lit(1.0) + F.col("n_docs"))) + 1.0).alias("idf")
+        counts = term_counts(df, text, rule).groupBy(F.xxhash64("term").alias("idx")).agg(
+            F.min("term").alias("term"), F.sum("n_docs").alias("n_docs"))
+        return cls(rule, stage(counts.select("idx", "term", "n_docs", idf), "term-weights"))
+
+    def arrays(self, df: DataFrame, text: str, output: str = "embedding") -> DataFrame:
+        """Add the TF-IDF vector of unit length as struct(indices, values); empty arrays if no term is known.
+
+        Terms meet their weights in a join, so the rows are numbered once and staged.
+        """
+        rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "weighted-rows")
+        terms = rows.select("_row", F.explode(self.rule.terms(F.col(text))).alias("term"))
+        counts = terms.groupBy("_row", F.xxhash64("term").alias("idx")).agg(F.count("*").alias("tf"))
+        met = counts.join(self.vocabulary.select("idx", "idf"), "idx").select(
+            "_row", "idx", (F.col("tf") * F.col("idf")).alias("w"))
+        by_row = met.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("_all"))
+        norm = F.sqrt(F.aggregate("_all", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+        unit = F.struct(F.transform("_all", lambda x: x["idx"]).alias("indices"),
+                        F.transform("_all", lambda x: x["w"] / F.col("_norm")).alias("values"))
+        vector = by_row.withColumn("_norm", norm).select("_row", unit.alias("_vector"))
+        none = F.struct(F.array().cast("array<bigint>").alias("indices"), F.array().cast("array<double>").alias("values"))
+        return rows.join(vector, "_row", "left").withColumn(output, F.coalesce("_vector", none)).drop("_row", "_vector")
+
+
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """(label, n, weight) with balanced weights n / (classes * n_of_class)."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))

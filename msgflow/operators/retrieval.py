@@ -1,18 +1,25 @@
 """Exact top-k retrieval over a vector table (doc_id, embedding).
 
-An embedding is an array of numbers, or struct(indices, values) when sparse.
-Scores are inner products, rounded to six decimals before ranking, with ties by
-doc_id, so they do not depend on the order of summation.
+An embedding is an array of numbers, or struct(indices, values) when sparse; an
+index is any 64-bit number.  Scores are inner products, rounded to six decimals
+before ranking, with ties by doc_id, so they do not depend on the order of
+summation.  Documents without an embedding are never found; a query without one
+finds nothing.  Query ids may repeat: every row of the queries has its own hits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from msgflow import values
+from msgflow.staging import stage
+
+SALTS = 16  # ways that the hits of one document are spread when its text is fetched
 
 BROADCAST_BYTES = 256 * 1024 * 1024  # vector tables up to this size go to every executor
 BLOCK_BYTES = 64 * 1024 * 1024       # larger ones are searched in blocks of about this size
@@ -49,28 +56,40 @@ def _kernel(sparse: bool, k: int) -> tuple[Callable, Callable]:
         place[order] = np.arange(len(ids))
         doc = np.repeat(place, lengths)
         by_term = np.lexsort((doc, flat[0]))
-        n_terms = int(flat[0].max()) + 1 if len(flat[0]) else 0
-        starts = np.concatenate([[0], np.cumsum(np.bincount(flat[0], minlength=n_terms))])
-        return {"ids": ids[order], "starts": starts, "doc": doc[by_term], "weight": flat[1][by_term]}
+        terms, starts = np.unique(flat[0][by_term], return_index=True)
+        return {"ids": ids[order], "terms": terms, "starts": np.append(starts, len(by_term)), "doc": doc[by_term],
+                "weight": flat[1][by_term]}
 
     def chunks(block, embeddings):
-        """(first row, dense score matrix) pieces of bounded size."""
+        """(first row, dense score matrix) pieces of bounded size, for dense embeddings."""
         import numpy as np
 
         n_docs = len(block["ids"])
         rows = max(1, 2_000_000 // n_docs)
         lengths, flat = ragged(embeddings)
-        if not sparse:
-            queries = flat[0].reshape(len(lengths), -1)
-            for at in range(0, len(queries), rows):
-                yield at, queries[at:at + rows] @ block["matrix"].T
-            return
-        term, weight = flat
+        wide = block["matrix"].shape[1]
+        if len(lengths) and not (lengths == wide).all():
+            raise ValueError(f"A query has {int(lengths[lengths != wide][0])} numbers, the documents have {wide}.")
+        queries = flat[0].reshape(len(lengths), -1)
+        for at in range(0, len(queries), rows):
+            yield at, queries[at:at + rows] @ block["matrix"].T
+
+    def met(block, embeddings):
+        """(first row, end row, cell, score) pieces of bounded size, for sparse ones: a cell is row * documents + document.
+
+        Only documents that share a term with the query, and the first k, which pad the result, have a cell.
+        """
+        import numpy as np
+
+        n_docs = len(block["ids"])
+        rows = max(1, 2_000_000 // max(1, min(k, n_docs)))
+        lengths, (term, weight) = ragged(embeddings)
         row = np.repeat(np.arange(len(lengths)), lengths)
-        known = term < len(block["starts"]) - 1
-        term, weight, row = term[known], weight[known], row[known]
-        begin = block["starts"][term] if len(term) else term
-        hits = block["starts"][term + 1] - begin if len(term) else term
+        place = np.minimum(np.searchsorted(block["terms"], term), max(len(block["terms"]) - 1, 0))
+        known = block["terms"][place] == term if len(block["terms"]) else np.zeros(len(term), bool)
+        place, weight, row = place[known], weight[known], row[known]
+        begin = block["starts"][place]
+        hits = block["starts"][place + 1] - begin if len(place) else place
         at = 0
         ends = np.searchsorted(row, np.arange(len(lengths) + 1))
         cost = np.concatenate([[0], np.cumsum(hits)])[ends]
@@ -84,8 +103,9 @@ def _kernel(sparse: bool, k: int) -> tuple[Callable, Callable]:
             posting = shift + np.arange(len(shift))
             cell = np.repeat(row[some] - at, n) * n_docs + block["doc"][posting]
             product = np.repeat(weight[some], n) * block["weight"][posting]
-            scores = np.bincount(cell, product, minlength=(stop - at) * n_docs)
-            yield at, scores.reshape(stop - at, n_docs)
+            pad = (np.arange(stop - at)[:, None] * n_docs + np.arange(min(k, n_docs))).ravel()
+            cells, which = np.unique(np.concatenate([cell, pad]), return_inverse=True)
+            yield at, stop, cells, np.bincount(which, np.concatenate([product, np.zeros(len(pad))]))
             at = stop
 
     def search(block, embeddings):
@@ -96,7 +116,14 @@ def _kernel(sparse: bool, k: int) -> tuple[Callable, Callable]:
         n_docs = len(block["ids"])
         keep = min(k, n_docs)
         backwards = n_docs - 1 - np.arange(n_docs, dtype=np.int64)
-        for at, scores in chunks(block, embeddings) if n_docs else ():
+        for at, stop, cells, scores in met(block, embeddings) if sparse and n_docs else ():
+            row, doc, rounded = cells // n_docs, cells % n_docs, np.rint(scores * 1e6).astype(np.int64)
+            best = np.lexsort((doc, -rounded, row))
+            starts = np.searchsorted(row[best], np.arange(stop - at))
+            best = best[(starts[:, None] + np.arange(keep)).ravel()]  # every row has at least ``keep`` cells
+            found.append((np.repeat(np.arange(at, stop), keep), np.tile(np.arange(1, keep + 1), stop - at),
+                          block["ids"][doc[best]], rounded[best] / 1e6))
+        for at, scores in chunks(block, embeddings) if n_docs and not sparse else ():
             rounded = np.rint(scores * 1e6).astype(np.int64)
             key = rounded * n_docs + backwards  # score first, then the smaller doc_id
             best = np.argpartition(-key, keep - 1, axis=1)[:, :keep]
@@ -119,19 +146,50 @@ def is_sparse(df: DataFrame, embedding: str = "embedding") -> bool:
 def vector_bytes(vectors: DataFrame, embedding: str = "embedding") -> int:
     """The memory the vector table takes as numbers: 8 bytes each, and 8 per index."""
     sparse = is_sparse(vectors, embedding)
-    size = F.size(f"{embedding}.indices") if sparse else F.size(embedding)
+    size = F.coalesce(F.size(f"{embedding}.indices") if sparse else F.size(embedding), F.lit(0))
     return vectors.agg(F.coalesce(F.sum(size.cast("bigint") * (16 if sparse else 8) + 8), F.lit(0))).first()[0]
 
 
+def checked_vectors(vectors: DataFrame) -> DataFrame:
+    """(doc_id, embedding) without null embeddings; an error that names a document if dense ones differ in length."""
+    vectors = vectors.select(F.col("doc_id").cast("bigint"), "embedding").where(F.col("embedding").isNotNull())
+    if is_sparse(vectors):
+        return vectors
+    size = F.size("embedding")
+    sizes = vectors.agg(F.min(size).alias("a"), F.max(size).alias("z"), F.min_by("doc_id", size).alias("short"),
+                        F.max_by("doc_id", size).alias("long")).first()
+    if sizes["a"] != sizes["z"]:
+        raise ValueError(f"Embeddings differ in length: document {sizes['short']} has {sizes['a']} numbers, "
+                         f"document {sizes['long']} has {sizes['z']}.")
+    return vectors
+
+
+@dataclass
+class VectorIndex:
+    """A vector table made ready once and searched many times, for example by every micro-batch of a stream."""
+
+    vectors: DataFrame
+    size: int
+    block: Broadcast | None  # the whole table, if it is small
+
+    @classmethod
+    def of(cls, vectors: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> VectorIndex:
+        vectors = checked_vectors(vectors)
+        size, block = vector_bytes(vectors), None
+        if size <= broadcast_bytes:
+            index, _ = _kernel(is_sparse(vectors), 1)
+            table = vectors.toArrow()  # its size has just been checked
+            block = vectors.sparkSession.sparkContext.broadcast(index(table["doc_id"], table["embedding"]))
+        return cls(vectors, size, block)
+
+
 def _hits_schema(queries: DataFrame, query_id: str) -> T.StructType:
     return T.StructType([queries.schema[query_id], T.StructField("rank", T.IntegerType()),
                          T.StructField("doc_id", T.LongType()), T.StructField("similarity_score", T.DoubleType())])
 
 
-def _top_k_broadcast(queries: DataFrame, vectors: DataFrame, k: int, query_id: str) -> DataFrame:
-    index, search = _kernel(is_sparse(vectors), k)
-    table = vectors.select(F.col("doc_id").cast("bigint"), "embedding").toArrow()  # size checked by the caller
-    block = queries.sparkSession.sparkContext.broadcast(index(table["doc_id"], table["embedding"]))
+def _top_k_broadcast(queries: DataFrame, sparse: bool, block: Broadcast, k: int, query_id: str) -> DataFrame:
+    _, search = _kernel(sparse, k)
 
     def run(batches):
         import pyarrow as pa
@@ -152,53 +210,66 @@ def _top_k_blocks(queries: DataFrame, vectors: DataFrame, k: int, query_id: str,
     n_blocks = max(1, -(-total_bytes // block_bytes))
     n_chunks = max(1, -(-vector_bytes(queries) // chunk_bytes))
 
+    # The rows are numbered once and staged, so that ids may repeat.
+    rows = stage(queries.select(query_id, "embedding").withColumn("_row", F.monotonically_increasing_id()), "query-rows")
+
     def cells(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         out = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int"))
         return out.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
-    left = cells(queries.select(query_id, "embedding"), query_id, "_chunk", n_chunks, "_block", n_blocks)
-    right = cells(vectors.select(F.col("doc_id").cast("bigint"), "embedding"),
-                  "doc_id", "_block", n_blocks, "_chunk", n_chunks)
+    left = cells(rows.select("_row", "embedding"), "_row", "_chunk", n_chunks, "_block", n_blocks)
+    right = cells(vectors, "doc_id", "_block", n_blocks, "_chunk", n_chunks)
     index, search = _kernel(is_sparse(vectors), k)
     id_type = pa.int64()
 
     def run(chunk: pa.Table, block: pa.Table) -> pa.Table:
         import pyarrow as pa
 
-        names = [query_id, "doc_id", "similarity_score"]
-        ids = chunk[query_id].combine_chunks()
+        names = ["_row", "doc_id", "similarity_score"]
+        ids = chunk["_row"].combine_chunks()
         if chunk.num_rows == 0 or block.num_rows == 0:
             return pa.table([ids.slice(0, 0), pa.array([], id_type), pa.array([], pa.float64())], names=names)
         row, _, doc, score = search(index(block["doc_id"], block["embedding"]), chunk["embedding"])
         return pa.table([ids.take(pa.array(row)), pa.array(doc, id_type), pa.array(score, pa.float64())], names=names)
 
-    schema = T.StructType([f for f in _hits_schema(queries, query_id) if f.name != "rank"])
+    schema = "_row long, doc_id long, similarity_score double"
     best = left.groupBy("_chunk", "_block").cogroup(right.groupBy("_chunk", "_block")).applyInArrow(run, schema)
-    order = Window.partitionBy(query_id).orderBy(F.desc("similarity_score"), "doc_id")
-    return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select(query_id, "rank", "doc_id", "similarity_score"))
+    order = Window.partitionBy("_row").orderBy(F.desc("similarity_score"), "doc_id")
+    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.join(rows.select("_row", query_id), "_row").select(query_id, "rank", "doc_id", "similarity_score")
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = values.SEARCH_TOP_K, query_id: str = "query_id",
+def top_k(queries: DataFrame, vectors: DataFrame | VectorIndex, k: int = values.SEARCH_TOP_K, query_id: str = "query_id",
           broadcast_bytes: int = BROADCAST_BYTES, block_bytes: int = BLOCK_BYTES,
           chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(query_id, rank, doc_id, similarity_score): the k best documents of each query.
+    """(query_id, rank, doc_id, similarity_score): the k best documents of each row of the queries.
 
-    Fewer than k rows only if the table holds fewer than k documents.  The
-    vector table is measured first: a small one goes to every executor and the
-    queries stay where they are, a larger one is searched block by block.
+    Fewer than k rows only if the table holds fewer than k documents with an
+    embedding, and none for a query without one.  The vector table is measured
+    first (or once, by :class:`VectorIndex`): a small one goes to every executor
+    and the queries stay where they are, a larger one is searched block by block.
+    Both ways give the same rows.
     """
-    size = vector_bytes(vectors)
-    if size <= broadcast_bytes:
-        return _top_k_broadcast(queries, vectors, k, query_id)
-    return _top_k_blocks(queries, vectors, k, query_id, size, block_bytes, chunk_bytes)
+    index = vectors if isinstance(vectors, VectorIndex) else VectorIndex.of(vectors, broadcast_bytes)
+    queries = queries.where(F.col("embedding").isNotNull())
+    if index.block is not None:
+        return _top_k_broadcast(queries, is_sparse(index.vectors), index.block, k, query_id)
+    return _top_k_blocks(queries, index.vectors, k, query_id, index.size, block_bytes, chunk_bytes)
 
 
 def with_documents(hits: DataFrame, knowledge_base: DataFrame, query_id: str = "query_id",
                    output: str = "retrieved_documents") -> DataFrame:
-    """(query_id, array of documents, best first).  Texts are fetched after the top-k, for hits only."""
+    """(query_id, array of documents, best first), for distinct query ids.
+
+    Texts are fetched after the top-k, for hits only.  A document that a third of
+    all queries hit is met in SALTS tasks: hits are dealt by their query, documents
+    copied to each.
+    """
     doc = F.struct("rank", "doc_id", "instruction", "response", "intent", "category", "similarity_score")
-    found = hits.join(knowledge_base, "doc_id").groupBy(query_id).agg(F.array_sort(F.collect_list(doc)).alias("_docs"))
+    dealt = hits.withColumn("_salt", F.pmod(F.xxhash64(query_id), F.lit(SALTS)).cast("int"))
+    texts = knowledge_base.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = texts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = dealt.join(texts, ["doc_id", "_salt"]).groupBy(query_id).agg(F.array_sort(F.collect_list(doc)).alias("_docs"))
     return found.select(query_id, F.transform("_docs", lambda d: d.dropFields("rank")).alias(output))
 
 

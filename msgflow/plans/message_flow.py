@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
@@ -12,8 +13,8 @@ from msgflow.functions import routing
 from msgflow.functions.prompting import user_prompt
 from msgflow.functions.text import is_blank
 from msgflow.operators.answers import default_answer, hook_answers
-from msgflow.operators.features import TfIdf
-from msgflow.operators.retrieval import top_k, with_documents
+from msgflow.operators.retrieval import VectorIndex, top_k, with_documents
+from msgflow.plans.knowledge import Embedder
 from msgflow.plans.classifiers import (TextClassifier, UNKNOWN_LANGUAGE, predict_intent, predict_language,
                                        predict_sentiment)
 from msgflow.staging import stage
@@ -34,9 +35,14 @@ class MessageModels:
     sentiment: TextClassifier
     intent: TextClassifier
     knowledge_base: DataFrame
-    question_features: TfIdf
+    question_features: Embedder
     vectors: DataFrame
 
+    @cached_property
+    def index(self) -> VectorIndex:
+        """The vectors made ready to search, once for all batches."""
+        return VectorIndex.of(self.vectors)
+
 
 def apply_blank_rule(scored: DataFrame, text: str = "text") -> DataFrame:
     """Blank messages get the fixed result whatever the models say."""
@@ -58,33 +64,44 @@ def score_messages(messages: DataFrame, models: MessageModels, text: str = "text
                                                  F.col("intent_source"), F.col("sentiment")))
 
 
-def answer_scored(scored: DataFrame, knowledge_base: DataFrame, question_features: TfIdf, vectors: DataFrame,
+def answer_scored(scored: DataFrame, knowledge_base: DataFrame, question_features: Embedder,
+                  vectors: DataFrame | VectorIndex,
                   message_id: str = "message_id", text: str = "text", k: int = values.MODEL_TOP_K,
                   make_hook: Callable[[], Callable[[str], str]] | None = None,
                   hold: Callable[[DataFrame, str], DataFrame] = stage) -> DataFrame:
     """Add documents, response, escalate and error to scored messages.
 
-    Retrieval and answers see only the messages on a knowledge route; their
-    results come back by a join on the id.
+    Retrieval and answers see only the messages on a knowledge route; the others
+    stay where they are and are not shuffled.  A message whose text the encoder
+    fails on gets the fixed apology and the error; so does no other.
     """
-    on_route = routing.needs_documents(F.col("route"))
+    on_route = F.coalesce(routing.needs_documents(F.col("route")), F.lit(False))
+    none = F.lit(None).cast("string")
+    rest = scored.where(~on_route).select("*", F.array().cast(DOCUMENTS).alias("retrieved_documents"),
+                                          none.alias("_answer"), none.alias("error"))
     asked = question_features.arrays(scored.where(on_route).select(message_id, text), text)
+    failed = None
+    if "embedding_error" in asked.columns:
+        asked = hold(asked, "asked")
+        failed = asked.where(F.col("embedding_error").isNotNull()).select(message_id, F.col("embedding_error").alias("_failed"))
     documents = with_documents(top_k(asked, vectors, k, message_id), knowledge_base, message_id)
-    grounded = scored.join(documents, message_id, "left").withColumn(
+    grounded = scored.where(on_route).join(documents, message_id, "left").withColumn(
         "retrieved_documents", F.coalesce("retrieved_documents", F.array().cast(DOCUMENTS)))
+    grounded = grounded.withColumn("_failed", none) if failed is None else grounded.join(failed, message_id, "left")
     responses = F.col("retrieved_documents.response")
     if make_hook is None:
-        grounded = (grounded.withColumn("_answer", default_answer(responses))
-                    .withColumn("error", F.lit(None).cast("string")))
+        grounded = grounded.withColumn("_answer", default_answer(responses)).withColumn("error", none)
     else:
         grounded = hold(grounded, "grounded")
-        prompts = grounded.where(on_route).select(
+        prompts = grounded.where(F.col("_failed").isNull()).select(
             message_id, user_prompt(F.col(text), responses, F.col("sentiment")).alias("prompt"))
         answers = hook_answers(prompts, make_hook, message_id).withColumnRenamed("answer", "_answer")
         grounded = grounded.join(answers, message_id, "left")
+    grounded = grounded.withColumn("error", F.coalesce("_failed", "error"))
     response = routing.reply(F.col("route"), F.col("intent"), is_blank(F.col(text)), F.col("_answer"))
-    return (grounded.withColumn("response", response)
-            .withColumn("escalate", routing.escalates(F.col("route"))).drop("_answer"))
+    grounded = grounded.withColumn("response", failed_reply(response, F.col("_failed"))).drop("_failed")
+    answered = grounded.unionByName(rest.withColumn("response", response))
+    return answered.withColumn("escalate", routing.escalates(F.col("route"))).drop("_answer")
 
 
 def answer_messages(messages: DataFrame, models: MessageModels, message_id: str = "message_id",
@@ -97,7 +114,7 @@ def answer_messages(messages: DataFrame, models: MessageModels, message_id: str
     default; a stream keeps a micro-batch in the cache.
     """
     scored = hold(score_messages(messages, models, text), "scored")
-    answered = answer_scored(scored, models.knowledge_base, models.question_features, models.vectors,
+    answered = answer_scored(scored, models.knowledge_base, models.question_features, models.index,
                              message_id, text, k, make_hook, hold)
     return answered.select(*messages.columns, *RESULT_FIELDS, "error")
 

@@ -1,12 +1,14 @@
 """Continuous scoring of arriving messages.
 
 Messages are independent, so the job keeps no state.  Each micro-batch runs the
-batch plan and replaces its own ``batch_id`` folder: a batch that is replayed
-after a failure overwrites what it wrote, and nothing doubles.
+batch plan and replaces its own folder, named by the checkpoint and the batch: a
+batch that is replayed after a failure overwrites what it wrote, nothing doubles,
+and a job with another checkpoint never touches what this one wrote.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +26,12 @@ def start_stream(messages: DataFrame, handle: Callable[[DataFrame], DataFrame],
 
 def _start(messages: DataFrame, handle: Callable[[DataFrame, list[DataFrame]], DataFrame], output: str,
            checkpoint: str, interval: str | None) -> StreamingQuery:
+    source = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+
     def write(batch: DataFrame, batch_id: int) -> None:
         held: list[DataFrame] = []
         try:
-            handle(batch, held).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+            handle(batch, held).write.mode("overwrite").parquet(f"{output}/source={source}/batch_id={batch_id}")
         finally:
             for df in held:
                 df.unpersist()
@@ -52,4 +56,4 @@ def answer_stream(messages: DataFrame, models: MessageModels, output: str, check
 
 
 def read_output(spark: SparkSession, output: str) -> DataFrame:
-    return spark.read.parquet(output)
+    return spark.read.option("basePath", output).parquet(output).drop("source")

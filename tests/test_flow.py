@@ -106,6 +106,46 @@ def test_encoder_hook_normalises(spark):
     assert got.embedding == [0.6, 0.8]
 
 
+def test_encoder_through_the_flow(messages, models):
+    from dataclasses import replace
+
+    from msgflow.operators.answers import EncoderFeatures
+    from msgflow.plans.knowledge import build_vectors
+
+    def stand_in_encoder():
+        def encode(texts):
+            if any("furious" in t for t in texts):
+                raise RuntimeError("too angry")
+            return [[len(t), sum(c in "aeiou" for c in t), 1.0] for t in texts]
+        return encode
+
+    features, vectors = build_vectors(models.knowledge_base.where("instruction not like '%furious%'"), EncoderFeatures(stand_in_encoder))
+    own = replace(models, question_features=features, vectors=vectors)
+    for r in M.answer_messages(messages, own).collect():
+        if r.message_id == 8:
+            assert (r.response, r.error, r.retrieved_documents) == (values.FAILED_REPLY, "too angry", [])
+        else:
+            assert r.error is None and len(r.retrieved_documents) == (3 if r.route.startswith("rag") else 0)
+    embedded = features.arrays(messages, "text").where("message_id = 8").first()
+    assert embedded.embedding is None and embedded.embedding_error == "too angry"
+
+
+def test_broken_encoder_factory_is_contained(spark, messages):
+    def broken():
+        raise OSError("no weights")
+
+    rows = hook_embeddings(messages.where("text is not null"), broken, "message_id", "text").collect()
+    assert {r.embedding_error for r in rows} == {"no weights"} and all(r.embedding is None for r in rows)
+
+
+def test_other_routes_are_not_shuffled(messages, models):
+    scored = M.score_messages(messages, models)
+    answered = M.answer_scored(scored, models.knowledge_base, models.question_features, models.index)
+    plan = answered._jdf.queryExecution().optimizedPlan().toString()
+    union = plan.index("Union")
+    assert "Join" in plan and plan[:union].count("Join") == 0
+
+
 def test_partitioning_does_not_matter(messages, models, answered):
     for parts in (1, 7):
         again = {r.message_id: r for r in M.answer_messages(messages.repartition(parts), models).collect()}
@@ -120,6 +160,9 @@ def test_stream_equals_batch(spark, messages, models, answered):
         answer_stream(stream, models, output, checkpoint).awaitTermination()
     got = {r.message_id: r for r in read_output(spark, output).drop("batch_id").collect()}
     assert read_output(spark, output).count() == len(MESSAGES)
+    other = spark.readStream.schema(messages.schema).parquet(arriving)
+    answer_stream(other, models, output, new_path(spark, "other-check")).awaitTermination()
+    assert read_output(spark, output).count() == 2 * len(MESSAGES)  # another checkpoint overwrites nothing
     assert {i: r.asDict(True) for i, r in got.items()} == {i: r.asDict(True) for i, r in answered.items()}
 
 

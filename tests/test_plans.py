@@ -33,7 +33,7 @@ def test_scoring_has_no_shuffle_and_no_python(spark, models, documents):
 
 
 def test_vectors_stay_where_they_are(spark, documents, models):
-    fitted = models.question_features
+    fitted = models.intent.features
     text = plan(fitted.arrays(documents.select("doc_id", "text"), "text").select("doc_id", "embedding"))
     assert "Exchange" not in text and "Python" not in text
 

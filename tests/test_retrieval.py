@@ -45,6 +45,35 @@ def test_top_k_equals_brute_force(spark, limits, sparse, k):
     assert all(len(v) == min(k, 40) for v in got.values())
 
 
+@pytest.mark.parametrize("limits", [{}, BLOCKS], ids=["broadcast", "blocks"])
+@pytest.mark.parametrize("sparse", [True, False])
+def test_repeated_ids_and_missing_embeddings(spark, limits, sparse):
+    rng = random.Random(4)
+    docs, queries = vectors(rng, 12, 5), vectors(rng, 6, 5)
+    q, d = frame(spark, queries, "query_id", sparse, 5), frame(spark, docs, "doc_id", sparse, 5)
+    q = q.withColumn("query_id", F.lit(3).cast("long")).unionByName(q)
+    gone = F.lit(None)
+    q = q.unionByName(q.limit(1).withColumn("query_id", F.lit(99).cast("long")).withColumn("embedding", gone.cast(q.schema["embedding"].dataType)))
+    d = d.unionByName(d.limit(1).withColumn("doc_id", F.lit(-1).cast("long")).withColumn("embedding", gone.cast(d.schema["embedding"].dataType)))
+    got = sorted(tuple(r) for r in R.top_k(q, d, 2, **limits).collect())
+    one = brute(queries, docs, 2)
+    want = [(i, n + 1, *hit) for i, hits in one.items() for n, hit in enumerate(hits)]
+    assert got == sorted(want + [(3, n, doc, score) for _, n, doc, score in want])
+
+
+def test_embeddings_of_different_lengths_are_named(spark):
+    d = spark.createDataFrame([(1, [1.0, 2.0]), (7, [1.0])], "doc_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="document 7 has 1 numbers, document 1 has 2"):
+        R.top_k(d.withColumnRenamed("doc_id", "query_id"), d, 1)
+
+
+def test_index_is_built_once(spark):
+    d = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "doc_id long, embedding array<double>")
+    index = R.VectorIndex.of(d)
+    for k in (1, 2):
+        assert R.top_k(d.withColumnRenamed("doc_id", "query_id"), index, k).count() == 2 * k
+
+
 def test_hot_term_and_long_queries(spark):
     """One term in every text: scores still come per block, not as pairs."""
     docs = {i: {0: 0.5, i % 50 + 1: 0.5} for i in range(3000)}
