@@ -6,6 +6,9 @@ from catalog.preparation import SQL_SPLIT_DOCUMENTS, split_documents
 from catalog.registry import query, sql_draw, sql_vote, table, vote
 from msgflow.functions.draws import unit_draw
 from msgflow.operators import evaluate
+from msgflow.plans.evaluation import evaluate_split
+from msgflow.sources.tables import save_splits
+from msgflow.staging import new_path
 
 
 def voted(spark, sf_dir):
@@ -149,3 +152,28 @@ FROM split_rows GROUP BY split""")
 def split_accuracy(spark, sf_dir):
     rows = split_documents(spark, sf_dir).withColumn("prediction", vote(F.col("text")))
     return _rounded(evaluate.accuracy(rows, "lang", "prediction", by=["split"]), "accuracy")
+
+
+# -------------------------------------------------------------- one pass for all
+
+
+SQL_HELD_OUT = SQL_REPORT.replace(SQL_VOTED, f"""{SQL_SPLIT_DOCUMENTS},
+voted AS (SELECT doc_id, text, lang AS label, {sql_vote('text')} AS prediction FROM split_rows WHERE split = 'test')""")
+
+
+@query("evaluate_held_out", f"""
+WITH {SQL_HELD_OUT} SELECT position, name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support,
+  (SELECT count(*) FROM voted WHERE label <> prediction) AS n_wrong,
+  (SELECT count(*) FROM (SELECT DISTINCT label FROM voted)) + 1 AS matrix_lines,
+  (SELECT count(*) FROM report) + 3 AS report_lines FROM report""")
+def held_out(spark, sf_dir):
+    """The saved test split, scored once: report, matrix and errors, and the files written from them."""
+    splits, output = new_path(spark, "held-out"), new_path(spark, "evaluation")
+    save_splits(split_documents(spark, sf_dir), splits)
+    found = evaluate_split(spark, splits, lambda rows: rows.select(
+        "doc_id", "text", F.col("lang").alias("label"), vote(F.col("text")).alias("prediction")), output)
+    wrong = found.totals.first()["n_wrong"]
+    lines = {name: spark.read.text(f"{output}/{name}").count() for name in ("confusion_matrix", "report")}
+    return _rounded(found.report, "precision", "recall", "f1").withColumns({
+        "n_wrong": F.lit(wrong).cast("bigint"), "matrix_lines": F.lit(lines["confusion_matrix"]).cast("bigint"),
+        "report_lines": F.lit(lines["report"]).cast("bigint")})
