@@ -21,6 +21,9 @@ LEAST_WORDS = 40
 #: A chunk ends after about one line in so many.
 LINES = 2
 
+#: Chunks whose bytes are compared are first sought by so many bits of their hash; a bound of the table that is broadcast.
+HASH_BITS = 1 << 20
+
 _HASH = 1 << 32
 
 
@@ -29,7 +32,12 @@ def _line_hash(line: Column) -> Column:
 
 
 def _words(line: Column) -> Column:
-    return F.size(F.filter(F.split(line, " ", -1), lambda w: w != ""))
+    return F.regexp_count(line, F.lit("[^ ]+"))
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once however often it is named, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def chunks(text: Column, least_words: int = LEAST_WORDS, lines: int = LINES) -> Column:
@@ -43,8 +51,8 @@ def chunks(text: Column, least_words: int = LEAST_WORDS, lines: int = LINES) ->
             return ((here["w"] >= least_words) | F.coalesce(after["w"] >= least_words, F.lit(True))
                     | (F.pmod(F.floor(rolled / 16), F.lit(lines)) == 0))
 
-        last = F.filter(F.sequence(F.lit(0), n - 1), ends)
-        return F.transform(last, lambda z, i: _slice(info, F.when(i == 0, F.lit(0)).otherwise(F.get(last, i - 1) + 1), z))
+        return _once(F.filter(F.sequence(F.lit(0), n - 1), ends), lambda last: F.transform(
+            last, lambda z, i: _slice(info, F.when(i == 0, F.lit(0)).otherwise(F.get(last, i - 1) + 1), z)))
 
     def _slice(info: Column, a: Column, z: Column) -> Column:
         own = F.slice(info, a + 1, z - a + 1)
@@ -52,8 +60,7 @@ def chunks(text: Column, least_words: int = LEAST_WORDS, lines: int = LINES) ->
                         F.aggregate(own, F.lit(0), lambda s, x: s + x["w"]).alias("n_words"))
 
     info = F.transform(F.split(text, "\n", -1), lambda t: F.struct(t.alias("t"), _line_hash(t).alias("h"), _words(t).alias("w")))
-    # An array of one, so that lines are split and hashed once.
-    return F.get(F.transform(F.array(info), cut), 0)
+    return _once(info, cut)
 
 
 def repeated_chunks(docs: DataFrame, doc_id: str, text: str, least_words: int = LEAST_WORDS, lines: int = LINES) -> DataFrame:
@@ -70,15 +77,18 @@ def repeated_chunks(docs: DataFrame, doc_id: str, text: str, least_words: int =
     spot = F.struct(F.col("id").isNull().alias("none"), "id", "text_key", "place")
     twice = spots.groupBy("hash").agg(F.min(spot).alias("least"), F.max(spot).alias("most")).where("least != most").select("hash")
     # The bytes of the chunks whose hash occurs twice, compared by grouping: one row per task and text.
-    first = each.join(stage(twice, "line-repeats"), "hash", "left_semi").groupBy("hash", "text").agg(F.min(spot).alias("first"))
+    first = _with_hashes(each, stage(twice, "line-repeats")).groupBy("hash", "text").agg(F.min(spot).alias("first"))
     # Different bytes under one hash have one row each; such a hash is compared by its bytes once more.
-    clash = first.groupBy("hash").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
-    clash = stage(clash, "line-firsts")
-    met = spots.join(clash.where("texts = 1"), "hash").select(
+    firsts = first.groupBy("hash").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
+    firsts = stage(firsts, "line-firsts")
+    met = spots.join(firsts.where("texts = 1"), "hash").select(
         "id", "text_key", "place", "n_words", (spot != F.col("first")).alias("repeat"))
-    hashes = clash.where("texts > 1").select("hash")
-    doubled = each.join(hashes, "hash", "left_semi").join(first.join(hashes, "hash", "left_semi"), ["hash", "text"])
-    met = met.unionByName(doubled.select("id", "text_key", "place", "n_words", (spot != F.col("first")).alias("repeat")))
+    clash = firsts.where("texts > 1").select("hash")
+    if not clash.isEmpty():
+        again = _with_hashes(each, clash)
+        own = again.groupBy("hash", "text").agg(F.min(spot).alias("first"))
+        met = met.unionByName(again.join(own, ["hash", "text"]).select(
+            "id", "text_key", "place", "n_words", (spot != F.col("first")).alias("repeat")))
     # Runs of neighbouring repeats of one document.
     repeats = met.where("repeat").dropDuplicates(["id", "text_key", "place"])
     order = Window.partitionBy("id", "text_key").orderBy("place")
@@ -88,6 +98,14 @@ def repeated_chunks(docs: DataFrame, doc_id: str, text: str, least_words: int =
     return run.groupBy("id", "text_key").agg(F.sort_array(F.collect_list("place")).alias("removed")).withColumnRenamed("id", doc_id)
 
 
+def _with_hashes(each: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The chunks with one of the hashes; a broadcast table of bits keeps most others out of the shuffle."""
+    bit = F.pmod(F.xxhash64("hash"), F.lit(HASH_BITS))
+    bits = hashes.select(bit.alias("bit")).distinct()  # at most HASH_BITS rows
+    some = each.withColumn("bit", bit).join(F.broadcast(bits), "bit", "left_semi").drop("bit")
+    return some.join(hashes, "hash", "left_semi")
+
+
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS,
                  lines: int = LINES) -> DataFrame:
     """``docs`` with repeated passages gone from the text, and ``n_removed``, the number of chunks each row lost.
