@@ -47,12 +47,13 @@ def draws(terms: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, np.nda
 
 
 def values(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
-    """The values of (term, weight) rows in each sample."""
+    """The values of (term, weight) rows in each sample; rows of a term that stand together share its draws."""
     out = np.empty((len(terms), samples), np.float32)
     for i in range(0, len(terms), 2048):
-        r, ln_c, b = draws(terms[i:i + 2048], samples)
-        t = np.floor(np.log(weights[i:i + 2048, None].astype(np.float64)) / r + b)
-        out[i:i + 2048] = ln_c - r * (t - b) - r
+        own, weight = terms[i:i + 2048], np.log(weights[i:i + 2048, None].astype(np.float64))
+        new = np.r_[True, own[1:] != own[:-1]]
+        r, ln_c, b = (x[np.cumsum(new) - 1] for x in draws(own[new], samples))
+        out[i:i + 2048] = ln_c - r * (np.floor(weight / r + b) - b) - r
     return out
 
 
@@ -71,6 +72,10 @@ def signatures(column: pa.Array, cutter: Words, samples: int = SAMPLES) -> list[
     with np.errstate(over="ignore"):
         keys = terms + counts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     _, one, which = np.unique(keys, return_index=True, return_inverse=True)
+    by_term = np.argsort(terms[one], kind="stable")
+    place = np.empty(len(one), np.int64)
+    place[by_term] = np.arange(len(one))
+    one, which = one[by_term], place[which]
     table = values(terms[one], counts[one], samples)
     least = np.full((len(sizes), samples), np.inf, np.float32)
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -144,7 +149,8 @@ def edit_probe(docs: DataFrame, doc_id: str, text: str, samples: int = SAMPLES)
                 at.append(i)
         if not at:
             return None
-        prints, edited = (signatures(pa.array(x, pa.string()), cutter, samples) for x in (olds, news))
+        both = signatures(pa.array(olds + news, pa.string()), cutter, samples)  # they have most words in common
+        prints, edited = both[:len(olds)], both[len(olds):]
         return pa.RecordBatch.from_arrays([
             pa.array([items[i][2] for i in at], pa.int64()), pa.array([len(olds[i]) for i in at], pa.int64()),
             pa.array([hashlib.sha256(x.encode()).hexdigest() for x in news]), pa.array([written(prints[i]) for i in at]),
