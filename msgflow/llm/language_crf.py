@@ -24,7 +24,7 @@ from msgflow.llm.words import Words, mixed, pieces, text_column, utf8
 UNDETERMINED = "und"
 SPACES = b" \t\n\v\f\r"
 
-#: Bounds of the training sample: rows for each label, chosen by a hash; segments of each row, spread over its
+#: Bounds of the training sample: distinct texts for each label, chosen by a hash; segments of each, spread over the
 #: whole text; words of a segment.
 ROWS, SEGMENTS, SEGMENT_WORDS = 300, 4, 48
 #: Words in each language's lexicon, the most telling ones of the sample.
@@ -175,11 +175,12 @@ def label_shares(scores: np.ndarray, first: np.ndarray, model: Crf) -> np.ndarra
 
 
 def training_segments(docs: DataFrame, text: str, label: str, rows: int = ROWS) -> list[tuple[str, str]]:
-    """(segment, label): at most SEGMENTS from each of at most ``rows`` rows of each label, wherever in their texts."""
+    """(segment, label): at most SEGMENTS from each of ``rows`` distinct texts of each label, or of all if it has fewer, wherever in them."""
     known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(label).alias("l"))
-    counts = known.groupBy("l").agg(F.count("*").alias("n"))
     draw = F.xxhash64("t", "l")
-    steps = counts.select("l", F.greatest(F.floor(F.col("n") / (2 * rows)), F.lit(1)).alias("every"))
+    # Copies share their draw, so the step counts distinct texts; twice as many, or 100 more, leave ``rows`` of them.
+    counts = known.select("l", draw.alias("draw")).distinct().groupBy("l").agg(F.count("*").alias("n"))
+    steps = counts.select("l", F.greatest(F.floor(F.col("n") / max(2 * rows, rows + 100)), F.lit(1)).alias("every"))
     some = known.join(F.broadcast(steps), "l").where(F.pmod(draw, "every") == 0).dropDuplicates(["t", "l"])
     place = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("t"), "t"))
     some = some.withColumn("place", place).where(F.col("place") <= rows).select("t", "l")

@@ -97,3 +97,12 @@ def test_sample_is_bounded_and_spread(spark):
     assert sum(own == "en" for _, own in got) <= 20 * crf.SEGMENTS and sum(own == "fr" for _, own in got) > 0
     assert any("w4" in t for t, _ in got) and any("w3" in t for t, _ in got)
     assert all(len(t.split()) <= crf.SEGMENT_WORDS for t, _ in got)
+
+
+def test_labels_of_many_copies_are_learned(spark):
+    """The step of the sample counts distinct texts: a label of 20 texts with 500 copies each gives its rows, as others do."""
+    df = spark.range(10_000).selectExpr("concat('texte ', id % 20) text", "'fr' lang").unionByName(
+        spark.range(3_000).selectExpr("concat('text ', id) text", "'en' lang"))
+    got = crf.training_segments(df, "text", "lang", rows=5)
+    assert sum(own == "fr" for _, own in got) == 5 and sum(own == "en" for _, own in got) == 5
+    assert len(crf.training_segments(df.where("lang = 'fr'"), "text", "lang")) == 20
