@@ -148,21 +148,22 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(own: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]], copy: float = 0.8) -> str:
-    """The main lines, or if the page marks none the open ones that no neighbour shares, joined by one space.
+    """The main lines and the open ones that no neighbour shares, in page order, joined by one space.
 
-    A neighbour that shares more than ``copy`` of the open text is a copy of the page, not
-    of its template, and deletes nothing.
+    A neighbour that shares more than ``copy`` of the main and open text is a copy of the
+    page, not of its template, and decides nothing.  If no neighbour decides, all open lines
+    stay, unless the main ones hold at least as much text: then markup decides, and they go.
     """
-    chosen = [x for x, where in own if where == MAIN]
-    if chosen:
-        return " ".join(chosen)
-    texts, gone = [x for x, _ in own], set()
-    size = sum(len(x) for x, where in own if where == OPEN)
-    for other in neighbours:
-        shared = common_lines(texts, [x for x, _ in other])
-        if sum(len(texts[i]) for i in shared if own[i][1] == OPEN) <= copy * size:
-            gone |= shared
-    return " ".join(x for i, (x, where) in enumerate(own) if where == OPEN and i not in gone)
+    texts, gone, decided = [x for x, _ in own], set(), False
+    size = {where: sum(len(x) for x, at in own if at == where) for where in (OPEN, MAIN)}
+    if size[OPEN]:
+        for other in neighbours:
+            shared = common_lines(texts, [x for x, _ in other])
+            if sum(len(texts[i]) for i in shared if own[i][1] != BOILERPLATE) <= copy * (size[OPEN] + size[MAIN]):
+                gone |= shared
+                decided = True
+    stay = decided or size[OPEN] > size[MAIN]
+    return " ".join(x for i, (x, where) in enumerate(own) if where == MAIN or where == OPEN and stay and i not in gone)
 
 
 def url_key(url: Column, *more: Column) -> Column:

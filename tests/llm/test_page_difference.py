@@ -54,3 +54,24 @@ def test_pages_of_a_host_in_many_buckets(spark, monkeypatch):
         assert (got[i].url, got[i].text, got[i].n_chars) == (url, f"story {i} is told here", len(f"story {i} is told here"))
     assert [got[i].text for i in (60, 61, 62)] == ["", "only", ""] and got[60].url is None
     assert extracted(df.limit(0)).collect() == []
+
+
+def test_open_lines_of_pages_with_main_lines_are_differenced():
+    """Lines outside article and main are main text if no neighbour shares them, in page order."""
+    def page(n, *marked):
+        return [("menu", OPEN), (f"headline {n}", OPEN), *[(x, MAIN) for x in marked], (f"body {n} is told here at length", OPEN), ("contact", OPEN)]
+
+    assert main_text(page(1, "teaser"), [page(2, "teaser")]) == "headline 1 teaser body 1 is told here at length"
+    article = [("menu", OPEN), ("a long story " * 9, MAIN), ("contact", OPEN)]
+    assert main_text(article, [page(2, "teaser")]) == "a long story " * 9
+    # Copies and missing neighbours decide nothing; then the larger part does.
+    for near in ([], [article]):
+        assert main_text(article, near) == "a long story " * 9
+    assert main_text(page(1, "title"), []) == "menu headline 1 title body 1 is told here at length contact"
+
+
+def test_parts_outside_the_article_of_a_table(spark):
+    rows = [(i, f"http://h.example/{i:03d}", f"<div>menu</div><h1>headline {i}</h1><main><h2>teaser</h2></main><p>body {i} is told here</p><div>end</div>")
+            for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extracted(df).collect()} == {i: f"headline {i} teaser body {i} is told here" for i, _, _ in rows}
