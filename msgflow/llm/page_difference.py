@@ -6,7 +6,8 @@ lines that a neighbour shares are template text, which goes.
 
 Markup that says what a part is comes first: what stands in navigation, headers,
 footers, sidebars, forms, notices, adverts, comments and scripts is never main
-text, and what stands in ``article`` or ``main`` always is.  There, a shared line is
+text, and what stands in ``article`` or ``main`` always is.  Names of classes count as
+a whole; where only a part of one says so, the part of the page is open.  There, a shared line is
 not deleted: copies of an article stand on neighbouring pages, and plain
 differencing would delete them whole.  Differencing decides on all other lines.
 """
@@ -23,6 +24,7 @@ from msgflow.llm.neighbours import with_neighbours
 from msgflow.llm.words import pieces, text_column
 
 BOILERPLATE, OPEN, MAIN = 0, 1, 2
+_CLOSED = -1  # boilerplate in which article and main mean nothing
 
 #: Elements, roles, and words in class and id that say a part is not main text (fixed values).
 OTHER_TAGS = frozenset("nav header footer aside form head script style noscript template button select textarea iframe svg "
@@ -32,6 +34,8 @@ OTHER_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor
                         "navbar navigation breadcrumb breadcrumbs footer header masthead notice notices cookie cookies consent gdpr "
                         "popup modal newsletter subscribe signup share sharing social comment comments reply replies respond "
                         "discussion disqus related recommended widget pagination pager".split())
+#: Those of parts that hold articles of their own.
+_CARD_WORDS = frozenset("comment comments reply replies respond discussion disqus related recommended".split())
 _MAIN_TAGS = frozenset(("article", "main"))
 _RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,36 +50,58 @@ _TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
-def _is_other(name: str, attributes: str) -> bool:
+def _mark(name: str, attributes: str) -> str:
+    """What an element says of itself: "other", "cards" or "class" (by whole names), "doubt" (by parts of names), or nothing."""
     if name in OTHER_TAGS:
-        return True
+        return "other"
     if name in ("html", "body") or not attributes:
-        return False
+        return ""
+    mark = ""
     for key, *values in _ATTRIBUTE.findall(attributes):
-        words = re.findall("[a-z0-9]+", re.sub("(?<=[a-z])(?=[A-Z])", " ", "".join(values)).lower())
-        if any(w in (OTHER_ROLES if key.lower() == "role" else OTHER_WORDS) for w in words):
-            return True
-    return False
+        for own in "".join(values).split():
+            if key.lower() == "role":
+                if own.lower() in OTHER_ROLES:
+                    return "other"
+            elif own.lower() in OTHER_WORDS:
+                mark = "cards" if own.lower() in _CARD_WORDS or mark == "cards" else "class"
+            elif not mark and any(w in OTHER_WORDS for w in re.findall("[a-z0-9]+", re.sub("(?<=[a-z])(?=[A-Z])", " ", own).lower())):
+                mark = "doubt"
+    return mark
+
+
+def _state(outer: int, name: str, attributes: str) -> int:
+    """Where the content of an element stands, given where the element does.
+
+    Words of class and id never decide alone on ``article`` and ``main``: those that carry one, or stand
+    in a part that does, are open, and so are parts whose names only hold such a word (``has-sidebar``).
+    """
+    mark = _mark(name, attributes)
+    if outer == _CLOSED or mark == "other":
+        return _CLOSED
+    if name in _MAIN_TAGS:
+        return OPEN if outer == BOILERPLATE or mark in ("cards", "class") else MAIN
+    if mark in ("cards", "class"):
+        return _CLOSED if mark == "cards" else BOILERPLATE
+    return OPEN if mark == "doubt" and outer == MAIN and name not in _INLINE else outer
 
 
 def lines(page: str) -> list[tuple[str, int]]:
     """The text of each block in page order, white space made one space, and where it stands: see OPEN, MAIN, BOILERPLATE."""
     out: list[tuple[str, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, is other, is main
-    other = main = 0
+    stack: list[tuple[str, int]] = []  # name, where the element stands
+    where = OPEN
 
     def close() -> None:
         line = " ".join("".join(parts).split())
         parts.clear()
         if line:
-            out.append((line, BOILERPLATE if other else MAIN if main else OPEN))
+            out.append((line, max(where, BOILERPLATE)))
 
     def pop(to: int) -> None:
-        nonlocal other, main
+        nonlocal where
         while len(stack) > to:
-            _, was_other, was_main = stack.pop()
-            other, main = other - was_other, main - was_main
+            where = stack.pop()[1]
 
     place = 0
     while True:
@@ -105,11 +131,11 @@ def lines(page: str) -> list[tuple[str, int]]:
             end = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, place)
             place = end.end() if end else len(page)
         elif name not in _VOID and not tag.group(3).endswith("/"):
-            is_other, is_main = _is_other(name, tag.group(3)), name in _MAIN_TAGS
-            if name in _INLINE and is_other:
+            inner = _state(where, name, tag.group(3))
+            if name in _INLINE and inner != where:
                 close()
-            stack.append((name, is_other, is_main))
-            other, main = other + is_other, main + is_main
+            stack.append((name, where))
+            where = inner
     close()
     return out
 

@@ -75,3 +75,16 @@ def test_parts_outside_the_article_of_a_table(spark):
             for i in range(6)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.page_id: r.text for r in extracted(df).collect()} == {i: f"headline {i} teaser body {i} is told here" for i, _, _ in rows}
+
+
+def test_names_that_only_hold_a_word_do_not_close_a_part():
+    for tag in ("article class='post has-sidebar'", "main class=no-header", "article id='withAds'"):
+        assert lines(f"<{tag}>text</{tag.split()[0]}>") == [("text", MAIN)], tag
+    for tag in ('div class="content with-ads"', "div class=elementor-widget-container", "article class='promo'"):
+        assert lines(f"<{tag}>text</{tag.split()[0]}>") == [("text", OPEN)], tag
+    assert lines('<div class="widget"><p>no</p><article><p>text</p><div class="share">no</div></article></div><p>open</p>') == [
+        ("no", BOILERPLATE), ("text", OPEN), ("no", BOILERPLATE), ("open", OPEN)]
+    assert lines('<article><div class="social-links">doubt</div>text <b class="ad-note">one</b></article>') == [("doubt", OPEN), ("text one", MAIN)]
+    for page in ("<div id=comments><article>no</article></div>", "<nav><main>no</main></nav>", '<div role="search">no</div>',
+                 '<div class="main Sidebar">no</div>'):
+        assert lines(page) == [("no", BOILERPLATE)], page
