@@ -1,4 +1,9 @@
-"""Text classifiers: TF-IDF and multinomial logistic regression on Spark ML."""
+"""Text classifiers: TF-IDF and multinomial logistic regression on Spark ML.
+
+A label column may have at most ``evaluate.MAX_CLASSES`` values: the model is one dense
+matrix of classes by terms, which the driver and every task hold. With more, training
+raises an error; no class is dropped.
+"""
 
 from __future__ import annotations
 
