@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from msgflow.llm import language_crf, line_chunks, ngram_join, page_difference as page_difference_, personal_data, pieces, shards, warc, weighted_prints, winnow
+from msgflow.llm import (language_crf, line_chunks, multi_index, ngram_join, page_difference as page_difference_, personal_data, pieces, prefix_trie,
+                         projection_forest, shards, warc, weighted_prints, winnow)
 from msgflow.staging import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,6 +220,69 @@ def page_difference(spark, sf_dir):
     return page_difference_.extracted(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+# ------------------------------------------------------- conversation prefixes
+
+
+SQL_PREFIXES = f"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, count(*) AS l, {sql_crc32("c::VARCHAR")} % 9 AS h FROM t GROUP BY c),
+kk AS (SELECT k.c, k.h, k.c - k.c % 5 AS b, least(k.h, coalesce(o.l, 0)) AS taken FROM k LEFT JOIN k o ON o.c = k.c - k.c % 5),
+p AS (SELECT kk.c, i AS d, r, x FROM kk JOIN t ON t.c = kk.b AND t.i <= kk.h
+  UNION ALL SELECT kk.c, taken + i - h, r, x FROM kk JOIN t ON t.c = kk.c AND t.i > kk.h),
+q AS (SELECT c, 0 AS d, 0 AS bytes, '' AS key FROM kk UNION ALL SELECT c, d, octet_length(encode(x)),
+  string_agg(md5(length(r) || ':' || r || x), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d) FROM p),
+q2 AS (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY d) AS above, max(d) OVER (PARTITION BY c) AS len FROM q),
+n AS (SELECT d, key, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, any_value(above) AS above,
+  sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = len), '')) AS ends_sha256 FROM q2 GROUP BY d, key),
+kids AS (SELECT d - 1 AS d, above AS key, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+under AS (SELECT DISTINCT a.d, a.key, z.d AS low, z.key AS below FROM q a JOIN q z ON a.c = z.c AND z.d >= a.d),
+sums AS (SELECT u.d, u.key, count(*) FILTER (WHERE k.key IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.bytes) AS saved
+  FROM under u JOIN n ON n.d = u.low AND n.key = u.below LEFT JOIN kids k ON k.d = u.low AND k.key = u.below GROUP BY 1, 2)
+SELECT n.conv_id, n.d::BIGINT AS depth, o.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n_children, 0)::BIGINT AS n_children,
+  n_leaves, saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN sums ON sums.d = n.d AND sums.key = n.key LEFT JOIN kids ON kids.d = n.d AND kids.key = n.key
+LEFT JOIN n o ON o.d = n.d - 1 AND o.key = n.above"""
+
+
+@query("op11_prefix_trie", SQL_PREFIXES)
+def conversation_prefixes(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return prefix_trie.trie(prefix_trie.rebuilt(turns, group=5, heads=9))
+
+
+# ------------------------------------------------------------------- vectors
+
+
+@query("op12_projection_forest")
+def projection_forest_(spark, sf_dir):
+    """The 20 nearest found of every twentieth id; approximate, so compared with brute force in the tests."""
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return projection_forest.nearest(rows, "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20)
+
+
+SQL_HARD_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, p.other AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY n.score DESC, n.other)::INT AS rank,
+  n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY rank <= 5"""
+
+
+@query("op13_multi_index", SQL_HARD_NEGATIVES)
+def hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return multi_index.hard_negatives(rows.withColumn("label", label), "vec_id", "label", "embedding", F.col("vec_id") % 100 == 0)
+
+
 # ------------------------------------------------------------------ pipeline
 
 
