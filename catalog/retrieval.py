@@ -1,13 +1,13 @@
 """Embeddings, vector tables, exact top-k, documents, checks."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from catalog.features import sql_vocabulary, sql_weights, sql_word_terms
 from catalog.preparation import SQL_KB, pairs
 from catalog.registry import query, table
 from msgflow.operators import prepare
 from msgflow.operators.answers import hook_embeddings
-from msgflow.operators.features import unit_length
+from msgflow.operators.features import TermWeights, unit_length
 from msgflow.operators.retrieval import retrieval_checks, top_k, with_documents
 from msgflow.plans.knowledge import build_vectors
 from msgflow.staging import stage
@@ -55,7 +55,23 @@ SQL_KB_WEIGHTS = f"""{SQL_KB}, {sql_word_terms('kb', 'doc_id', 'instruction', 'k
 @query("r2_vector_table", f"""
 WITH {SQL_KB_WEIGHTS} SELECT id AS doc_id, term, round(weight, 6) AS weight FROM kb_weights""")
 def vector_table(spark, sf_dir):
-    features, vectors = build_vectors(knowledge_base(spark, sf_dir))
+    return term_weights(*build_vectors(knowledge_base(spark, sf_dir)))
+
+
+SQL_HOT_WEIGHTS = f"""{SQL_KB}, hot_kb AS (SELECT doc_id, 'everywhere everywhere ' || instruction AS instruction FROM kb),
+{sql_word_terms('hot_kb', 'doc_id', 'instruction', 'hot_terms')}, {sql_vocabulary('hot_kb', 'hot_terms')}, {sql_weights('hot_terms', False, 'hot_weights')}"""
+
+
+@query("r2_hot_term_join", f"WITH {SQL_HOT_WEIGHTS} SELECT id AS doc_id, term, round(weight, 6) AS weight FROM hot_weights")
+def hot_term_join(spark, sf_dir):
+    """A word that stands in every question, and a table of weights too large to hold: hot terms apart, the others joined."""
+    hot = F.concat(F.lit("everywhere everywhere "), "instruction").alias("instruction")
+    questions = knowledge_base(spark, sf_dir).select("doc_id", hot)
+    features = TermWeights.fit(questions, "instruction", local_terms=0)
+    return term_weights(features, features.arrays(questions, "instruction"))
+
+
+def term_weights(features, vectors):
     parts = vectors.select("doc_id", F.inline(F.arrays_zip(
         F.col("embedding.indices").alias("idx"), F.col("embedding.values").alias("weight"))))
     terms = features.vocabulary.select("idx", "term")  # staged: broadcast only if its files are small
@@ -116,6 +132,15 @@ def text_top_k_blocks(spark, sf_dir):
     return _text_hits(spark, sf_dir, broadcast_bytes=0, block_bytes=100_000, chunk_bytes=100_000)[1]
 
 
+@query("r3_cells_skipped", "SELECT count(*) AS n_queries, true AS whole_result, true AS skips_cells FROM conversations WHERE role = 'user'")
+def cells_skipped(spark, sf_dir):
+    """Cells (question, block) that the bounds rule out are never built, and no hit is lost by it."""
+    seen = Observation("cells")
+    hits = stage(_text_hits(spark, sf_dir, broadcast_bytes=0, block_bytes=10_000, cells=seen)[1], "hits")
+    row = hits.groupBy("query_id").count().agg(F.count("*").alias("n_queries"), (F.min("count") == 3).alias("whole_result"))
+    return row.withColumn("skips_cells", F.lit(seen.get["built"] < seen.get["all"]))
+
+
 @query("r4_retrieved_documents", f"""
 WITH {SQL_TEXT_HITS} SELECT h.query_id, (rank - 1)::INT AS pos, h.doc_id, instruction, response, intent, category, similarity_score
 FROM hits h JOIN kb ON kb.doc_id = h.doc_id""")

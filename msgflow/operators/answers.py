@@ -64,8 +64,8 @@ class EncoderFeatures:
     def __init__(self, make_encoder: Callable[[], Callable[[list], list]]):
         self.make_encoder = make_encoder
 
-    def arrays(self, df: DataFrame, text: str, output: str = "embedding") -> DataFrame:
-        """Add ``output`` and ``{output}_error``."""
+    def arrays(self, df: DataFrame, text: str, output: str = "embedding", hold: Callable | None = None) -> DataFrame:
+        """Add ``output`` and ``{output}_error``; nothing is kept, so ``hold`` is not used."""
         from msgflow.operators.features import unit_length
 
         make_encoder, place = self.make_encoder, df.columns.index(text)

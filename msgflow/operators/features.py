@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from msgflow.functions.terms import char_terms, sparse_vector, vector_parts, word_terms
+from msgflow.functions.terms import char_terms, once, sparse_vector, vector_parts, word_terms
 from msgflow.staging import stage
 
+LOCAL_TERMS = 1 << 22  # weights (16 bytes each) that every executor may hold
+HEAVY = 256            # a term is hot if it makes up this part of all or more, so there are at most so many
+
 
 @dataclass(frozen=True)
 class TermRule:
@@ -110,42 +117,130 @@ class TfIdf:
 
 
 class TermWeights:
-    """The idf of every term of a corpus as a table, for TF-IDF without a vocabulary.
+    """The idf of every term of a corpus as a table, for TF-IDF without a vocabulary limit.
 
-    A term's index is its 64-bit hash, so nothing is collected and nothing is cut
-    (``max_features`` and ``min_df`` of the rule are not looked at); two terms share
-    an index with a chance of about n * n / 2^65.
+    A term's index is its 64-bit hash, so nothing is cut (``max_features`` and ``min_df``
+    of the rule are not looked at); two terms share an index with a chance of about
+    n * n / 2^65.  The table is counted once: up to ``local_terms`` rows of 16 bytes go to
+    every executor and texts are weighed row by row; a larger one is met in a join that
+    sets the hot terms apart.  Both ways give the same vectors.
     """
 
-    def __init__(self, rule: TermRule, vocabulary: DataFrame):
+    def __init__(self, rule: TermRule, vocabulary: DataFrame, local_terms: int = LOCAL_TERMS):
         self.rule = rule
         self.vocabulary = vocabulary  # idx, term, n_docs, idf
+        self.local_terms = local_terms
 
     @classmethod
-    def fit(cls, df: DataFrame, text: str, rule: TermRule = RETRIEVAL_TERMS) -> TermWeights:
+    def fit(cls, df: DataFrame, text: str, rule: TermRule = RETRIEVAL_TERMS, local_terms: int = LOCAL_TERMS) -> TermWeights:
         n_rows = df.select(F.count("*")).scalar()
         idf = (F.log((F.lit(1.0) + n_rows) / (F.lit(1.0) + F.col("n_docs"))) + 1.0).alias("idf")
         counts = term_counts(df, text, rule).groupBy(F.xxhash64("term").alias("idx")).agg(
             F.min("term").alias("term"), F.sum("n_docs").alias("n_docs"))
-        return cls(rule, stage(counts.select("idx", "term", "n_docs", idf), "term-weights"))
+        return cls(rule, stage(counts.select("idx", "term", "n_docs", idf), "term-weights"), local_terms)
 
-    def arrays(self, df: DataFrame, text: str, output: str = "embedding") -> DataFrame:
+    @cached_property
+    def _local(self) -> Broadcast | None:
+        """All weights, if the table is small."""
+        if self.vocabulary.count() > self.local_terms:
+            return None
+        return _weights_at_hand(self.vocabulary)
+
+    def arrays(self, df: DataFrame, text: str, output: str = "embedding",
+               hold: Callable[[DataFrame, str], DataFrame] = stage) -> DataFrame:
         """Add the TF-IDF vector of unit length as struct(indices, values); empty arrays if no term is known.
 
-        Terms meet their weights in a join, so the rows are numbered once and staged.
+        ``hold`` keeps the numbered rows if the table of weights is large, see :meth:`_joined`.
+        """
+        terms = F.transform(self.rule.terms(F.col(text)), lambda t: F.xxhash64(t))
+        if self._local is not None:
+            weighed = _weighed(df.withColumn("_terms", terms), self._local)
+            return weighed.withColumn(output, unit(F.col("_vector"))).drop("_vector")
+        return self._joined(df.withColumn("_terms", terms), output, hold)
+
+    def _joined(self, df: DataFrame, output: str, hold: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+        """Heavy and light terms apart: the weights of the few hot terms go to every executor, the others are met in a hash join.
+
+        A sketch over the rows' terms names the hot ones, at most HEAVY of them.  So a term
+        that stands in every row is never a key of the shuffle, and each light one takes a
+        small part of a task.
         """
-        rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "weighted-rows")
-        terms = rows.select("_row", F.explode(self.rule.terms(F.col(text))).alias("term"))
-        counts = terms.groupBy("_row", F.xxhash64("term").alias("idx")).agg(F.count("*").alias("tf"))
-        met = counts.join(self.vocabulary.select("idx", "idf"), "idx").select(
-            "_row", "idx", (F.col("tf") * F.col("idf")).alias("w"))
-        by_row = met.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("_all"))
-        norm = F.sqrt(F.aggregate("_all", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-        unit = F.struct(F.transform("_all", lambda x: x["idx"]).alias("indices"),
-                        F.transform("_all", lambda x: x["w"] / F.col("_norm")).alias("values"))
-        vector = by_row.withColumn("_norm", norm).select("_row", unit.alias("_vector"))
-        none = F.struct(F.array().cast("array<bigint>").alias("indices"), F.array().cast("array<double>").alias("values"))
-        return rows.join(vector, "_row", "left").withColumn(output, F.coalesce("_vector", none)).drop("_row", "_vector")
+        rows = hold(df.withColumn("_row", F.monotonically_increasing_id()), "weighted-rows")
+        heavy = self.heavy_terms(rows)
+        rows = _weighed(rows, _weights_at_hand(heavy), rest="_light")
+        light = light_terms(rows).join(self.vocabulary.select("idx", "idf"), "idx")
+        met = light.groupBy("_row").agg(F.collect_list(F.struct("idx", (F.col("tf") * F.col("idf")).alias("w"))).alias("_met"))
+        none = F.array().cast("array<struct<idx:bigint,w:double>>")
+        every = F.sort_array(F.concat(F.arrays_zip(F.col("_vector.indices").alias("idx"), F.col("_vector.values").alias("w")), F.coalesce("_met", none)))
+        found = rows.join(met, "_row", "left").withColumn("_all", every)
+        vector = F.struct(F.transform("_all", lambda x: x["idx"]).alias("indices"), F.transform("_all", lambda x: x["w"]).alias("values"))
+        return found.withColumn(output, unit(vector)).drop("_row", "_vector", "_light", "_met", "_all")
+
+    def heavy_terms(self, rows: DataFrame) -> DataFrame:
+        """The weights of the terms that a frequent-items sketch over ``_terms`` finds hot: a part in HEAVY of all, or more."""
+        each = rows.select(F.explode(F.array_distinct("_terms")).alias("idx"))
+        top = each.agg(F.expr(f"approx_top_k(idx, {HEAVY}, {16 * HEAVY})").alias("top"), F.count("*").alias("n"))
+        named = top.select(F.explode("top").alias("t"), "n").where(F.col("t.count") * HEAVY >= F.col("n"))
+        return self.vocabulary.join(F.broadcast(named.select("t.item")), F.col("idx") == F.col("item"), "left_semi")  # at most HEAVY rows
+
+
+def _weights_at_hand(table: DataFrame) -> Broadcast:
+    """(idx, idf) of a table whose size has been checked, sorted, on every executor."""
+    rows = table.select("idx", "idf").toArrow()
+    idx = rows["idx"].to_numpy()
+    order = np.argsort(idx)
+    return table.sparkSession.sparkContext.broadcast((idx[order], rows["idf"].to_numpy()[order]))
+
+
+def _weighed(rows: DataFrame, weights: Broadcast, rest: str | None = None) -> DataFrame:
+    """``rows`` without ``_terms``, with ``_vector`` (indices ascending, tf * idf of the terms at hand) and,
+    if asked for, ``rest``: the other terms with their counts."""
+    place = rows.columns.index("_terms")
+    kept = [f for f in rows.schema.fields if f.name != "_terms"]
+    pairs = T.StructType([T.StructField("indices", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*kept, T.StructField("_vector", pairs), *([T.StructField(rest, pairs)] if rest else [])])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        known, idf = weights.value
+
+        def lists(row, idx, value, n):
+            offsets = pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32())
+            return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(idx, pa.int64())),
+                                               pa.ListArray.from_arrays(offsets, pa.array(value, pa.float64()))], ["indices", "values"])
+
+        for batch in batches:
+            terms, n = batch.column(place), batch.num_rows
+            flat = terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(n), terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            order = np.lexsort((flat, row))
+            flat, row = flat[order], row[order]
+            starts = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])]) if len(flat) else np.zeros(0, np.int64)
+            tf = np.diff(np.r_[starts, len(flat)]).astype(np.float64)
+            idx, row = flat[starts], row[starts]
+            at = np.minimum(np.searchsorted(known, idx), max(len(known) - 1, 0))
+            met = known[at] == idx if len(known) else np.zeros(len(idx), bool)
+            made = [lists(row[met], idx[met], tf[met] * idf[at[met]], n)]
+            if rest:
+                made.append(lists(row[~met], idx[~met], tf[~met], n))
+            yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != place], *made], [f.name for f in schema.fields])
+
+    return rows.mapInArrow(run, schema)
+
+
+def light_terms(rows: DataFrame) -> DataFrame:
+    """(_row, idx, tf) of the terms that are met in the join."""
+    return rows.select("_row", F.inline(F.arrays_zip(F.col("_light.indices").alias("idx"), F.col("_light.values").alias("tf"))))
+
+
+def unit(vector: Column) -> Column:
+    """struct(indices, values) scaled to length 1; one without values stays."""
+    def scaled(norm: Column) -> Column:
+        return F.struct(vector["indices"].alias("indices"), F.transform(vector["values"], lambda x: x / norm).alias("values"))
+
+    return once(F.sqrt(F.aggregate(vector["values"], F.lit(0.0), lambda s, x: s + x * x)), scaled)
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

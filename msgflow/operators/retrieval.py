@@ -12,18 +12,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from msgflow import values
-from msgflow.staging import stage
+from msgflow.operators.vector_blocks import Blocks
 
 SALTS = 16  # ways that the hits of one document are spread when its text is fetched
 
 BROADCAST_BYTES = 256 * 1024 * 1024  # vector tables up to this size go to every executor
 BLOCK_BYTES = 64 * 1024 * 1024       # larger ones are searched in blocks of about this size
-CHUNK_BYTES = 64 * 1024 * 1024       # against chunks of queries of about this size
+CHUNK_BYTES = 64 * 1024 * 1024       # by pieces of queries of about this size
 
 
 def _kernel(sparse: bool, k: int) -> tuple[Callable, Callable]:
@@ -145,9 +144,12 @@ def is_sparse(df: DataFrame, embedding: str = "embedding") -> bool:
 
 def vector_bytes(vectors: DataFrame, embedding: str = "embedding") -> int:
     """The memory the vector table takes as numbers: 8 bytes each, and 8 per index."""
-    sparse = is_sparse(vectors, embedding)
+    return vectors.agg(F.coalesce(F.sum(_numbers(is_sparse(vectors, embedding), embedding)), F.lit(0))).first()[0]
+
+
+def _numbers(sparse: bool, embedding: str = "embedding") -> Column:
     size = F.coalesce(F.size(f"{embedding}.indices") if sparse else F.size(embedding), F.lit(0))
-    return vectors.agg(F.coalesce(F.sum(size.cast("bigint") * (16 if sparse else 8) + 8), F.lit(0))).first()[0]
+    return size.cast("bigint") * (16 if sparse else 8) + 8
 
 
 def checked_vectors(vectors: DataFrame) -> DataFrame:
@@ -171,16 +173,20 @@ class VectorIndex:
     vectors: DataFrame
     size: int
     block: Broadcast | None  # the whole table, if it is small
+    blocks: Blocks | None    # else the table in blocks
 
     @classmethod
-    def of(cls, vectors: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> VectorIndex:
+    def of(cls, vectors: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, block_bytes: int = BLOCK_BYTES) -> VectorIndex:
         vectors = checked_vectors(vectors)
-        size, block = vector_bytes(vectors), None
+        size, block, blocks = vector_bytes(vectors), None, None
         if size <= broadcast_bytes:
             index, _ = _kernel(is_sparse(vectors), 1)
             table = vectors.toArrow()  # its size has just been checked
             block = vectors.sparkSession.sparkContext.broadcast(index(table["doc_id"], table["embedding"]))
-        return cls(vectors, size, block)
+        else:
+            sparse = is_sparse(vectors)
+            blocks = Blocks.of(vectors, _kernel, sparse, _numbers(sparse), size, block_bytes)
+        return cls(vectors, size, block, blocks)
 
 
 def _hits_schema(queries: DataFrame, query_id: str) -> T.StructType:
@@ -203,58 +209,23 @@ def _top_k_broadcast(queries: DataFrame, sparse: bool, block: Broadcast, k: int,
     return queries.select(query_id, "embedding").mapInArrow(run, _hits_schema(queries, query_id))
 
 
-def _top_k_blocks(queries: DataFrame, vectors: DataFrame, k: int, query_id: str,
-                  total_bytes: int, block_bytes: int, chunk_bytes: int) -> DataFrame:
-    """Every (query chunk, vector block) cell is one bounded group that keeps its k best;
-    a query's candidates, k per block, are then merged."""
-    n_blocks = max(1, -(-total_bytes // block_bytes))
-    n_chunks = max(1, -(-vector_bytes(queries) // chunk_bytes))
-
-    # The rows are numbered once and staged, so that ids may repeat.
-    rows = stage(queries.select(query_id, "embedding").withColumn("_row", F.monotonically_increasing_id()), "query-rows")
-
-    def cells(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        out = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int"))
-        return out.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-
-    left = cells(rows.select("_row", "embedding"), "_row", "_chunk", n_chunks, "_block", n_blocks)
-    right = cells(vectors, "doc_id", "_block", n_blocks, "_chunk", n_chunks)
-    index, search = _kernel(is_sparse(vectors), k)
-    id_type = pa.int64()
-
-    def run(chunk: pa.Table, block: pa.Table) -> pa.Table:
-        import pyarrow as pa
-
-        names = ["_row", "doc_id", "similarity_score"]
-        ids = chunk["_row"].combine_chunks()
-        if chunk.num_rows == 0 or block.num_rows == 0:
-            return pa.table([ids.slice(0, 0), pa.array([], id_type), pa.array([], pa.float64())], names=names)
-        row, _, doc, score = search(index(block["doc_id"], block["embedding"]), chunk["embedding"])
-        return pa.table([ids.take(pa.array(row)), pa.array(doc, id_type), pa.array(score, pa.float64())], names=names)
-
-    schema = "_row long, doc_id long, similarity_score double"
-    best = left.groupBy("_chunk", "_block").cogroup(right.groupBy("_chunk", "_block")).applyInArrow(run, schema)
-    order = Window.partitionBy("_row").orderBy(F.desc("similarity_score"), "doc_id")
-    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.join(rows.select("_row", query_id), "_row").select(query_id, "rank", "doc_id", "similarity_score")
-
-
 def top_k(queries: DataFrame, vectors: DataFrame | VectorIndex, k: int = values.SEARCH_TOP_K, query_id: str = "query_id",
           broadcast_bytes: int = BROADCAST_BYTES, block_bytes: int = BLOCK_BYTES,
-          chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+          chunk_bytes: int = CHUNK_BYTES, cells: Observation | None = None) -> DataFrame:
     """(query_id, rank, doc_id, similarity_score): the k best documents of each row of the queries.
 
     Fewer than k rows only if the table holds fewer than k documents with an
     embedding, and none for a query without one.  The vector table is measured
     first (or once, by :class:`VectorIndex`): a small one goes to every executor
-    and the queries stay where they are, a larger one is searched block by block.
-    Both ways give the same rows.
+    and the queries stay where they are, a larger one is searched in those blocks whose
+    bounds let them hold one of the k best (see :mod:`msgflow.operators.vector_blocks`;
+    ``cells`` observes their number).  Both ways give the same rows.
     """
-    index = vectors if isinstance(vectors, VectorIndex) else VectorIndex.of(vectors, broadcast_bytes)
+    index = vectors if isinstance(vectors, VectorIndex) else VectorIndex.of(vectors, broadcast_bytes, block_bytes)
     queries = queries.where(F.col("embedding").isNotNull())
     if index.block is not None:
         return _top_k_broadcast(queries, is_sparse(index.vectors), index.block, k, query_id)
-    return _top_k_blocks(queries, index.vectors, k, query_id, index.size, block_bytes, chunk_bytes)
+    return index.blocks.search(queries, k, query_id, chunk_bytes, cells)
 
 
 def with_documents(hits: DataFrame, knowledge_base: DataFrame, query_id: str = "query_id",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ class Embedder(Protocol):
     """What turns texts into vectors: :class:`TermWeights`, or an encoder by
     :class:`msgflow.operators.answers.EncoderFeatures`."""
 
-    def arrays(self, df: DataFrame, text: str, output: str = "embedding") -> DataFrame: ...
+    def arrays(self, df: DataFrame, text: str, output: str = "embedding", hold: Callable = stage) -> DataFrame: ...
 
 
 def build_vectors(knowledge_base: DataFrame, features: Embedder | TermRule = RETRIEVAL_TERMS) -> tuple[Embedder, DataFrame]:

@@ -79,7 +79,7 @@ def answer_scored(scored: DataFrame, knowledge_base: DataFrame, question_feature
     none = F.lit(None).cast("string")
     rest = scored.where(~on_route).select("*", F.array().cast(DOCUMENTS).alias("retrieved_documents"),
                                           none.alias("_answer"), none.alias("error"))
-    asked = question_features.arrays(scored.where(on_route).select(message_id, text), text)
+    asked = question_features.arrays(scored.where(on_route).select(message_id, text), text, hold=hold)
     failed = None
     if "embedding_error" in asked.columns:
         asked = hold(asked, "asked")

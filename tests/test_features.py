@@ -77,3 +77,27 @@ def test_class_weights(spark):
 def test_unit_length(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "e array<float>")
     assert [r[0] for r in df.select(X.unit_length(F.col("e"))).collect()] == [[0.6, 0.8], [0.0, 0.0]]
+
+
+def test_weights_at_hand_and_joined_are_the_same(spark):
+    """A term in every row, rows without terms, unknown terms and repeats: both ways give one vector."""
+    rows = [(i, "hot hot " + " ".join(f"w{i % 7} x{i}" for _ in range(i % 3 + 1))) for i in range(300)] + [(300, None), (301, ""), (302, "unknown zz")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    fitted = X.TermWeights.fit(df.where("id < 302"), "text")
+    joined = X.TermWeights(fitted.rule, fitted.vocabulary, local_terms=0)
+    a, b = ({r.id: (list(r.embedding.indices), [round(v, 12) for v in r.embedding["values"]]) for r in x.arrays(df, "text").collect()} for x in (fitted, joined))
+    assert a == b and a[300] == a[301] == a[302] == ([], []) and len(a) == 303
+    assert all(abs(sum(v * v for v in values) - 1) < 1e-9 and idx == sorted(idx) for i, (idx, values) in a.items() if i < 300)
+
+
+def test_a_hot_term_is_no_key_of_the_join(spark):
+    """One term in every row: the sketch names it, and the light terms that are left spread evenly."""
+    df = spark.range(6000).select("id", F.format_string("everywhere w%d x%d", F.col("id") % 997, "id").alias("text"))
+    fitted = X.TermWeights.fit(df, "text", local_terms=0)
+    terms = F.transform(fitted.rule.terms(F.col("text")), lambda t: F.xxhash64(t))
+    rows = df.withColumn("_row", F.col("id")).withColumn("_terms", terms)
+    heavy = fitted.heavy_terms(rows)
+    assert [r.term for r in heavy.collect()] == ["everywhere"]
+    light = X.light_terms(X._weighed(rows, X._weights_at_hand(heavy), rest="_light"))
+    sizes = sorted(r["count"] for r in light.repartition(16, "idx").groupBy(F.spark_partition_id().alias("task")).count().collect())
+    assert len(sizes) == 16 and sizes[-1] <= 2 * sizes[8]

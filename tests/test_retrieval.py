@@ -85,6 +85,33 @@ def test_hot_term_and_long_queries(spark):
     assert all(r.similarity_score == 1.0 and r.doc_id == r.query_id % 50 + 50 * (r["rank"] - 1) for r in a)
 
 
+def test_cells_below_the_threshold_are_not_built(spark):
+    """Texts of eight kinds that share no term: a query only goes to blocks of its own kind, and to all if it meets nothing."""
+    from pyspark.sql import Observation
+
+    rng = random.Random(8)
+    docs = {i: {100 * (i % 8) + j: rng.choice([0.25, 0.5, 1.0]) for j in rng.sample(range(12), 5)} for i in range(400)}
+    queries = {i: {100 * (i % 8) + j: 1.0 for j in range(12)} for i in range(64)} | {64: {}, 65: {5000: 1.0}}
+    q, d = frame(spark, queries, "query_id", True, 0), frame(spark, docs, "doc_id", True, 0)
+    seen = Observation("cells")
+    got = {}
+    for r in sorted(R.top_k(q, d, 3, **BLOCKS, cells=seen).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((r.doc_id, r.similarity_score))
+    assert got == brute(queries, docs, 3)
+    assert seen.get["built"] < 0.5 * seen.get["all"]
+
+
+@pytest.mark.parametrize("sparse", [True, False])
+def test_negative_weights_in_blocks(spark, sparse):
+    rng = random.Random(9)
+    signed = lambda n: {i: {j: rng.choice([-1.0, -0.5, 0.5, 1.0]) for j in range(6) if rng.random() > 0.4} for i in range(n)}
+    docs, queries = signed(60), signed(40)
+    got = {}
+    for r in sorted(R.top_k(frame(spark, queries, "query_id", sparse, 6), frame(spark, docs, "doc_id", sparse, 6), 7, **BLOCKS).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((r.doc_id, r.similarity_score))
+    assert got == brute(queries, docs, 7)
+
+
 def test_documents_and_checks(spark):
     kb = spark.createDataFrame([(i, f"q{i}", f"r{i}", "in", "REFUND" if i < 2 else "ORDER") for i in range(4)],
                                "doc_id long, instruction string, response string, intent string, category string")
