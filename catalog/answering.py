@@ -8,19 +8,19 @@ from catalog.registry import query, sql_text
 from catalog.retrieval import SQL_KB_WEIGHTS, knowledge_base
 from catalog.routes import SQL_DIRECT, SQL_RULED, chatty, ruled
 from msgflow import values
-from msgflow.functions.prompting import user_prompt
+from msgflow.functions.prompting import PromptRules, SYSTEM_RULES, user_prompt
 from msgflow.operators.answers import EncoderFeatures
 from msgflow.plans.knowledge import build_vectors
 from msgflow.plans.message_flow import RESULT_FIELDS, answer_scored, result_json
 from msgflow.staging import stage
 
 
-def answered(spark, sf_dir, make_hook=None):
+def answered(spark, sf_dir, make_hook=None, **options):
     """Messages routed by rule, answered from the knowledge base of the conversations."""
     kb = knowledge_base(spark, sf_dir)
     features, vectors = build_vectors(kb)
     scored = stage(ruled(chatty(spark, sf_dir)), "ruled")
-    return answer_scored(scored, kb, features, vectors, make_hook=make_hook)
+    return answer_scored(scored, kb, features, vectors, make_hook=make_hook, **options)
 
 
 SQL_ANSWERED = f"""{SQL_RULED}, {SQL_KB_WEIGHTS},
@@ -76,6 +76,18 @@ def hooked_answers(spark, sf_dir):
     return rows.where(F.col("route").isin("rag", "rag_escalate")).select("message_id", "response", "error")
 
 
+@query("c6_ruled_answers", f"""
+WITH {SQL_PROMPTS} SELECT message_id, length({sql_text(SYSTEM_RULES)}) || ' + ' || length(prompt) || ' at 0.5'
+  || CASE WHEN escalate THEN {sql_text(values.ESCALATION_NOTICE)} ELSE '' END AS response FROM prompted""")
+def ruled_answers(spark, sf_dir):
+    """The hook gets the system text and the temperature with the prompts."""
+    def make_hook(rules):
+        return lambda prompt: f"{len(rules.system)} + {len(prompt)} at {rules.temperature}"
+
+    rows = answered(spark, sf_dir, make_hook, rules=PromptRules(temperature=0.5))
+    return rows.where(F.col("route").isin("rag", "rag_escalate")).select("message_id", "response")
+
+
 SQL_ENCODED = f"""{SQL_RULED}, {SQL_KB},
 sized AS (SELECT doc_id, length(instruction)::DOUBLE AS a, length(regexp_replace(lower(instruction), '[^aeiou]', '', 'g'))::DOUBLE AS b FROM kb),
 known AS (SELECT doc_id, a / sqrt(a * a + b * b + 1) AS x, b / sqrt(a * a + b * b + 1) AS y, 1 / sqrt(a * a + b * b + 1) AS z FROM sized),

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from catalog.registry import query, table
 from catalog.routes import SQL_CHATTY, chatty
 from msgflow.operators import conversation as C
+from msgflow.staging import new_path
+from msgflow.streaming import conversations as S
 
 
 @query("v1_message_turns", f"""
@@ -60,3 +62,26 @@ def feedback(spark, sf_dir):
 @query("v4_feedback_records", f"WITH {SQL_FEEDBACK} SELECT * FROM feedback")
 def feedback_records(spark, sf_dir):
     return feedback(spark, sf_dir)
+
+
+def tracked(spark, sf_dir):
+    """The turns as a stream of three batches, out of order: late ones come last, and every seventh comes twice."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    arriving, output = new_path(spark, "turns"), new_path(spark, "tracked")
+    late = (F.col("turn") * 5 + F.col("conv_id")) % 3
+    for i in (2, 0, 1):
+        part = turns.where(late == i)
+        part.unionByName(turns.where((F.col("turn") + F.col("conv_id")) % 7 == 0)).coalesce(1).write.mode("append").parquet(arriving)
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    S.track_conversations(stream, output, new_path(spark, "tracked-checkpoint")).awaitTermination()
+    return output
+
+
+@query("v2_streamed_pairs", f"WITH {_PAIRS} SELECT * FROM pairs")
+def streamed_pairs(spark, sf_dir):
+    return S.current_pairs(spark, tracked(spark, sf_dir))
+
+
+@query("v3_streamed_sizes", "SELECT conv_id, count(*) AS n_messages FROM conversations GROUP BY conv_id")
+def streamed_sizes(spark, sf_dir):
+    return S.current_sizes(spark, tracked(spark, sf_dir))

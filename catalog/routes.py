@@ -11,7 +11,9 @@ from msgflow.functions.text import clean_intent_text
 from msgflow.operators.prepare import mapped
 from msgflow.plans.message_flow import contain_failures, failed_reply, outcome_counts
 from msgflow.staging import new_path
-from msgflow.streaming.messages import read_output, start_stream
+from msgflow.sources.commits import read_committed
+from msgflow.streaming.counts import OutcomeListener, landed_counts, observe_outcomes
+from msgflow.streaming.messages import quarantine_stream, read_output, replay_failed, start_stream
 
 # --------------------------------------------------------------- small talk
 
@@ -152,6 +154,42 @@ def outcomes(spark, sf_dir):
     return outcome_counts(routed(spark, sf_dir).withColumnRenamed("source", "language"))
 
 
+@query("c10_streamed_counts", f"""
+WITH {SQL_ROUTED} SELECT route, intent, source AS language, sentiment, count(*) AS n FROM routed GROUP BY ALL""")
+def streamed_outcomes(spark, sf_dir):
+    """The same rows as a stream of three batches: counts are observed in flight and landed per batch by a listener."""
+    arriving, folder = new_path(spark, "routed"), new_path(spark, "landed")
+    rows = routed(spark, sf_dir).withColumnRenamed("source", "language")
+    rows.repartition(3).write.parquet(arriving)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    listener = OutcomeListener(spark, folder)
+    spark.streams.addListener(listener)
+    try:
+        written = observe_outcomes(stream).writeStream.format("parquet").option("path", new_path(spark, "routed-out"))
+        listener.wait(written.option("checkpointLocation", new_path(spark, "routed-check")).trigger(availableNow=True).start())
+    finally:
+        spark.streams.removeListener(listener)
+    return landed_counts(spark, folder).groupBy("route", "intent", "language", "sentiment").agg(F.sum("n").alias("n"))
+
+
+@query("c9_quarantined_stream", "SELECT doc_id, n_chars, doc_id % 5 = 0 AS replayed FROM documents")
+def quarantined(spark, sf_dir):
+    """Numbers that do not parse land once, beside the good rows; after the fix they are replayed."""
+    arriving, output, raw = new_path(spark, "raw"), new_path(spark, "parsed"), F.col("n_chars").cast("string")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat(raw, F.lit("?"))).otherwise(raw).alias("raw"))
+    rows.repartition(3).write.parquet(arriving)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+
+    def parse(batch):
+        return contain_failures(batch, {"n_chars": ("raw", "bigint")})
+
+    quarantine_stream(stream, parse, output, new_path(spark, "parsed-check"), "numbers").awaitTermination()
+    for _ in range(2):  # the second replay finds the first
+        replay_failed(spark, output, "numbers", ["doc_id", "raw"], lambda df: parse(df.withColumn("raw", F.rtrim(F.replace("raw", F.lit("?"), F.lit(""))))), "fixed")
+    good = read_committed(spark, output, "good", ["job"])
+    return good.select("doc_id", "n_chars", (F.col("job") == "j-fixed").alias("replayed"))
+
+
 # ------------------------------------------------ messages by the rule alone
 
 

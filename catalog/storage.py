@@ -9,7 +9,7 @@ from catalog.registry import SQL_DECORATED, decorated, query, sql_clean_intent,
 from catalog.retrieval import knowledge_base
 from msgflow.examples import SENTIMENT_EXAMPLES, sentiment_examples
 from msgflow.operators import evaluate
-from msgflow.sources import reports, tables
+from msgflow.sources import commits, reports, tables
 from msgflow.staging import new_path
 
 _SPLIT = "CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 8 THEN 'val' ELSE 'test' END"
@@ -102,6 +102,18 @@ def feedback_log(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query("s9_feedback_once", f"WITH {SQL_FEEDBACK} SELECT * FROM feedback")
+def feedback_once(spark, sf_dir):
+    """Two batches: the first is run twice, the second is killed between data and commit, and run again."""
+    path, records = new_path(spark, "feedback"), feedback(spark, sf_dir)
+    first, second = (records.where((F.length("assistant_response") % 2) == i) for i in (0, 1))
+    for _ in range(2):
+        tables.append_feedback_once(first, path, "votes", 0)
+    commits.write_attempt({"feedback": second}, path, "votes", 1)
+    tables.append_feedback_once(second, path, "votes", 1)
+    return tables.load_feedback(spark, path)
+
+
 @query("s10_message_intake", f"""
 WITH {SQL_DECORATED} SELECT count(*) AS n_messages, count(*) FILTER (text IS NULL) AS n_invalid,
   count(*) FILTER (text IS NOT NULL AND {sql_clean_intent('text')} = '') AS n_blank FROM decorated""")

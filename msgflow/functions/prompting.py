@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, functions as F
 
 from msgflow import values
 
+SYSTEM_RULES = """You write for the support desk of a web shop and stay friendly and to the point.
+
+- The support responses in the context are your only source. What they do not say about rules, orders or refunds, you do not say either.
+- A name in double braces, such as {{Order Number}}, is a gap in a template. Do not repeat it and do not fill it: write around it, or ask for the detail if the answer depends on it.
+- If the customer is upset, show in one short sentence that you have understood before you answer.
+- If the context does not answer the question, admit it and offer to hand over to a colleague.
+- Keep it short.
+"""
+
+
+@dataclass(frozen=True)
+class PromptRules:
+    """What an answer hook gets besides the prompts."""
+
+    system: str = SYSTEM_RULES
+    temperature: float = 0.3
+
+
 def context_block(responses: Column) -> Column:
     """Numbered response blocks with a blank line between them, or a line saying there are none."""
     blocks = F.transform(

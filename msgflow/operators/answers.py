@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from msgflow import values
+from msgflow.functions.prompting import PromptRules
 
 
 def default_answer(responses: Column) -> Column:
@@ -14,13 +16,16 @@ def default_answer(responses: Column) -> Column:
     return F.coalesce(F.get(responses, 0), F.lit(values.ANSWER_FALLBACK))
 
 
-def hook_answers(df: DataFrame, make_hook: Callable[[], Callable[[str], str]], key: str = "message_id",
-                 prompt: str = "prompt") -> DataFrame:
+def hook_answers(df: DataFrame, make_hook: Callable[..., Callable[[str], str]], key: str = "message_id",
+                 prompt: str = "prompt", rules: PromptRules = PromptRules()) -> DataFrame:
     """(key, answer, error): ``make_hook`` runs once per task and returns prompt -> answer.
 
-    A prompt that fails gets the fallback and its error text; the others go on.
+    A ``make_hook`` with a parameter is given the ``rules``: the system text, which stands
+    before every prompt, and the temperature.  A prompt that fails gets the fallback and
+    its error text; the others go on.
     """
     fallback = values.ANSWER_FALLBACK
+    given = (rules,) if inspect.signature(make_hook).parameters else ()
     schema = T.StructType([df.schema[key], T.StructField("answer", T.StringType()),
                            T.StructField("error", T.StringType())])
 
@@ -29,7 +34,7 @@ def hook_answers(df: DataFrame, make_hook: Callable[[], Callable[[str], str]], k
 
         hook = broken = None
         try:
-            hook = make_hook()
+            hook = make_hook(*given)
         except Exception as problem:  # noqa: BLE001 - every prompt of the task reports it
             broken = str(problem)
 
@@ -42,8 +47,8 @@ def hook_answers(df: DataFrame, make_hook: Callable[[], Callable[[str], str]], k
                 return fallback, str(problem)
 
         for batch in batches:
-            given = [answer(text) for text in batch[prompt]]
-            yield pd.DataFrame({key: batch[key], "answer": [a for a, _ in given], "error": [e for _, e in given]})
+            said = [answer(text) for text in batch[prompt]]
+            yield pd.DataFrame({key: batch[key], "answer": [a for a, _ in said], "error": [e for _, e in said]})
 
     return df.select(key, prompt).mapInPandas(run, schema)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from msgflow import values
 from msgflow.functions import routing
-from msgflow.functions.prompting import user_prompt
+from msgflow.functions.prompting import PromptRules, user_prompt
 from msgflow.functions.text import is_blank
 from msgflow.operators.answers import default_answer, hook_answers
 from msgflow.operators.retrieval import VectorIndex, top_k, with_documents
@@ -67,8 +67,8 @@ def score_messages(messages: DataFrame, models: MessageModels, text: str = "text
 def answer_scored(scored: DataFrame, knowledge_base: DataFrame, question_features: Embedder,
                   vectors: DataFrame | VectorIndex,
                   message_id: str = "message_id", text: str = "text", k: int = values.MODEL_TOP_K,
-                  make_hook: Callable[[], Callable[[str], str]] | None = None,
-                  hold: Callable[[DataFrame, str], DataFrame] = stage) -> DataFrame:
+                  make_hook: Callable[..., Callable[[str], str]] | None = None,
+                  hold: Callable[[DataFrame, str], DataFrame] = stage, rules: PromptRules = PromptRules()) -> DataFrame:
     """Add documents, response, escalate and error to scored messages.
 
     Retrieval and answers see only the messages on a knowledge route; the others
@@ -95,7 +95,7 @@ def answer_scored(scored: DataFrame, knowledge_base: DataFrame, question_feature
         grounded = hold(grounded, "grounded")
         prompts = grounded.where(F.col("_failed").isNull()).select(
             message_id, user_prompt(F.col(text), responses, F.col("sentiment")).alias("prompt"))
-        answers = hook_answers(prompts, make_hook, message_id).withColumnRenamed("answer", "_answer")
+        answers = hook_answers(prompts, make_hook, message_id, rules=rules).withColumnRenamed("answer", "_answer")
         grounded = grounded.join(answers, message_id, "left")
     grounded = grounded.withColumn("error", F.coalesce("_failed", "error"))
     response = routing.reply(F.col("route"), F.col("intent"), is_blank(F.col(text)), F.col("_answer"))
@@ -106,8 +106,8 @@ def answer_scored(scored: DataFrame, knowledge_base: DataFrame, question_feature
 
 def answer_messages(messages: DataFrame, models: MessageModels, message_id: str = "message_id",
                     text: str = "text", k: int = values.MODEL_TOP_K,
-                    make_hook: Callable[[], Callable[[str], str]] | None = None,
-                    hold: Callable[[DataFrame, str], DataFrame] = stage) -> DataFrame:
+                    make_hook: Callable[..., Callable[[str], str]] | None = None,
+                    hold: Callable[[DataFrame, str], DataFrame] = stage, rules: PromptRules = PromptRules()) -> DataFrame:
     """The full result of every message, and ``error`` where the answer hook failed.
 
     ``hold`` keeps the scored table, so that the models run once: staged by
@@ -115,7 +115,7 @@ def answer_messages(messages: DataFrame, models: MessageModels, message_id: str
     """
     scored = hold(score_messages(messages, models, text), "scored")
     answered = answer_scored(scored, models.knowledge_base, models.question_features, models.index,
-                             message_id, text, k, make_hook, hold)
+                             message_id, text, k, make_hook, hold, rules)
     return answered.select(*messages.columns, *RESULT_FIELDS, "error")
 
 

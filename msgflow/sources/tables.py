@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from msgflow.functions.text import is_blank
 from msgflow.operators.conversation import assistant_pairs
+from msgflow.sources.commits import read_committed, write_committed
 from msgflow.operators.prepare import add_training_examples, map_emotions, sentiment_id
 from msgflow.values import SYNTHETIC_EMOTION
 
@@ -129,3 +130,16 @@ def append_feedback(records: DataFrame, path: str, fmt: str = "parquet") -> None
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"')
     writer.format(fmt).save(path)
+
+
+def append_feedback_once(records: DataFrame, path: str, job: str, batch: int = 0) -> bool:
+    """Append the records of one batch of a job; a batch that is run again, or was killed before its end, is there once.
+
+    False if the batch is there already; then nothing is written.
+    """
+    return write_committed({"feedback": records.select(*FEEDBACK_FIELDS)}, path, job, batch)
+
+
+def load_feedback(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`append_feedback_once` has committed."""
+    return read_committed(spark, path, "feedback").select(*FEEDBACK_FIELDS)

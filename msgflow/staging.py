@@ -7,12 +7,15 @@ if its files are below ``spark.sql.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_PASSING: contextvars.ContextVar[str | None] = contextvars.ContextVar("passing", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,7 +33,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/msgflow/{name}-{uuid.uuid4().hex}"
+    return f"{_PASSING.get() or shared_folder(spark) + '/msgflow'}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """What is staged inside is deleted at the end, also after an error; so results must be written by then."""
+    folder = f"{shared_folder(spark)}/msgflow/passing-{uuid.uuid4().hex}"
+    token = _PASSING.set(folder)
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
