@@ -72,4 +72,4 @@ def read_committed(spark: SparkSession, path: str, name: str, keep: list[str] |
     commits = spark.read.schema("job string, batch long, attempt string").json(f"{path}/{_COMMITS}")
     rows = spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}/job=*")
     rows = rows.withColumn("batch", rows["batch"].cast("long"))
-    return rows.join(commits, _KEYS, "left_semi").drop(*[k for k in _KEYS if k not in (keep or [])])
+    return rows.join(commits, _KEYS, "left_semi").select(*[c for c in rows.columns if c not in _KEYS or c in (keep or [])])
