@@ -8,12 +8,14 @@ once; finished tokens leave the array, until no pair remains.
 
 Several occurrences at once equal the library's one-by-one order only if the new
 piece cannot take part in a merge of lower rank.  For pieces where it can (found
-when the tables are built), a round merges a token's leftmost occurrence alone.
+when the tables are built), a round merges a token's leftmost occurrence alone; a
+long token with such pieces, such as a run of spaces, is finished by a queue of its pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from itertools import chain
 from typing import NamedTuple
@@ -29,6 +31,9 @@ _FREE = 1 << 20  # symbols from here are characters that no piece holds
 _WIDE = np.int64(1 << 22)
 _NONE = np.iinfo(np.int64).max
 
+#: A token of more symbols whose merges have to go one by one leaves the rounds for a queue of its own.
+LONG = 64
+
 #: Distinct tokens that a task remembers; past it the memory starts anew, which changes no result.
 REMEMBERED = 400_000
 
@@ -113,7 +118,11 @@ def merge_rounds(tokens: list[str], t: Tables) -> list[tuple[int, ...]]:
         leftmost = np.r_[True, owner[at[1:]] != owner[at[:-1]]]
         single = np.zeros(len(tokens), bool)
         single[owner[at[t.alone[piece[at]]]]] = True
-        at = at[~odd & (leftmost | ~single[owner[at]])]
+        for k in np.flatnonzero(single[owner[first]] & (lengths > LONG)):  # a merge a round would take as many rounds
+            a, z = first[k], first[k] + lengths[k]
+            done[owner[a]] = _ids(np.array(_in_order(symbols[a:z].tolist(), t), np.int64), t)
+            going[a:z] = False
+        at = at[~odd & (leftmost | ~single[owner[at]]) & going[at]]
         symbols = symbols.copy()
         symbols[at] = piece[at]
         going[at + 1] = False
@@ -121,6 +130,41 @@ def merge_rounds(tokens: list[str], t: Tables) -> list[tuple[int, ...]]:
     return done
 
 
+def _in_order(symbols: list[int], t: Tables) -> list[int]:
+    """All merges of one token, one by one: the lowest rank first, of equal ones the leftmost."""
+    after, before = [*range(1, len(symbols)), -1], [-1, *range(len(symbols) - 1)]
+    known: dict = {}
+
+    def pair(i):
+        j = after[i]
+        if j < 0:
+            return
+        key = (symbols[i], symbols[j])
+        if key not in known:
+            number = key[0] * int(_WIDE) + key[1]
+            place = int(np.searchsorted(t.pairs, number))
+            met = place < len(t.pairs) and t.pairs[place] == number
+            known[key] = (int(t.rank[t.merged[place]]), int(t.merged[place])) if met else None
+        if known[key] is not None:
+            heapq.heappush(queue, (known[key][0], i, j, *key))
+
+    queue: list = []
+    for i in range(len(symbols)):
+        pair(i)
+    while queue:
+        _, i, j, left, right = heapq.heappop(queue)
+        if after[i] != j or symbols[i] != left or symbols[j] != right:
+            continue  # one of the two has been merged since
+        symbols[i], symbols[j] = known[left, right][1], -1
+        after[i] = after[j]
+        if after[i] >= 0:
+            before[after[i]] = i
+        if before[i] >= 0:
+            pair(before[i])
+        pair(i)
+    return [x for x in symbols if x >= 0]
+
+
 def _pair_ranks(symbols, owner, t):
     """Rank and piece of the pair that each symbol forms with the next one of its token."""
     key = np.full(len(symbols), -1, np.int64)

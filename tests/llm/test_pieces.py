@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -57,3 +58,16 @@ def test_tables_of_rows(spark, library):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest() and library.decode(ids) == (t or "")
     assert pieces.digests(df.limit(0), "text", PATH).collect() == []
+
+
+def test_long_runs_equal_the_library_in_little_time():
+    """Runs whose merges go one by one, alone, around words and beside each other, up to 100,000 characters."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, tables = sentencepiece.SentencePieceProcessor(model_file=path), pieces.read_tables(path)
+    rng = random.Random(12)
+    texts = [c * n for c in (" ", "=", "-", "_", "\n", "\t", "1", "a", "é", "ha") for n in (63, 64, 65, 66, 1000)] + [" " * 100_000, "=" * 100_000]
+    texts += ["".join(rng.choice(("word", "x", " " * rng.randint(1, 300), "\n", "--" * rng.randint(1, 200))) for _ in range(60)) for _ in range(20)]
+    start = time.monotonic()
+    got = pieces.Encoder(tables).encode(texts)
+    assert time.monotonic() - start < 30  # a merge a round took a minute for 32,000 spaces
+    assert got == [model.encode(t) + [model.eos_id()] for t in texts]
