@@ -33,11 +33,11 @@ from msgflow.staging import stage
 SAMPLE, LEAST = 1 << 15, 8
 #: Rows of the whole table that a leaf should have.
 LEAF = 256
-TREES = 3
+TREES = 2
 #: Queries whose true neighbours set the number of leaves to open, and the part of them to be found.
 PROBES, RECALL = 256, 0.96
 #: A block holds at most so many rows, or a part in SHARES of the table if that is less.
-BLOCK, SHARES = 1 << 17, 16
+BLOCK, SHARES = 1 << 17, 8
 #: Numbers in a task's table of scores.
 SCORES = 1 << 22
 #: Scores nearer than this part of the norms may be equal; they are summed again in the order of components.
@@ -324,7 +324,8 @@ def nearest(rows: DataFrame, row_id: str, vector: str, is_query: Column, k: int,
     groups = int(sum(p.sum() for p in blocks[1]))
     dealt = points.select("id", "vec", F.xxhash64("id")).mapInArrow(index, layout).unionByName(asked.select("rep", "vec").mapInArrow(ask, layout))
     dealt = dealt.repartition(min(groups, 8192), "block", "part").sortWithinPartitions("block", "part", "turn")
-    found = dealt.mapInArrow(search, f"rep {id_type}, id {id_type}, score double")
+    # One shuffle serves both steps: a query's hits are few, at most k + 1 from each block it goes to.
+    found = dealt.mapInArrow(search, f"rep {id_type}, id {id_type}, score double").repartition("rep")
     found = found.groupBy("rep", "id").agg(F.max("score").alias("score"))
     of_rep = Window.partitionBy("rep").orderBy(F.desc("score"), "id")
     found = stage(found.withColumn("place", F.row_number().over(of_rep)).where(F.col("place") <= k + 1), "forest-found")
