@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from msgflow.llm.vectors import finite, from_bytes, matrix, packed, part_of, to_bytes, width_of
+from msgflow.llm.vectors import Shipped, finite, from_bytes, matrix, packed, part_of, to_bytes, width_of
 from msgflow.staging import stage
 
 #: Rows that the codebooks are fitted on, rounds of fitting, and the most codes of a half.
@@ -193,7 +193,7 @@ def _index(rows: DataFrame, n: int, width: int, dtype) -> tuple[Index, DataFrame
     books = tuple(codebook(half, codes, rng) for half in (points[:, :width // 2], points[:, width // 2:]))
     none = np.zeros(0, np.int32)
     bare = Index(width, books, none, none, none, none)
-    shared = rows.sparkSession.sparkContext.broadcast(bare)  # at most 2 x CODES means
+    shared = Shipped(rows.sparkSession, bare)  # at most 2 x CODES means
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -235,7 +235,7 @@ def _searched(index: Index, coded: DataFrame, anchors: DataFrame, same: bool, ne
 
 
 def _visit(index: Index, coded: DataFrame, anchors: DataFrame, same: bool, need: int, dtype, home: bool) -> DataFrame:
-    shared = coded.sparkSession.sparkContext.broadcast(index)  # a row per cell, at most CODES * CODES
+    shared = Shipped(coded.sparkSession, index)  # a row per cell, at most CODES * CODES
     id_type = coded.schema["id"].dataType.simpleString()
     layout = f"block int, part int, turn int, id {id_type}, mark long, vec binary, i int, j int, low array<long>, high array<long>"
     names = ["block", "part", "turn", "id", "mark", "vec", "i", "j", "low", "high"]
@@ -338,7 +338,7 @@ def hard_negatives(rows: DataFrame, row_id: str, label: str, vector: str, is_anc
         return spark.createDataFrame([], schema)
     width, dtype = width_of(points, "vec"), _number(points)
     index, coded = _index(points, n, width, dtype)
-    shared = spark.sparkContext.broadcast(index)
+    shared = Shipped(spark, index)
 
     def compact(batches):
         for batch in batches:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from msgflow.llm.vectors import finite, from_bytes, matrix, not_zero, packed, part_of, to_bytes, width_of
+from msgflow.llm.vectors import Shipped, finite, from_bytes, matrix, not_zero, packed, part_of, to_bytes, width_of
 from msgflow.staging import stage
 
 #: Rows that the trees are grown on, and the fewest of them in a leaf; so a tree has at most SAMPLE / LEAST leaves.
@@ -203,7 +203,7 @@ def _visits(points: DataFrame, asked: DataFrame, forest: Forest, k: int, recall:
     probes = asked.select("rep", "vec").orderBy(F.xxhash64("rep"), "rep").limit(PROBES).toArrow()
     own, wanted = probes["rep"].to_numpy(), matrix(probes["vec"], forest.width)
     spark = points.sparkSession
-    shared = spark.sparkContext.broadcast((forest, own, wanted))  # PROBES vectors and a bounded forest
+    shared = Shipped(spark, (forest, own, wanted))  # PROBES vectors and a bounded forest
 
     def run(batches):
         trees, ids, queries = shared.value
@@ -265,7 +265,7 @@ def nearest(rows: DataFrame, row_id: str, vector: str, is_query: Column, k: int,
     forest = _forest(points, width, n)
     visits = _visits(points, asked, forest, k, recall)
     blocks = _blocks(points, forest, n)
-    shared = spark.sparkContext.broadcast((forest, blocks))
+    shared = Shipped(spark, (forest, blocks))
     layout = f"block int, part int, turn int, leaves array<int>, id {id_type}, vec binary"
 
     def batch_of(block, part, turn, leaves, ids, vecs):
@@ -337,7 +337,7 @@ def nearest(rows: DataFrame, row_id: str, vector: str, is_query: Column, k: int,
 
 def _blocks(points: DataFrame, forest: Forest, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each tree the block and the number of parts of each leaf, by the leaves' sizes (a row each on the driver)."""
-    shared = points.sparkSession.sparkContext.broadcast(forest)
+    shared = Shipped(points.sparkSession, forest)
 
     def run(batches):
         counts = [np.zeros(t.leaves, np.int64) for t in shared.value.trees]

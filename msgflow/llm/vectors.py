@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+
+class Shipped:
+    """A broadcast value whose classes are sent along, so executors need not have this package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._bytes, self._value = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self):
+        return {"_bytes": self._bytes, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = pickle.loads(self._bytes.value)
+        return self._value
 
 
 def finite(vector: Column) -> Column:
