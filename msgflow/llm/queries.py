@@ -88,22 +88,24 @@ def virtual_slots(spark, sf_dir):
 
 SQL_LINE_CHUNKS = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents WHERE text IS NOT NULL),
-h AS (SELECT *, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h, len(list_filter(string_split(t, ' '), lambda w: w <> '')) AS w FROM l),
-e AS (SELECT *, w >= {line_chunks.LEAST_WORDS} OR coalesce(lead(w) OVER o >= {line_chunks.LEAST_WORDS}, true)
-    OR (coalesce(lag(h) OVER o, 0) * 31 + h) % 4294967296 // 16 % {line_chunks.LINES} = 0 AS ends FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
-n AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM e),
-k AS (SELECT doc_id, c, string_agg(t, chr(10) ORDER BY p) AS t, sum(w) AS w FROM n GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, c) > 1 AS again FROM k),
-g AS (SELECT *, c - row_number() OVER (PARTITION BY doc_id, again ORDER BY c) AS run FROM r),
-z AS (SELECT *, again AND sum(w) OVER (PARTITION BY doc_id, again, run) >= {line_chunks.LEAST_WORDS} AS gone FROM g),
-m AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(t, chr(10) ORDER BY c) FILTER (WHERE NOT gone), '') AS t FROM z GROUP BY 1)
-SELECT doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, length(coalesce(m.t, ''))::BIGINT AS n_chars, sha256(coalesce(m.t, '')) AS text_sha256
-FROM documents LEFT JOIN m USING (doc_id)"""
+w AS (SELECT *, len(list_filter(string_split(t, ' '), lambda x: x <> '')) AS w FROM l),
+f AS (SELECT *, row_number() OVER o AS k, sum(w) OVER o AS upto, lead(p) OVER o AS after FROM w WHERE w > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+s AS (SELECT a.doc_id, a.k AS ka, z.k AS kz, a.p AS pa, coalesce(z.after - 1, 1000000000) AS pz
+  FROM f a JOIN f z ON a.doc_id = z.doc_id AND z.k BETWEEN a.k AND a.k + {line_chunks.LEAST_WORDS}
+    AND z.upto - a.upto + a.w >= {line_chunks.LEAST_WORDS}
+    AND (z.upto - z.w - a.upto + a.w < {line_chunks.LEAST_WORDS} OR z.upto - a.upto < {line_chunks.LEAST_WORDS})),
+t AS (SELECT s.doc_id, pa, pz, string_agg(f.t, chr(10) ORDER BY f.k) AS t FROM s JOIN f ON f.doc_id = s.doc_id AND f.k BETWEEN ka AND kz GROUP BY ALL),
+m AS (SELECT *, first_value(doc_id) OVER o AS first_doc, first_value(pz) OVER o AS first_end FROM t WINDOW o AS (PARTITION BY t ORDER BY doc_id, pa, pz)),
+g AS (SELECT DISTINCT l.doc_id, l.p FROM m JOIN l ON l.doc_id = m.doc_id AND l.p BETWEEN pa AND pz WHERE m.doc_id <> first_doc OR pa > first_end),
+r AS (SELECT l.doc_id, count(g.p) AS n_removed, coalesce(string_agg(t, chr(10) ORDER BY l.p) FILTER (WHERE g.p IS NULL), '') AS t
+  FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.p = l.p GROUP BY 1)
+SELECT doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, length(coalesce(r.t, ''))::BIGINT AS n_chars, sha256(coalesce(r.t, '')) AS text_sha256
+FROM documents LEFT JOIN r USING (doc_id)"""
 
 
 @query("op5_line_chunks", SQL_LINE_CHUNKS)
 def repeated_lines(spark, sf_dir):
-    """What is left of each document: its lost chunks, and length and SHA-256 of the text."""
+    """What is left of each document: the number of its lost lines, and length and SHA-256 of the text."""
     left = line_chunks.deduplicated(table(spark, sf_dir, "documents", "doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
     return left.select("doc_id", "n_removed", F.length(text).cast("long").alias("n_chars"),

@@ -58,7 +58,7 @@ def test_language_id_rejects_what_has_no_letter(staged):
 
 def test_line_dedup(staged):
     before = {r.doc_id: r.text for r in staged[1].collect()}
-    want = plain_dedup(list(before.items()), 40, 2)
+    want = plain_dedup(list(before.items()), 40)
     want = {d: t for d, t in want.items() if t == before[d] or t.split()}
     rows = staged[2].collect()
     assert {r.doc_id: r.text for r in rows} == want
