@@ -26,6 +26,9 @@ _CONV, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 #: Ranges at most so far apart are read as one; one read is at most about so long (a longer record is read alone).
 GAP, READ = 64 << 10, 4 << 20
 
+#: Bytes of archives that one task reads, on the average.
+TASK = 64 << 20
+
 #: What the text writer puts after each record: a gzip member of no bytes, as Latin-1 characters.
 _EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 
@@ -216,7 +219,11 @@ def read_records(index: DataFrame, gap: int = GAP, read: int = READ) -> DataFram
                     out.append({**_EMPTY, **entry})
                 yield pa.RecordBatch.from_pylist(out, schema=_ARROW_RECORD)
 
-    return byte_ranges(index, gap, read).select("file", "start", "stop", "records").mapInArrow(run, _RECORD)
+    # A range is a row of a few bytes that stands for many: tasks are dealt by what they read, and in a number that stays.
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK))
+    ranges = byte_ranges(index, gap, read).select("file", "start", "stop", "records")
+    return ranges.repartition(tasks, "file", "start").mapInArrow(run, _RECORD)
 
 
 _EMPTY = {"payload": None, "payload_bytes": None}

@@ -59,3 +59,11 @@ def test_a_selection_reads_few_ranges(spark):
 def test_no_pages(spark):
     index = warc.index_archives(spark, written(spark, []))
     assert index.count() == 0 and warc.read_records(index).count() == 0
+
+
+def test_reads_are_spread_over_tasks(spark):
+    """A few ranges, each a short row: without a number of their own tasks Spark would read all of them in one."""
+    rows = [(i, f"http://h.example/{i}", f"page {i} " * 3000) for i in range(200)]
+    path = written(spark, rows, files=8)
+    records = warc.read_records(warc.index_archives(spark, path), read=4096).withColumn("task", F.spark_partition_id())
+    assert records.select("task").distinct().count() > 1 and records.count() == 200
