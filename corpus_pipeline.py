@@ -56,7 +56,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keepers = stage(found.where("keeper").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")), "near-keepers")
     rows = _renamed(docs).select("own", "doc_id", _text_key().alias("text_key"))
     kept = rows.join(keepers.distinct(), (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    return kept.groupBy("doc_id", "text_key").agg(F.first("own").alias("own")).select("own.*")
+    # Rows of one id and text may differ in other columns: the least as text stays, so a task run again keeps the same.
+    return kept.groupBy("doc_id", "text_key").agg(F.min_by("own", F.to_json("own")).alias("own")).select("own.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
