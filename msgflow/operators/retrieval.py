@@ -17,16 +17,23 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F, types as
 
 from msgflow import values
 from msgflow.operators.vector_blocks import Blocks
+from msgflow.staging import stage
 
 SALTS = 16  # ways that the hits of one document are spread when its text is fetched
 
-BROADCAST_BYTES = 256 * 1024 * 1024  # vector tables up to this size go to every executor
+BROADCAST_BYTES = 16 * 1024 * 1024   # vector tables up to this size go to every executor, and to each of its Python workers
 BLOCK_BYTES = 64 * 1024 * 1024       # larger ones are searched in blocks of about this size
 CHUNK_BYTES = 64 * 1024 * 1024       # by pieces of queries of about this size
 
 
 def _kernel(sparse: bool, k: int) -> tuple[Callable, Callable]:
-    """(index, search) over Arrow arrays; self-contained, so executors need only numpy."""
+    """(index, search) over Arrow arrays; self-contained, so executors need only numpy.
+
+    A search leaves out what a bound shows to stand behind the k best: whole pieces of dense
+    vectors by the distance from their centre, sparse ones by the most that the query's frequent
+    terms can add. ``slack`` keeps all that could round to the same score.
+    """
+    slack, piece_rows, query_rows = 2e-6, 1024, 2000
 
     def ragged(column):
         import numpy as np
@@ -42,98 +49,164 @@ def _kernel(sparse: bool, k: int) -> tuple[Callable, Callable]:
         return lengths.astype(np.int64), [flat[0].astype(np.int64) if sparse else flat[0].astype(np.float64),
                                           *[f.astype(np.float64) for f in flat[1:]]]
 
-    def index(doc_ids, embeddings):
-        """One block of documents, in doc_id order."""
+    def index(doc_ids, embeddings, parts=None):
+        """Documents made ready to search; ``parts`` numbers the block of each, from 0."""
         import numpy as np
 
         ids = doc_ids.to_numpy().astype(np.int64)
-        order = np.argsort(ids, kind="stable")
+        parts = np.zeros(len(ids), np.int32) if parts is None else parts
+        n_parts = int(parts.max()) + 1 if len(ids) else 0
         lengths, flat = ragged(embeddings)
         if not sparse:
-            return {"ids": ids[order], "matrix": flat[0].reshape(len(ids), -1)[order]}
+            order = np.lexsort((ids, parts))
+            parts, matrix = parts[order], flat[0].reshape(len(ids), -1)[order]
+            edges = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1], True]) if len(ids) else np.zeros(1, np.int64)
+            starts = [np.arange(a, z, piece_rows) for a, z in zip(edges[:-1], edges[1:])]
+            starts = np.append(np.concatenate(starts), len(ids)) if starts else np.zeros(1, np.int64)
+            pieces = list(zip(starts[:-1].tolist(), starts[1:].tolist()))
+            centres = np.array([matrix[a:z].mean(0) for a, z in pieces]).reshape(len(pieces), -1)
+            far = np.array([np.sqrt(((matrix[a:z] - c) ** 2).sum(1).max()) for (a, z), c in zip(pieces, centres)])
+            return {"ids": ids[order], "matrix": matrix, "part": parts, "n_parts": n_parts, "pieces": pieces, "centres": centres, "far": far}
+        order = np.argsort(ids, kind="stable")
         place = np.empty(len(ids), dtype=np.int64)
         place[order] = np.arange(len(ids))
         doc = np.repeat(place, lengths)
         by_term = np.lexsort((doc, flat[0]))
-        terms, starts = np.unique(flat[0][by_term], return_index=True)
-        return {"ids": ids[order], "terms": terms, "starts": np.append(starts, len(by_term)), "doc": doc[by_term],
-                "weight": flat[1][by_term]}
-
-    def chunks(block, embeddings):
-        """(first row, dense score matrix) pieces of bounded size, for dense embeddings."""
+        term, doc, weight = flat[0][by_term], doc[by_term], flat[1][by_term]
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])]) if len(term) else np.zeros(0, np.int64)
+        if len(first) < len(term):  # an index that a document names twice counts with the sum
+            term, doc, weight = term[first], doc[first], np.add.reduceat(weight, first)
+        terms, starts, which = np.unique(term, return_index=True, return_inverse=True)
+        by_doc = np.argsort(doc, kind="stable")
+        most = np.maximum.reduceat(weight, starts) if len(terms) else np.zeros(0)
+        return {"ids": ids[order], "terms": terms, "starts": np.append(starts, len(term)), "doc": doc.astype(np.int32), "weight": weight,
+                "most": most, "plain": not (weight < 0).any(), "part": parts[order], "n_parts": n_parts,
+                "row_starts": np.searchsorted(doc[by_doc], np.arange(len(ids) + 1)), "row_term": which[by_doc].astype(np.int32), "row_weight": weight[by_doc]}
+
+    def dense(block, embeddings):
+        """(query row, document, rounded score, blocks met) of pieces of bounded size."""
         import numpy as np
 
-        n_docs = len(block["ids"])
-        rows = max(1, 2_000_000 // n_docs)
         lengths, flat = ragged(embeddings)
-        wide = block["matrix"].shape[1]
+        wide, keep = block["matrix"].shape[1], min(k, len(block["ids"]))
         if len(lengths) and not (lengths == wide).all():
             raise ValueError(f"A query has {int(lengths[lengths != wide][0])} numbers, the documents have {wide}.")
-        queries = flat[0].reshape(len(lengths), -1)
-        for at in range(0, len(queries), rows):
-            yield at, queries[at:at + rows] @ block["matrix"].T
+        every, ids = flat[0].reshape(len(lengths), -1), block["ids"]
+
+        def best(found, n):
+            row, doc, score = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((ids[doc], -score, row))
+            row, doc, score = row[order], doc[order], score[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            some = rank < keep
+            row, doc, score, last = row[some], doc[some], score[some], rank[some] == keep - 1
+            least = np.full(n, -np.inf)
+            least[row[last]] = score[last] / 1e6
+            return (row, doc, score), least
+
+        for at in range(0, len(every), query_rows):
+            asked = every[at:at + query_rows]
+            n = len(asked)
+            bounds = asked @ block["centres"].T + np.sqrt((asked ** 2).sum(1))[:, None] * block["far"] + slack
+            least, met, found, held = np.full(n, -np.inf), np.zeros((n, block["n_parts"]), bool), [], 0
+            for p in np.argsort(-bounds.mean(0), kind="stable"):
+                a, z = block["pieces"][p]
+                active = np.flatnonzero(~(bounds[:, p] < least))
+                if not len(active):
+                    continue
+                met[active, block["part"][a]] = True
+                scores = asked[active] @ block["matrix"][a:z].T
+                floor = least[active]
+                if z - a >= keep and np.isneginf(floor).any():
+                    floor = np.maximum(floor, np.partition(scores, z - a - keep, axis=1)[:, z - a - keep])
+                row, doc = np.nonzero(~(scores < (floor - slack)[:, None]))
+                found.append((active[row], doc + a, np.rint(scores[row, doc] * 1e6).astype(np.int64)))
+                held += len(row)
+                if held > 4 * n * keep:
+                    one, least = best(found, n)
+                    found, held = [one], len(one[0])
+            (row, doc, score), _ = best(found, n)
+            yield at + row, doc, score, met.sum(1)
 
     def met(block, embeddings):
-        """(first row, end row, cell, score) pieces of bounded size, for sparse ones: a cell is row * documents + document.
-
-        Only documents that share a term with the query, and the first k, which pad the result, have a cell.
-        """
+        """The same for sparse vectors: a query's rare terms first, until no other document can reach the k best."""
         import numpy as np
 
-        n_docs = len(block["ids"])
-        rows = max(1, 2_000_000 // max(1, min(k, n_docs)))
+        ids, weights, docs, starts = block["ids"], block["weight"], block["doc"], block["starts"]
+        n_docs, n_terms = len(ids), len(block["terms"])
+        keep = min(k, n_docs)
         lengths, (term, weight) = ragged(embeddings)
         row = np.repeat(np.arange(len(lengths)), lengths)
-        place = np.minimum(np.searchsorted(block["terms"], term), max(len(block["terms"]) - 1, 0))
-        known = block["terms"][place] == term if len(block["terms"]) else np.zeros(len(term), bool)
+        place = np.minimum(np.searchsorted(block["terms"], term), max(n_terms - 1, 0))
+        known = block["terms"][place] == term if n_terms else np.zeros(len(term), bool)
         place, weight, row = place[known], weight[known], row[known]
-        begin = block["starts"][place]
-        hits = block["starts"][place + 1] - begin if len(place) else place
-        at = 0
-        ends = np.searchsorted(row, np.arange(len(lengths) + 1))
-        cost = np.concatenate([[0], np.cumsum(hits)])[ends]
-        while at < len(lengths):
-            # As many rows as fit; one row alone costs at most the block itself.
-            stop = int(np.searchsorted(cost, cost[at] + 20_000_000, side="right")) - 1
-            stop = min(max(stop, at + 1), at + rows, len(lengths))
-            some = slice(ends[at], ends[stop])
-            n, first = hits[some], begin[some]
-            shift = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n)
-            posting = shift + np.arange(len(shift))
-            cell = np.repeat(row[some] - at, n) * n_docs + block["doc"][posting]
-            product = np.repeat(weight[some], n) * block["weight"][posting]
-            pad = (np.arange(stop - at)[:, None] * n_docs + np.arange(min(k, n_docs))).ravel()
-            cells, which = np.unique(np.concatenate([cell, pad]), return_inverse=True)
-            yield at, stop, cells, np.bincount(which, np.concatenate([product, np.zeros(len(pad))]))
-            at = stop
+        ends = np.searchsorted(row, np.arange(len(lengths) + 1)).tolist()
+        scores, of_term, pads = np.zeros(n_docs), np.zeros(n_terms), np.arange(keep)
+
+        def postings(first, n):
+            return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+        def one(at, w):
+            """(documents that may be among the k best, their scores)"""
+            begin = starts[at]
+            n = starts[at + 1] - begin
+            order = np.argsort(n, kind="stable")
+            at, w, begin, n = at[order], w[order], begin[order], n[order]
+            cost = np.cumsum(n)
+            plain = block["plain"] and not (w < 0).any()
+            rest = np.append(np.cumsum((w * block["most"][at])[::-1])[::-1], 0.0)  # what the terms from here on can add
+            scores.fill(0.0)
+            a, some = 0, None
+            while a < len(at):
+                z = max(a + 1, int(np.searchsorted(cost, max(256, 4 * cost[a - 1] if a else 0), side="right")))
+                which = postings(begin[a:z], n[a:z])
+                np.add.at(scores, docs[which], np.repeat(w[a:z], n[a:z]) * weights[which])
+                a = z
+                if not plain or a >= len(at):
+                    continue
+                some = np.flatnonzero(scores)
+                if len(some) < keep:
+                    continue
+                reached = scores[some]
+                least = np.partition(reached, len(some) - keep)[len(some) - keep] - slack
+                if rest[a] >= least:
+                    continue
+                some = some[reached + rest[a] >= least]
+                sizes = block["row_starts"][some + 1] - block["row_starts"][some]
+                if 2 * int(sizes.sum()) > cost[-1] - cost[a - 1]:
+                    continue  # the other terms cost less than these documents
+                some = np.union1d(some, pads)
+                sizes = block["row_starts"][some + 1] - block["row_starts"][some]
+                which = postings(block["row_starts"][some], sizes)
+                np.add.at(of_term, at, w)
+                value = np.bincount(np.repeat(np.arange(len(some)), sizes), of_term[block["row_term"][which]] * block["row_weight"][which], len(some))
+                of_term[at] = 0.0
+                return some, value
+            some = np.union1d(np.flatnonzero(scores), pads) if plain else np.arange(n_docs)
+            return some, scores[some]
+
+        for i in range(len(lengths)):
+            some, value = one(place[ends[i]:ends[i + 1]], weight[ends[i]:ends[i + 1]])
+            blocks_met = len(np.unique(block["part"][some])) if block["n_parts"] > 1 else 1
+            if len(some) > 4 * keep:
+                few = value >= np.partition(value, len(value) - keep)[len(value) - keep] - slack
+                some, value = some[few], value[few]
+            rounded = np.rint(value * 1e6).astype(np.int64)
+            best = np.lexsort((some, -rounded))[:keep]
+            yield np.full(keep, i), some[best], rounded[best], np.array([blocks_met])
 
     def search(block, embeddings):
-        """(query row, rank, doc_id, score) arrays of the k best documents of each query."""
+        """(query row, rank, doc_id, score) arrays of the k best documents of each query, and for each query how many blocks were met."""
         import numpy as np
 
-        found = []
         n_docs = len(block["ids"])
-        keep = min(k, n_docs)
-        backwards = n_docs - 1 - np.arange(n_docs, dtype=np.int64)
-        for at, stop, cells, scores in met(block, embeddings) if sparse and n_docs else ():
-            row, doc, rounded = cells // n_docs, cells % n_docs, np.rint(scores * 1e6).astype(np.int64)
-            best = np.lexsort((doc, -rounded, row))
-            starts = np.searchsorted(row[best], np.arange(stop - at))
-            best = best[(starts[:, None] + np.arange(keep)).ravel()]  # every row has at least ``keep`` cells
-            found.append((np.repeat(np.arange(at, stop), keep), np.tile(np.arange(1, keep + 1), stop - at),
-                          block["ids"][doc[best]], rounded[best] / 1e6))
-        for at, scores in chunks(block, embeddings) if n_docs and not sparse else ():
-            rounded = np.rint(scores * 1e6).astype(np.int64)
-            key = rounded * n_docs + backwards  # score first, then the smaller doc_id
-            best = np.argpartition(-key, keep - 1, axis=1)[:, :keep]
-            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(key, best, 1), axis=1), 1)
-            n = len(best)
-            found.append((np.repeat(np.arange(at, at + n), keep), np.tile(np.arange(1, keep + 1), n),
-                          block["ids"][best].ravel(), np.take_along_axis(rounded, best, 1).ravel() / 1e6))
+        found = list((met if sparse else dense)(block, embeddings)) if n_docs else []
         if not found:
             none = np.empty(0, dtype=np.int64)
-            return none, none, none, none.astype(np.float64)
-        return tuple(np.concatenate(parts) for parts in zip(*found))
+            return none, none, none, none.astype(np.float64), none
+        row, doc, score, built = (np.concatenate(parts) for parts in zip(*found))
+        rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+        return row, rank, block["ids"][doc], score / 1e6, built
 
     return index, search
 
@@ -201,7 +274,7 @@ def _top_k_broadcast(queries: DataFrame, sparse: bool, block: Broadcast, k: int,
         import pyarrow as pa
 
         for batch in batches:
-            row, rank, doc, score = search(block.value, batch.column(1))
+            row, rank, doc, score, _ = search(block.value, batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(row)), pa.array(rank, pa.int32()), pa.array(doc, pa.int64()),
                  pa.array(score, pa.float64())], names=[query_id, "rank", "doc_id", "similarity_score"])
@@ -217,9 +290,9 @@ def top_k(queries: DataFrame, vectors: DataFrame | VectorIndex, k: int = values.
     Fewer than k rows only if the table holds fewer than k documents with an
     embedding, and none for a query without one.  The vector table is measured
     first (or once, by :class:`VectorIndex`): a small one goes to every executor
-    and the queries stay where they are, a larger one is searched in those blocks whose
-    bounds let them hold one of the k best (see :mod:`msgflow.operators.vector_blocks`;
-    ``cells`` observes their number).  Both ways give the same rows.
+    and the queries stay where they are, a larger one is searched in stripes of blocks
+    (see :mod:`msgflow.operators.vector_blocks`; ``cells`` observes how many pairs of a query
+    and a block had a document that the bounds did not rule out).  Both ways give the same rows.
     """
     index = vectors if isinstance(vectors, VectorIndex) else VectorIndex.of(vectors, broadcast_bytes, block_bytes)
     queries = queries.where(F.col("embedding").isNotNull())
@@ -229,14 +302,15 @@ def top_k(queries: DataFrame, vectors: DataFrame | VectorIndex, k: int = values.
 
 
 def with_documents(hits: DataFrame, knowledge_base: DataFrame, query_id: str = "query_id",
-                   output: str = "retrieved_documents") -> DataFrame:
+                   output: str = "retrieved_documents", hold: Callable[[DataFrame, str], DataFrame] = stage) -> DataFrame:
     """(query_id, array of documents, best first), for distinct query ids.
 
-    Texts are fetched after the top-k, for hits only.  A document that a third of
+    The hits are read twice, so ``hold`` keeps them: the search runs once.  Texts are fetched after the top-k, for hits only.  A document that a third of
     all queries hit is met in SALTS tasks: hits are dealt by their query, documents
     copied to each.
     """
     doc = F.struct("rank", "doc_id", "instruction", "response", "intent", "category", "similarity_score")
+    hits = hold(hits, "hits")
     dealt = hits.withColumn("_salt", F.pmod(F.xxhash64(query_id), F.lit(SALTS)).cast("int"))
     texts = knowledge_base.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
     texts = texts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

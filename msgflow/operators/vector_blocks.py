@@ -1,12 +1,10 @@
-"""Exact search in a vector table of any size: blocks with upper bounds, and only the cells that can matter.
+"""Exact search in a vector table of any size: blocks, dealt out in stripes, each met by every query once.
 
 The vectors are grouped around pivots, a few of their own, and each group is cut into blocks of
-bounded size.  For each group a table holds an upper bound of what any of its vectors can
-score: per term the largest and smallest weight (sparse), or a radius around the
-pivot (dense).  A query is first scored in one block of the group of its nearest
-pivot; its k-th score there is a threshold, and the query goes to no block whose
-bound is below it.  A cell (query, block) that is not built cannot hold one of the k
-best, so the result is exact.  Vectors are shuffled once, whatever the number of queries.
+bounded size.  Neighbouring blocks make up a stripe of at most STRIPE_BYTES, and a task takes one stripe
+and one part of the queries, so a query is shuffled once for each stripe and not for each block.
+Within the task bounds tell which vectors can be among the k best so far: blocks and
+vectors that cannot are not scored, so the result is exact.
 """
 
 from __future__ import annotations
@@ -21,21 +19,18 @@ from msgflow.staging import stage
 
 PIVOTS = 64         # groups at most
 PIVOT_TERMS = 4096  # numbers of a sparse vector that stand for it as a pivot
-TASKS = 8192        # tasks at most
-ROUNDED = 1e-6      # scores are rounded to six decimals; bounds are raised by as much
+STRIPE_BYTES = 64 * 1024 * 1024  # vectors that a task holds, or one block if that is larger
+ASKED_BYTES = 8 * 1024 * 1024    # queries that a task takes, at least
 
 
 @dataclass
 class Blocks:
     """A vector table in blocks, made once and searched many times."""
 
-    vectors: DataFrame    # doc_id, embedding, _group, _part
-    parts: list[int]      # blocks of each group
-    pivots: Broadcast     # a vector for each group
-    radii: list[float]    # dense: the largest distance from it
-    bounds: DataFrame | None  # sparse: _group, idx, high, low
-    every: DataFrame      # the vectors as they came
-    plain: bool           # no weight is negative
+    vectors: DataFrame    # doc_id, embedding, _block
+    n_blocks: int
+    per_stripe: int       # blocks of a stripe
+    size: Column          # bytes of an embedding
     kernel: Callable
     sparse: bool
 
@@ -51,87 +46,47 @@ class Blocks:
         table = some.toArrow()  # at most PIVOTS vectors of a bounded length
         pivots = spark.sparkContext.broadcast(table["embedding"])
         grouped = stage(_grouped(vectors, pivots, kernel, sparse), "vector-groups")
-        sizes = grouped.groupBy("_group").agg(F.sum(size).alias("bytes"), F.max("_far").alias("far")).collect()  # a row per group
-        parts, radii = [1] * n_groups, [0.0] * n_groups
-        for r in sizes:
-            parts[r["_group"]], radii[r["_group"]] = max(1, -(-r["bytes"] // block_bytes)), r["far"] or 0.0
-        n_parts = F.element_at(F.array(*[F.lit(p) for p in parts]), F.col("_group") + 1)
-        placed = grouped.withColumn("_part", F.pmod(F.xxhash64("doc_id"), n_parts).cast("int")).drop("_far")
-        bounds, plain = None, False
-        if sparse:
-            each = grouped.select("_group", F.inline(F.arrays_zip(F.col("embedding.indices").alias("idx"), F.col("embedding.values").alias("w"))))
-            bounds = stage(each.groupBy("_group", F.col("idx").cast("bigint").alias("idx")).agg(
-                F.greatest(F.max("w"), F.lit(0.0)).alias("high"), F.least(F.min("w"), F.lit(0.0)).alias("low")), "vector-bounds")
-            plain = bounds.where("low < 0").isEmpty()
-        return cls(placed, parts, pivots, radii, bounds,
-                   vectors, plain, kernel, sparse)
+        parts = [1] * n_groups
+        for r in grouped.groupBy("_group").agg(F.sum(size).alias("bytes")).collect():  # a row per group
+            parts[r["_group"]] = max(1, -(-r["bytes"] // block_bytes))
+        first = [sum(parts[:g]) for g in range(n_groups)]
+        of_group = lambda numbers: F.element_at(F.array(*[F.lit(n) for n in numbers]), F.col("_group") + 1)
+        block = of_group(first) + F.pmod(F.xxhash64("doc_id"), of_group(parts))
+        placed = grouped.select("doc_id", "embedding", block.cast("int").alias("_block"))
+        return cls(placed, sum(parts), max(1, STRIPE_BYTES // block_bytes), size, kernel, sparse)
 
     def search(self, queries: DataFrame, k: int, query_id: str, chunk_bytes: int, cells: Observation | None = None) -> DataFrame:
         """(query_id, rank, doc_id, similarity_score); ``cells`` observes ``built`` and ``all`` cells of (query, block)."""
         # The rows are numbered once and staged, so that ids may repeat.
         rows = stage(queries.select(query_id, "embedding").withColumn("_row", F.monotonically_increasing_id()), "query-rows")
-        near = _grouped(rows.select("_row", "embedding"), self.pivots, self.kernel, self.sparse).withColumnRenamed("_group", "_home").drop("_far")
-        bounded = stage(self._bounded(near), "query-bounds")
-        parts = F.array(*[F.lit(p) for p in self.parts])
-        home_part = F.pmod(F.xxhash64("_row"), F.element_at(parts, F.col("_home") + 1)).cast("int")
-        bounded = bounded.withColumn("_home_part", home_part)
-        home = bounded.select("_row", "embedding", F.col("_home").alias("_group"), F.col("_home_part").alias("_part"))
-        found = self._cells(home, k, chunk_bytes)
-        if self.sparse:
-            found = found.unionByName(self._pads(bounded, k))
-        order = Window.partitionBy("_row").orderBy(F.desc("similarity_score"), "doc_id")
-        first = stage(found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "first-hits")
-        least = first.groupBy("_row").agg(F.count("*").alias("_n"), F.min("similarity_score").alias("_least")).where(F.col("_n") == k)
-        left = bounded.join(least.drop("_n"), "_row", "left")
-        may = F.col("_least").isNull() | (F.col("_bound") >= F.col("_least") - ROUNDED)
-        if self.plain:  # a vector that shares no term scores 0 and stands behind those of the smallest ids
-            may = may & (F.col("_least").isNull() | (F.col("_bound") > 0) | (F.col("_least") < 0))
-        every = left.select("_row", "embedding", "_least", "_home", "_home_part", F.posexplode("_bounds").alias("_group", "_bound"))
-        every = every.withColumn("_part", F.explode(F.sequence(F.lit(0), F.element_at(parts, F.col("_group") + 1) - 1)))
-        at_home = (F.col("_group") == F.col("_home")) & (F.col("_part") == F.col("_home_part"))
+        found = self._cells(rows, k, chunk_bytes)
         if cells is not None:
-            every = every.observe(cells, F.count("*").alias("all"), F.count_if(may | at_home).alias("built"))
-        rest = self._cells(every.where(may & ~at_home).select("_row", "embedding", "_group", "_part"), k, chunk_bytes)
-        hits = first.drop("rank").unionByName(rest).distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            met = F.col("doc_id").isNull()  # a row for each query and stripe that counts its blocks
+            found = found.observe(cells, F.coalesce(F.sum(F.when(met, F.col("_all"))), F.lit(0)).alias("all"),
+                                  F.coalesce(F.sum(F.when(met, F.col("_built"))), F.lit(0)).alias("built"))
+        found = found.where(F.col("doc_id").isNotNull()).select("_row", "doc_id", "similarity_score")
+        order = Window.partitionBy("_row").orderBy(F.desc("similarity_score"), "doc_id")
+        hits = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         return hits.join(rows.select("_row", query_id), "_row").select(query_id, "rank", "doc_id", "similarity_score")
 
-    def _bounded(self, rows: DataFrame) -> DataFrame:
-        """Adds ``_bounds``: for each group what none of its vectors exceeds."""
-        n = len(self.parts)
-        if not self.sparse:
-            return _dense_bounds(rows, self.pivots, self.radii)
-        terms = rows.select("_row", F.inline(F.arrays_zip(F.col("embedding.indices").cast("array<bigint>").alias("idx"), F.col("embedding.values").alias("w"))))
-        met = terms.join(self.bounds, "idx").groupBy("_row", "_group").agg(
-            F.sum(F.greatest(F.col("w") * F.col("high"), F.col("w") * F.col("low"))).alias("bound"))
-        found = met.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_group", "bound"))).alias("_met"))  # at most PIVOTS
-        each = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda g: F.coalesce(F.col("_met")[g], F.lit(0.0)))
-        return rows.join(found, "_row", "left").withColumn("_bounds", each).drop("_met")
-
-    def _pads(self, rows: DataFrame, k: int) -> DataFrame:
-        """Scores with the ``k`` vectors of the smallest doc_ids."""
-        index, _ = self.kernel(self.sparse, k)
-        some = self.every.orderBy("doc_id").limit(k).toArrow()
-        block = rows.sparkSession.sparkContext.broadcast(index(some["doc_id"], some["embedding"]))
-        _, search = self.kernel(self.sparse, k)
-
-        def run(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                row, _, doc, score = search(block.value, batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(doc, pa.int64()), pa.array(score, pa.float64())],
-                                                 ["_row", "doc_id", "similarity_score"])
-
-        return rows.select("_row", "embedding").mapInArrow(run, "_row long, doc_id long, similarity_score double")
-
-    def _cells(self, cells: DataFrame, k: int, chunk_bytes: int) -> DataFrame:
-        """The ``k`` best of each cell (a query's row, a block): a task reads a block, then the queries that go there."""
+    def _cells(self, rows: DataFrame, k: int, chunk_bytes: int) -> DataFrame:
+        """The ``k`` best of each query in each stripe: a task reads its stripe, then the queries of its share."""
         index, search = self.kernel(self.sparse, k)
         kind = self.vectors.schema["embedding"].dataType
-        docs = self.vectors.select("_group", "_part", F.lit(0).alias("_turn"), F.col("doc_id").alias("_id"), "embedding")
-        asked = cells.select("_group", "_part", F.lit(1).alias("_turn"), F.col("_row").alias("_id"), F.col("embedding").cast(kind).alias("embedding"))
-        both = docs.unionByName(asked).repartition(min(TASKS, sum(self.parts)), "_group", "_part")
-        both = both.sortWithinPartitions("_group", "_part", "_turn")
+        stripes = -(-self.n_blocks // self.per_stripe)
+        asked_bytes = rows.agg(F.coalesce(F.sum(self.size), F.lit(0))).first()[0]
+        # A small table of vectors is copied to several tasks, so that all cores have queries to answer.
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        shares = max(1, min(-(-2 * cores // stripes), -(-asked_bytes // ASKED_BYTES)))
+        stripe = (F.col("_block") / F.lit(self.per_stripe)).cast("int") * shares
+        docs = self.vectors.select(F.explode(F.sequence(stripe, stripe + shares - 1)).alias("_task"), F.lit(0).alias("_turn"), "_block",
+                                   F.col("doc_id").alias("_id"), "embedding")
+        share = F.pmod(F.xxhash64("_row"), F.lit(shares)).cast("int")
+        tasks = F.transform(F.sequence(F.lit(0), F.lit(stripes - 1)), lambda s: s * shares + share)
+        asked = rows.select(F.explode(tasks).alias("_task"), F.lit(1).alias("_turn"), F.lit(0).alias("_block"),
+                            F.col("_row").alias("_id"), F.col("embedding").cast(kind).alias("embedding"))
+        both = docs.unionByName(asked).repartitionById(max(2, stripes * shares), F.col("_task"))
+        both = both.sortWithinPartitions("_task", "_turn", "_block")
 
         def run(batches):
             import numpy as np
@@ -139,35 +94,43 @@ class Blocks:
 
             key, held, block = None, [], None
             for batch in batches:
-                where = np.stack([batch.column(i).to_numpy() for i in range(3)])
+                where = np.stack([batch.column(i).to_numpy() for i in range(2)])
                 edges = np.flatnonzero(np.r_[True, (where[:, 1:] != where[:, :-1]).any(axis=0), True])
                 for a, z in zip(edges[:-1], edges[1:]):
                     some = batch.slice(a, z - a)
-                    if key != (where[0, a], where[1, a]):
-                        key, held, block = (where[0, a], where[1, a]), [], None
-                    if where[2, a] == 0:
+                    if key != where[0, a]:
+                        key, held, block = where[0, a], [], None
+                    if where[1, a] == 0:
                         held.append(some)
                         continue
                     if held:
                         table = pa.Table.from_batches(held)
-                        block, held = index(table["_id"].combine_chunks(), table["embedding"].combine_chunks()), []
+                        held = []
+                        number = np.unique(table["_block"].to_numpy(), return_inverse=True)[1]
+                        block = index(table["_id"].combine_chunks(), table["embedding"].combine_chunks(), number)
+                        del table
                     if block is None:
                         continue
                     step = max(1, chunk_bytes * some.num_rows // max(1, some.nbytes))
                     for start in range(0, some.num_rows, step):
                         asked = some.slice(start, step)
-                        row, _, doc, score = search(block, asked.column(4))
+                        row, _, doc, score, built = search(block, asked.column(4))
+                        n, none = asked.num_rows, pa.nulls
                         yield pa.RecordBatch.from_arrays(
-                            [asked.column(3).take(pa.array(row)), pa.array(doc, pa.int64()), pa.array(score, pa.float64())],
-                            ["_row", "doc_id", "similarity_score"])
+                            [asked.column(3).take(pa.array(row)), pa.array(doc, pa.int64()), pa.array(score, pa.float64()),
+                             none(len(row), pa.int64()), none(len(row), pa.int64())], names)
+                        yield pa.RecordBatch.from_arrays(
+                            [asked.column(3), none(n, pa.int64()), none(n, pa.float64()), pa.array(built, pa.int64()),
+                             pa.array(np.full(n, block["n_parts"]), pa.int64())], names)
 
-        return both.mapInArrow(run, "_row long, doc_id long, similarity_score double")
+        names = ["_row", "doc_id", "similarity_score", "_built", "_all"]
+        return both.mapInArrow(run, "_row long, doc_id long, similarity_score double, _built long, _all long")
 
 
 def _grouped(vectors: DataFrame, pivots: Broadcast, kernel: Callable, sparse: bool) -> DataFrame:
-    """Adds ``_group``, the pivot with the largest inner product, and ``_far``, the distance from it (dense)."""
+    """Adds ``_group``, the pivot with the largest inner product."""
     index, search = kernel(sparse, 1)
-    schema = T.StructType([*vectors.schema.fields, T.StructField("_group", T.IntegerType()), T.StructField("_far", T.DoubleType())])
+    schema = T.StructType([*vectors.schema.fields, T.StructField("_group", T.IntegerType())])
 
     def run(batches):
         import numpy as np
@@ -176,32 +139,9 @@ def _grouped(vectors: DataFrame, pivots: Broadcast, kernel: Callable, sparse: bo
         embeddings = pivots.value
         block = index(pa.chunked_array([pa.array(range(len(embeddings)), pa.int64())]), embeddings)
         for batch in batches:
-            row, _, group, _ = search(block, batch.column(1))
+            row, _, group, _, _ = search(block, batch.column(1))
             own = np.zeros(batch.num_rows, np.int32)
             own[row] = group
-            far = np.zeros(batch.num_rows)
-            if not sparse and batch.num_rows:
-                rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                far = np.sqrt(((rows - block["matrix"][own]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32()), pa.array(far)], [f.name for f in schema.fields])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32())], [f.name for f in schema.fields])
 
     return vectors.mapInArrow(run, schema)
-
-
-def _dense_bounds(rows: DataFrame, pivots: Broadcast, radii: list[float]) -> DataFrame:
-    schema = T.StructType([*rows.schema.fields, T.StructField("_bounds", T.ArrayType(T.DoubleType()))])
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        matrix = pivots.value.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(radii), -1)
-        for batch in batches:
-            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            if len(sizes) and (sizes != matrix.shape[1]).any():
-                raise ValueError(f"A query has {int(sizes[sizes != matrix.shape[1]][0])} numbers, the documents have {matrix.shape[1]}.")
-            asked = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            bounds = asked @ matrix.T + np.sqrt((asked ** 2).sum(1))[:, None] * np.array(radii)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(bounds), pa.list_(pa.float64()))], [f.name for f in schema.fields])
-
-    return rows.mapInArrow(run, schema)

@@ -84,7 +84,7 @@ def answer_scored(scored: DataFrame, knowledge_base: DataFrame, question_feature
     if "embedding_error" in asked.columns:
         asked = hold(asked, "asked")
         failed = asked.where(F.col("embedding_error").isNotNull()).select(message_id, F.col("embedding_error").alias("_failed"))
-    documents = with_documents(top_k(asked, vectors, k, message_id), knowledge_base, message_id)
+    documents = with_documents(top_k(asked, vectors, k, message_id), knowledge_base, message_id, hold=hold)
     grounded = scored.where(on_route).join(documents, message_id, "left").withColumn(
         "retrieved_documents", F.coalesce("retrieved_documents", F.array().cast(DOCUMENTS)))
     grounded = grounded.withColumn("_failed", none) if failed is None else grounded.join(failed, message_id, "left")

@@ -129,3 +129,62 @@ def test_measured_size(spark):
     dense = frame(spark, {1: {0: 1.0}, 2: {}}, "doc_id", False, 4)
     sparse = frame(spark, {1: {0: 1.0, 3: 1.0}, 2: {}}, "doc_id", True, 4)
     assert R.vector_bytes(dense) == 2 * (4 * 8 + 8) and R.vector_bytes(sparse) == 2 * 16 + 2 * 8
+
+
+@pytest.mark.parametrize("sparse", [True, False])
+def test_a_query_is_shuffled_once_for_each_stripe(spark, sparse, monkeypatch):
+    """Many blocks, few stripes, several shares of the queries: a row for each query and stripe, and the same hits."""
+    from msgflow.operators import vector_blocks as B
+
+    monkeypatch.setattr(B, "STRIPE_BYTES", 4000)
+    monkeypatch.setattr(B, "ASKED_BYTES", 1000)
+    rng = random.Random(11)
+    docs = {i: {min(int(rng.paretovariate(0.7)), 60): rng.choice([0.25, 0.5, 1.0]) for _ in range(12)} for i in range(300)}
+    queries = {i: {min(int(rng.paretovariate(0.7)), 60): rng.choice([0.25, 0.5, 1.0]) for _ in range(12)} for i in range(80)}
+    q, d = frame(spark, queries, "query_id", sparse, 61), frame(spark, docs, "doc_id", sparse, 61)
+    index = R.VectorIndex.of(d, 0, 400)
+    stripes = -(-index.blocks.n_blocks // index.blocks.per_stripe)
+    assert 1 < stripes < index.blocks.n_blocks / 4
+    met = index.blocks._cells(q.withColumn("_row", F.col("query_id")).select("_row", "embedding"), 3, 500).where("doc_id is null")
+    assert met.count() == 80 * stripes
+    got = {}
+    for r in sorted(R.top_k(q, index, 3).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((r.doc_id, r.similarity_score))
+    assert got == brute(queries, docs, 3)
+
+
+def test_frequent_terms_are_left_to_the_documents_in_reach():
+    """A query of one rare and many frequent terms: the kernel gives the brute-force hits and meets few blocks."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    docs = [{0: 0.1, 1: 0.1, 2: 0.1, 3 + i % 400: 0.9} for i in range(4000)]
+    for d in docs[::7]:
+        d.update({i: rng.choice([0.05, 0.1]) for i in range(3)})
+    asked = [{0: 0.1, 1: 0.1, 2: 0.1, 3 + i: 0.9} for i in range(40)] + [{0: 1.0}, {}, {9999: 1.0}]
+
+    def arrow(rows):
+        return pa.StructArray.from_arrays([pa.array([sorted(r) for r in rows], pa.list_(pa.int64())),
+                                           pa.array([[r[i] for i in sorted(r)] for r in rows], pa.list_(pa.float64()))], ["indices", "values"])
+
+    index, search = R._kernel(True, 3)
+    row, rank, doc, score, built = search(index(pa.array(range(4000), pa.int64()), arrow(docs), np.arange(4000) // 10), arrow(asked))
+    want = brute(dict(enumerate(asked)), dict(enumerate(docs)), 3)
+    assert [(int(d), float(s)) for d, s in zip(doc, score)] == [hit for i in range(len(asked)) for hit in want[i]]
+    assert built[:40].max() <= 12 and list(rank[:3]) == [1, 2, 3]
+
+
+def test_the_search_runs_once_before_documents_are_fetched(spark):
+    """Hits are read twice, found once."""
+    kb = spark.createDataFrame([(1, "q", "r", "in", "X")], "doc_id long, instruction string, response string, intent string, category string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    hits = spark.createDataFrame([(i, 1, 1, 0.5) for i in range(20)], "query_id long, rank int, doc_id long, similarity_score double").mapInArrow(
+        run, "query_id long, rank int, doc_id long, similarity_score double")
+    assert R.with_documents(hits, kb).count() == 20 and seen.value == 20
