@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -9,13 +10,14 @@ from functools import cached_property
 import numpy as np
 from pyspark import Broadcast
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from msgflow.functions.terms import char_terms, once, sparse_vector, vector_parts, word_terms
 from msgflow.staging import stage
 
 LOCAL_TERMS = 1 << 22  # weights (16 bytes each) that every executor may hold
+ROWS_AT_ONCE = 512     # rows whose terms a task counts at a time
 HEAVY = 256            # a term is hot if it makes up this part of all or more, so there are at most so many
 
 
@@ -46,15 +48,145 @@ SENTIMENT_TERMS = TermRule("word", max_n=2, max_features=20_000, min_df=2)
 def term_counts(df: DataFrame, text: str, rule: TermRule) -> DataFrame:
     """(term, total, n_docs) over the corpus.
 
-    Each row emits its terms once for the total and its distinct terms once for
-    the document count, so one map-side aggregation serves both and neither
-    texts nor (document, term) pairs are shuffled.
+    Each row emits its distinct terms with their counts, so one map-side aggregation
+    serves both and neither texts nor (document, term) pairs are shuffled.
     """
-    terms = df.select(rule.terms(F.col(text)).alias("_terms"))
-    both = terms.select(F.posexplode(F.array("_terms", F.array_distinct("_terms"))).alias("_distinct", "_list"))
-    return (both.select("_distinct", F.explode("_list").alias("term")).groupBy("term")
-            .agg(F.count_if(F.col("_distinct") == 0).alias("total"),
-                 F.count_if(F.col("_distinct") == 1).alias("n_docs")))
+    counted = _counted(df, text, rule)
+    return counted.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("n_docs"))
+
+
+def _batch_counter(rule: TermRule) -> Callable:
+    """words of each row -> (row, term, count) arrays by row, and the terms by number; for a task, so that a word is taken apart once.
+
+    ``words`` is a list column of tokens ("word") or a lowered text ("char"; Python splits at the
+    white space that ``collapse_spaces`` knows). The counts are those of :meth:`TermRule.terms`.
+    """
+    n_grams, chars, most_known, cells = rule.max_n, rule.analyzer == "char", 1 << 18, 1 << 21
+    known: dict = {}          # word -> number
+    terms: list = []          # terms by number
+    number: dict = {}         # term -> number
+    grams: list = []          # char: of each word its (numbers, counts)
+
+    def taken_apart(word):
+        padded, found = f" {word} ", {}
+        for n in range(1, n_grams + 1):
+            for i in range(len(padded) - n + 1):
+                found[padded[i:i + n]] = found.get(padded[i:i + n], 0) + 1
+        for t in found:
+            if t not in number:
+                number[t] = len(terms)
+                terms.append(t)
+        return [number[t] for t in found], list(found.values())
+
+    def distinct(row, key, times, n_rows):
+        """Counts of the distinct pairs of row and key."""
+        import numpy as np
+
+        wide = int(key.max()) + 1 if len(key) else 1
+        both = row * wide + key
+        if 16 * len(both) < n_rows * wide or n_rows * wide > 8 * cells:
+            order = np.argsort(both, kind="stable")
+            both = both[order]
+            first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
+            both, tf = both[first], np.add.reduceat(times[order], first) if len(first) else np.zeros(0, np.int64)
+        else:
+            tf = np.bincount(both, times, n_rows * wide)
+            both = np.flatnonzero(tf)
+            tf = tf[both].astype(np.int64)
+        return both // wide, both % wide, tf
+
+    def count(words):
+        import numpy as np
+
+        if len(number) + len(known) > most_known:  # what a task holds is bounded; the numbers are used for one batch only
+            known.clear(), number.clear(), terms.clear(), grams.clear()
+        if not chars:
+            lengths = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = words.flatten().dictionary_encode()
+            for w in (listed := coded.dictionary.to_pylist()):
+                if w not in known:
+                    known[w] = number[w] = len(terms)
+                    terms.append(w)
+            word = np.array([known[w] for w in listed], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if listed else np.zeros(0, np.int64)
+            return ngrams(word, np.repeat(np.arange(len(lengths)), lengths), len(lengths))
+        n_rows, word, times, sizes = len(words), [], [], []
+        for t in words.to_pylist():
+            found = Counter(t.split())
+            for w in found:
+                if w not in known:
+                    known[w] = len(known)
+                    grams.append(tuple(np.array(x, np.int64) for x in taken_apart(w)))
+            word += [known[w] for w in found]
+            times += found.values()
+            sizes.append(len(found))
+        row, word, times = np.repeat(np.arange(n_rows), sizes), np.array(word, np.int64), np.array(times, np.int64)
+        used, place = np.unique(word, return_inverse=True)
+        sizes = np.array([len(grams[w][0]) for w in used], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        term = np.concatenate([grams[w][0] for w in used] or [np.zeros(0, np.int64)])
+        tf = np.concatenate([grams[w][1] for w in used] or [np.zeros(0, np.int64)])
+        made, at, step = [], 0, max(1, cells // max(1, len(terms)))
+        edges = np.searchsorted(row, np.arange(n_rows + 1))
+        while at < n_rows:
+            stop = min(at + step, n_rows)
+            some = slice(edges[at], edges[stop])
+            n = sizes[place[some]]
+            which = np.repeat(begin[place[some]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            r, t, c = distinct(np.repeat(row[some] - at, n), term[which], tf[which] * np.repeat(times[some], n), stop - at)
+            made.append((r + at, t, c))
+            at = stop
+        made = made or [(np.zeros(0, np.int64),) * 3]
+        return (*(np.concatenate(x) for x in zip(*made)), terms)
+
+    def ngrams(word, row, n_rows):
+        """Words and their neighbours: a run of n words is numbered by the run before and the word after it."""
+        import numpy as np
+
+        names, rows, keys, run, shift = list(terms), [row], [word], word, len(terms)
+        for n in range(2, n_grams + 1):
+            inside = row[n - 1:] == row[:max(0, len(row) - n + 1)]
+            pair = run[:len(inside)][inside] * (len(terms) + 1) + word[n - 1:][inside]
+            pairs, own = np.unique(pair, return_inverse=True)
+            before = names[shift - len(terms):] if n == 2 else last
+            last = [f"{before[p // (len(terms) + 1)]} {terms[p % (len(terms) + 1)]}" for p in pairs.tolist()]
+            run = np.full(len(inside), -1)
+            run[inside] = own
+            rows.append(row[:len(inside)][inside])
+            keys.append(own + shift)
+            names, shift = names + last, shift + len(last)
+        row, key = np.concatenate(rows), np.concatenate(keys)
+        return (*distinct(row, key, np.ones(len(key), np.int64), n_rows), names)
+
+    return count
+
+
+def _words(text: Column, rule: TermRule) -> Column:
+    """What :func:`_batch_counter` counts."""
+    return F.lower(F.coalesce(text, F.lit(""))) if rule.analyzer == "char" else word_terms(text, 1, rule.max_words)
+
+
+def _counted(df: DataFrame, text: str, rule: TermRule) -> DataFrame:
+    """(term, tf): every distinct term of every row."""
+    make, names = _batch_counter, ["term", "tf"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        count = make(rule)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                _, term, tf, terms = count(batch.column(0).slice(at, ROWS_AT_ONCE))
+                yield pa.RecordBatch.from_arrays([_named(term, terms), pa.array(tf, pa.int64())], names)
+
+    return df.select(_words(F.col(text), rule).alias("_words")).mapInArrow(run, "term string, tf long")
+
+
+def _named(term, terms):
+    """The terms of an array of their numbers."""
+    import pyarrow as pa
+
+    used, place = np.unique(term, return_inverse=True)
+    return pa.array([terms[t] for t in used.tolist()], pa.string()).take(pa.array(place))
 
 
 def fit_terms(df: DataFrame, text: str, rule: TermRule, n_rows: int | None = None) -> DataFrame:
@@ -84,8 +216,8 @@ class TfIdf:
         self.terms = [r["term"] for r in rows]
         # Built once: handing the terms over to the JVM costs more than planning with them.
         self._counter = CountVectorizerModel.from_vocabulary(self.terms, inputCol="_terms", outputCol="_counts")
-        self._weigher = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in rows]),
-                                           inputCol="_counts", outputCol="_weighted")
+        self._idf = np.array([r["idf"] for r in rows])
+        self._weigher = ElementwiseProduct(scalingVec=Vectors.dense(self._idf), inputCol="_counts", outputCol="_weighted")
 
     @classmethod
     def fit(cls, df: DataFrame, text: str, rule: TermRule, n_rows: int | None = None) -> TfIdf:
@@ -108,10 +240,67 @@ class TfIdf:
                                                 F.col("_parts.values").alias("values")))
                 .drop("_vector", "_parts"))
 
+    @cached_property
+    def _at_hand(self) -> Broadcast:
+        """({term: idx}, idf), at most max_features of them."""
+        return self.vocabulary.sparkSession.sparkContext.broadcast(({t: i for i, t in enumerate(self.terms)}, self._idf))
+
+    def _in_batches(self, df: DataFrame, text: str, kept: list[str], schema: T.StructType, made: Callable) -> DataFrame:
+        """``made(kept columns, number of rows, row, idx, weight)`` of some rows at a time, for tables that are written whole.
+
+        The weights are those of :meth:`vectors`; words are taken apart once for each task, not for each text.
+        """
+        rule, weights, make, at_once = self.rule, self._at_hand, _batch_counter, ROWS_AT_ONCE
+
+        def run(batches):
+            import numpy as np
+
+            count, (index, idf) = make(rule), weights.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, at_once):
+                    some = batch.slice(at, at_once)
+                    row, term, tf, terms = count(some.column(len(kept)))
+                    used, place = np.unique(term, return_inverse=True)
+                    idx = np.array([index.get(terms[t], -1) for t in used.tolist()], np.int64)[place]
+                    known = idx >= 0
+                    row, idx, tf = row[known], idx[known], tf[known].astype(np.float64)
+                    order = np.lexsort((idx, row))
+                    row, idx, tf = row[order], idx[order], tf[order]
+                    weight = (1.0 + np.log(tf) if rule.sublinear else tf) * idf[idx]
+                    norm = np.sqrt(np.bincount(row, weight * weight, some.num_rows))
+                    yield made(some.columns[:len(kept)], some.num_rows, row, idx, weight / norm[row])
+
+        return df.select(*kept, _words(F.col(text), rule).alias("_words")).mapInArrow(run, schema)
+
+    def written_vectors(self, df: DataFrame, text: str, kept: list[str], output: str = "features") -> DataFrame:
+        """The columns ``kept`` and the vectors of :meth:`vectors`, made in batches."""
+        fields = [df.schema[c] for c in kept]
+        schema = T.StructType([*fields, T.StructField(output, VectorUDT())])
+        size, names = len(self.terms), schema.names
+
+        def made(columns, n, row, idx, weight):
+            import numpy as np
+            import pyarrow as pa
+
+            offsets = pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32())
+            vector = pa.StructArray.from_arrays(
+                [pa.array(np.zeros(n), pa.int8()), pa.array(np.full(n, size), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(idx, pa.int32())),
+                 pa.ListArray.from_arrays(offsets, pa.array(weight, pa.float64()))], ["type", "size", "indices", "values"])
+            return pa.RecordBatch.from_arrays([*columns, vector], names)
+
+        return self._in_batches(df, text, kept, schema, made)
+
     def long(self, df: DataFrame, id_col: str, text: str) -> DataFrame:
         """(id, term, weight): the sparse matrix as a table."""
-        pairs = self.arrays(df.select(id_col, text), text, "_v").select(
-            id_col, F.inline(F.arrays_zip(F.col("_v.indices").alias("idx"), F.col("_v.values").alias("weight"))))
+        schema = T.StructType([df.schema[id_col], T.StructField("idx", T.IntegerType()), T.StructField("weight", T.DoubleType())])
+        names = schema.names
+
+        def made(columns, n, row, idx, weight):
+            import pyarrow as pa
+
+            return pa.RecordBatch.from_arrays([columns[0].take(pa.array(row)), pa.array(idx, pa.int32()), pa.array(weight, pa.float64())], names)
+
+        pairs = self._in_batches(df, text, [id_col], schema, made)
         # The vocabulary is bounded by max_features.
         return pairs.join(F.broadcast(self.vocabulary.select("idx", "term")), "idx").select(id_col, "term", "weight")
 

@@ -7,6 +7,7 @@ raises an error; no class is dropped.
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
@@ -25,6 +26,7 @@ from msgflow.staging import new_path, stage
 
 UNKNOWN_LANGUAGE = "unknown"
 ROWS_PER_TASK = 2_000  # at least, when a model is fitted
+TASKS_PER_CORE = 4     # at most, so that the gradients that meet in an iteration do not grow with the table
 
 
 @dataclass
@@ -100,8 +102,21 @@ def training_vectors(df: DataFrame, text: str, label: str, sizes: dict[str, int]
     if balanced:
         n = sum(sizes.values())
         weight = mapped(F.col(label), {c: n / (len(sizes) * k) for c, k in sizes.items()})
-    rows = features.vectors(df.where(F.col(label).isNotNull()), text)
-    return stage(rows.select("features", target.alias("target"), weight.alias("weight")), "training-vectors")
+    rows = df.where(F.col(label).isNotNull()).select(text, target.alias("target"), weight.alias("weight"))
+    return stage(features.written_vectors(rows, text, ["target", "weight"]).select("features", "target", "weight"), "training-vectors")
+
+
+def sent_home(tasks: int, depth: int) -> int:
+    """How many gradients Spark's tree aggregation over so many tasks leaves for the driver to add up."""
+    scale = max(2, math.ceil(tasks ** (1.0 / depth)))
+    while tasks > scale + math.ceil(tasks / scale):
+        tasks //= scale
+    return tasks
+
+
+def aggregation_depth(tasks: int) -> int:
+    """The least depth that sends the fewest gradients, each a dense matrix, to the driver in an iteration."""
+    return min(range(2, 9), key=lambda depth: (sent_home(tasks, depth), depth))
 
 
 def fit_linear(vectors: DataFrame, c: float, max_iter: int = 1000, tol: float = 1e-4) -> LogisticRegressionModel:
@@ -111,11 +126,13 @@ def fit_linear(vectors: DataFrame, c: float, max_iter: int = 1000, tol: float =
     """
     rows, total = vectors.agg(F.count("*"), F.sum("weight")).first()
     # Every iteration is a job: a small table in few partitions saves most of its cost.
-    vectors = vectors.coalesce(min(vectors.rdd.getNumPartitions(), rows // ROWS_PER_TASK + 1))
+    spread = vectors.sparkSession.sparkContext.defaultParallelism * TASKS_PER_CORE
+    tasks = min(vectors.rdd.getNumPartitions(), rows // ROWS_PER_TASK + 1, spread)
+    vectors = vectors.coalesce(tasks)
     model = LogisticRegression(
         featuresCol="features", labelCol="target", weightCol="weight", family="multinomial",
         regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False,
-        maxIter=max_iter, tol=tol,
+        maxIter=max_iter, tol=tol, aggregationDepth=aggregation_depth(tasks),
     ).fit(vectors)
     # Read back, the model no longer drags its training summary into every task.
     path = new_path(vectors.sparkSession, "fitted")
@@ -164,7 +181,7 @@ def train_sentiment(train: DataFrame, val: DataFrame, text: str = "text", label:
     sizes = class_sizes(train, label)
     features = TfIdf.fit(train, text, SENTIMENT_TERMS)
     vectors = training_vectors(train, text, label, sizes, features, balanced=True)
-    held = stage(features.vectors(val, text).select("features", label), "validation-vectors")
+    held = stage(features.written_vectors(val, text, [label]).select("features", label), "validation-vectors")
 
     def candidate(c: float) -> tuple[TextClassifier, dict]:
         fitted = TextClassifier(features, list(sizes), fit_linear(vectors, c))

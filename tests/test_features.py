@@ -101,3 +101,33 @@ def test_a_hot_term_is_no_key_of_the_join(spark):
     light = X.light_terms(X._weighed(rows, X._weights_at_hand(heavy), rest="_light"))
     sizes = sorted(r["count"] for r in light.repartition(16, "idx").groupBy(F.spark_partition_id().alias("task")).count().collect())
     assert len(sizes) == 16 and sizes[-1] <= 2 * sizes[8]
+
+
+@pytest.mark.parametrize("rule", [X.TermRule("char", 3, 60, sublinear=True), X.TermRule("word", 2, 12), X.TermRule("word", 3, 1000)])
+def test_vectors_in_batches_equal_those_of_the_jvm(spark, rule):
+    """Nulls, blanks, white space beyond ASCII, letters beyond 16 bits, words that the vocabulary lacks."""
+    texts = [*TEXTS, None, "  ", "a", "Ünï \x1cX \U0001f600y \U0001f600", "aa aa bb aa_b aa bb"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    fitted = X.TfIdf.fit(df, "text", rule)
+    a = {r.id: r.v for r in fitted.vectors(df, "text", "v").collect()}
+    b = {r.id: r.v for r in fitted.written_vectors(df, "text", ["id"], "v").collect()}
+    assert a.keys() == b.keys() and len(a) == len(texts)
+    for i in a:
+        assert a[i].size == b[i].size and list(a[i].indices) == list(b[i].indices)
+        assert list(a[i].values) == pytest.approx(list(b[i].values), abs=1e-12)
+
+
+@pytest.mark.parametrize("rule", [X.LANGUAGE_TERMS, X.INTENT_TERMS, X.TermRule("word", 3, 10)])
+def test_term_counts_emit_a_term_once_for_each_text(spark, rule):
+    df = spark.createDataFrame([("late " * 500,), ("late again",), (None,)], "text string")
+    grams = {"late": (501, 2)} | ({"la": (501, 2)} if rule.analyzer == "char" else {"late late": (499, 1)})
+    got = {r.term: (r.total, r.n_docs) for r in X.term_counts(df, "text", rule).collect()}
+    assert got.items() >= ({t: n for t, n in grams.items() if rule.analyzer == "word" or len(t) < 4}).items()
+    assert X._counted(df, "text", rule).groupBy("term").count().agg(F.max("count")).first()[0] == 2
+
+
+def test_gradients_sent_to_the_driver_do_not_grow_with_the_tasks():
+    from msgflow.plans import classifiers as K
+
+    assert K.sent_home(360, 2) >= 18  # the depth that Spark takes by itself
+    assert all(K.sent_home(n, K.aggregation_depth(n)) <= 5 for n in range(1, 400))
