@@ -6,8 +6,8 @@ words, card numbers with other separators.  Gradient-boosted trees score each
 candidate by its format and context, and a threshold per kind, calibrated on
 held-out rows, selects those that are added.
 
-No labels are given, so the trees learn from the base spans of a bounded sample
-of documents: each is rewritten in looser ways (no plus sign, "at" and "dot",
+No labels are given, so the trees learn from the base spans of all distinct
+documents: each is rewritten in looser ways (no plus sign, "at" and "dot",
 dots for spaces) where it stands, which makes the positive rows; candidates that
 touch no base span are the negative ones.
 """
@@ -15,6 +15,7 @@ touch no base span are the negative ones.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import re
 import zlib
 
@@ -30,8 +31,6 @@ from msgflow.staging import stage
 
 KINDS = ("email", "ip", "card", "phone")
 
-#: The trees are fitted on the base spans and candidates of at most about twice so many distinct texts, chosen by a hash.
-SAMPLE_DOCUMENTS = 20_000
 #: A threshold is the least score at which so many of the held-out candidates above it are right.
 PRECISION = 0.95
 #: With fewer positive rows to learn from, or fewer held out for a kind, nothing is added.
@@ -200,36 +199,44 @@ def training_rows(text: str) -> list[tuple[list[float], float, str]]:
 # --------------------------------------------------------------------- model
 
 
-def _training_table(docs: DataFrame, text: str, sample: int) -> DataFrame:
+def _training_table(docs: DataFrame, text: str, sample: int | None = None) -> DataFrame:
+    """(x, label, kind, held_out) of every distinct text, or of about ``sample`` to twice as many chosen by a hash.
+
+    Copies are taken out among the rows they teach, so texts are not shuffled.
+    """
     def run(batches):
         for batch in batches:
             for start, stop in pieces(text_column(batch.column(0))):
                 for t in text_column(batch.column(0)).slice(start, stop - start).to_pylist():
                     rows = training_rows(t)
                     if rows:
-                        held = zlib.crc32(t.encode()) % 10 < 3
+                        whole = t.encode()
+                        held, digest = zlib.crc32(whole) % 10 < 3, hashlib.blake2b(whole, digest_size=16).digest()
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows]),
-                             pa.array([r[2] for r in rows]), pa.array([held] * len(rows))], ["x", "label", "kind", "held_out"])
+                             pa.array([r[2] for r in rows]), pa.array([held] * len(rows)), pa.array([digest] * len(rows)),
+                             pa.array(range(len(rows)), pa.int32())], ["x", "label", "kind", "held_out", "digest", "n"])
 
     texts, draw = docs.select(F.coalesce(text, F.lit("")).alias("t")), F.xxhash64("t")
-    step = max(1, texts.select(draw.alias("draw")).distinct().count() // sample)
-    some = texts.where(F.pmod(draw, F.lit(step)) == 0).dropDuplicates(["t"]).sortWithinPartitions("t")
-    return some.mapInArrow(run, "x array<double>, label double, kind string, held_out boolean")
+    if sample is not None:
+        step = max(1, texts.select(draw.alias("draw")).distinct().count() // sample)
+        texts = texts.where(F.pmod(draw, F.lit(step)) == 0)
+    rows = texts.mapInArrow(run, "x array<double>, label double, kind string, held_out boolean, digest binary, n int")
+    return rows.dropDuplicates(["digest", "n"]).sortWithinPartitions("digest", "n").drop("digest", "n")
 
 
-def fit(docs: DataFrame, text: str, sample: int = SAMPLE_DOCUMENTS, precision: float = PRECISION):
+def fit(docs: DataFrame, text: str, sample: int | None = None, precision: float = PRECISION):
     """(model, {kind: threshold}), or (None, {}) where there is too little to learn from.
 
-    From ``sample`` to about twice as many distinct texts are read, chosen by a hash, or all
-    if there are fewer; seven tenths train the trees, the others calibrate the thresholds.
+    Every distinct text is read: seven tenths train the trees, the others calibrate the
+    thresholds. With ``sample``, so many to about twice as many are read, chosen by a hash.
     """
     rows = stage(_training_table(docs, text, sample), "pii-training")
     counts = {r.label: r.n for r in rows.where("not held_out").groupBy("label").agg(F.count("*").alias("n")).collect()}
     if counts.get(1.0, 0) < LEAST_POSITIVE or counts.get(0.0, 0) < 1:
         return None, {}
     vectors = rows.withColumn("features", array_to_vector("x"))
-    model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=7, maxBins=32).fit(vectors.where("not held_out").coalesce(2))
+    model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=7, maxBins=32).fit(vectors.where("not held_out"))
     held = model.transform(vectors.where("held_out")).select("kind", "label", vector_to_array("probability")[1].alias("p"))
     return model, limits(held, precision)
 

@@ -142,3 +142,12 @@ def test_limits_equal_the_plain_version(spark):
     held = pd.DataFrame(rows, columns=["kind", "label", "p"])
     for precision in (0.5, 0.8, 0.95):
         assert pii.limits(spark.createDataFrame(rows, "kind string, label double, p double"), precision) == pii.calibrated(held, precision)
+
+
+def test_every_distinct_text_teaches(spark, monkeypatch):
+    """More texts than the sample once took: none is left out, and copies teach once."""
+    monkeypatch.setattr(pii, "SAMPLE_DOCUMENTS", 5, raising=False)
+    texts = [f"server 10.0.{i // 200}.{i % 200}" for i in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts + texts[:50]], "text string").repartition(4)
+    want = sum(len(pii.training_rows(t)) for t in texts)
+    assert pii._training_table(df, "text").count() == want
