@@ -50,10 +50,14 @@ def _kernel(sparse: bool, k: int) -> tuple[Callable, Callable]:
                                           *[f.astype(np.float64) for f in flat[1:]]]
 
     def index(doc_ids, embeddings, parts=None):
-        """Documents made ready to search; ``parts`` numbers the block of each, from 0."""
+        """Documents made ready to search; ``parts`` numbers the block of each, from 0.
+
+        With ``parts`` so many hits are found that, an id's copies counted once, the k best are among them.
+        """
         import numpy as np
 
         ids = doc_ids.to_numpy().astype(np.int64)
+        copies = 1 if parts is None or not len(ids) else int(np.unique(ids, return_counts=True)[1].max())
         parts = np.zeros(len(ids), np.int32) if parts is None else parts
         n_parts = int(parts.max()) + 1 if len(ids) else 0
         lengths, flat = ragged(embeddings)
@@ -66,7 +70,7 @@ def _kernel(sparse: bool, k: int) -> tuple[Callable, Callable]:
             pieces = list(zip(starts[:-1].tolist(), starts[1:].tolist()))
             centres = np.array([matrix[a:z].mean(0) for a, z in pieces]).reshape(len(pieces), -1)
             far = np.array([np.sqrt(((matrix[a:z] - c) ** 2).sum(1).max()) for (a, z), c in zip(pieces, centres)])
-            return {"ids": ids[order], "matrix": matrix, "part": parts, "n_parts": n_parts, "pieces": pieces, "centres": centres, "far": far}
+            return {"ids": ids[order], "copies": copies, "matrix": matrix, "part": parts, "n_parts": n_parts, "pieces": pieces, "centres": centres, "far": far}
         order = np.argsort(ids, kind="stable")
         place = np.empty(len(ids), dtype=np.int64)
         place[order] = np.arange(len(ids))
@@ -79,7 +83,7 @@ def _kernel(sparse: bool, k: int) -> tuple[Callable, Callable]:
         terms, starts, which = np.unique(term, return_index=True, return_inverse=True)
         by_doc = np.argsort(doc, kind="stable")
         most = np.maximum.reduceat(weight, starts) if len(terms) else np.zeros(0)
-        return {"ids": ids[order], "terms": terms, "starts": np.append(starts, len(term)), "doc": doc.astype(np.int32), "weight": weight,
+        return {"ids": ids[order], "copies": copies, "terms": terms, "starts": np.append(starts, len(term)), "doc": doc.astype(np.int32), "weight": weight,
                 "most": most, "plain": not (weight < 0).any(), "part": parts[order], "n_parts": n_parts,
                 "row_starts": np.searchsorted(doc[by_doc], np.arange(len(ids) + 1)), "row_term": which[by_doc].astype(np.int32), "row_weight": weight[by_doc]}
 
@@ -88,7 +92,7 @@ def _kernel(sparse: bool, k: int) -> tuple[Callable, Callable]:
         import numpy as np
 
         lengths, flat = ragged(embeddings)
-        wide, keep = block["matrix"].shape[1], min(k, len(block["ids"]))
+        wide, keep = block["matrix"].shape[1], min(k * block["copies"], len(block["ids"]))
         if len(lengths) and not (lengths == wide).all():
             raise ValueError(f"A query has {int(lengths[lengths != wide][0])} numbers, the documents have {wide}.")
         every, ids = flat[0].reshape(len(lengths), -1), block["ids"]
@@ -134,7 +138,7 @@ def _kernel(sparse: bool, k: int) -> tuple[Callable, Callable]:
 
         ids, weights, docs, starts = block["ids"], block["weight"], block["doc"], block["starts"]
         n_docs, n_terms = len(ids), len(block["terms"])
-        keep = min(k, n_docs)
+        keep = min(k * block["copies"], n_docs)
         lengths, (term, weight) = ragged(embeddings)
         row = np.repeat(np.arange(len(lengths)), lengths)
         place = np.minimum(np.searchsorted(block["terms"], term), max(n_terms - 1, 0))

@@ -64,7 +64,7 @@ class Blocks:
             met = F.col("doc_id").isNull()  # a row for each query and stripe that counts its blocks
             found = found.observe(cells, F.coalesce(F.sum(F.when(met, F.col("_all"))), F.lit(0)).alias("all"),
                                   F.coalesce(F.sum(F.when(met, F.col("_built"))), F.lit(0)).alias("built"))
-        found = found.where(F.col("doc_id").isNotNull()).select("_row", "doc_id", "similarity_score")
+        found = found.where(F.col("doc_id").isNotNull()).select("_row", "doc_id", "similarity_score").distinct()
         order = Window.partitionBy("_row").orderBy(F.desc("similarity_score"), "doc_id")
         hits = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         return hits.join(rows.select("_row", query_id), "_row").select(query_id, "rank", "doc_id", "similarity_score")

@@ -188,3 +188,14 @@ def test_the_search_runs_once_before_documents_are_fetched(spark):
     hits = spark.createDataFrame([(i, 1, 1, 0.5) for i in range(20)], "query_id long, rank int, doc_id long, similarity_score double").mapInArrow(
         run, "query_id long, rank int, doc_id long, similarity_score double")
     assert R.with_documents(hits, kb).count() == 20 and seen.value == 20
+
+
+@pytest.mark.parametrize("sparse", [True, False])
+def test_copies_of_a_document_count_once_in_blocks(spark, sparse):
+    rng = random.Random(13)
+    docs, queries = vectors(rng, 40, 6), vectors(rng, 10, 6)
+    q, d = frame(spark, queries, "query_id", sparse, 6), frame(spark, docs, "doc_id", sparse, 6)
+    got = {}
+    for r in sorted(R.top_k(q, d.unionByName(d.where("doc_id % 3 = 0")), 4, **BLOCKS).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((r.doc_id, r.similarity_score))
+    assert got == brute(queries, docs, 4)
