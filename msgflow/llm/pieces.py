@@ -34,8 +34,8 @@ _NONE = np.iinfo(np.int64).max
 #: A token of more symbols whose merges have to go one by one leaves the rounds for a queue of its own.
 LONG = 64
 
-#: Distinct tokens that a task remembers; past it the memory starts anew, which changes no result.
-REMEMBERED = 400_000
+#: Distinct tokens that a task remembers, and as many from before; tokens not met meanwhile are forgotten, which changes no result.
+REMEMBERED = 150_000
 
 
 class Tables(NamedTuple):
@@ -190,19 +190,25 @@ class Encoder:
     """Encodes texts, remembering the tokens it has met."""
 
     def __init__(self, tables: Tables, end: bool = True):
-        self.tables, self.known, self.find = tables, {}, re.compile(tables.token).findall
+        self.tables, self.known, self.before, self.find = tables, {}, {}, re.compile(tables.token).findall
         self.end = (tables.end,) if end else ()
+        self.number = list(range(tables.size))  # one object for each id, however many tokens hold it
 
     def tokens(self, texts: list[str]) -> list[list[str]]:
         """The tokens of each text, all of them known from then on."""
         cut = [self.find(SPACE + x.replace(" ", SPACE)) if x else [] for x in texts]
         fresh = set(chain.from_iterable(cut)).difference(self.known)
         if fresh and len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
+            self.known, self.before = {}, self.known
             fresh = set(chain.from_iterable(cut))
-        fresh = list(fresh)
-        for x, ids in zip(fresh, merge_rounds(fresh, self.tables)):
-            self.known[x] = (ids, " ".join(map(str, ids)))
+        new = []
+        for x in fresh:
+            if x in self.before:
+                self.known[x] = self.before[x]
+            else:
+                new.append(x)
+        for x, ids in zip(new, merge_rounds(new, self.tables)):
+            self.known[x] = (tuple([self.number[i] for i in ids]), " ".join(map(str, ids)))
         return cut
 
     def encode(self, texts: list[str]) -> list[list[int]]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from msgflow.llm.words import Words, mixed, pieces, runs_hash, text_column
-from msgflow.staging import stage
+from msgflow.staging import in_small_batches, stage
 
 SPAN = 13
 GRAM = 6
@@ -148,6 +148,7 @@ _HITS = pa.list_(pa.struct([("length", pa.int32()), ("print", pa.int64()), ("pla
                             ("around", pa.list_(pa.int64()))]))
 
 
+@in_small_batches
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
                   share: tuple[int, int] = (1, 20), span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """The columns of ``docs``, without the text, and what the benchmark left in it.

@@ -71,3 +71,16 @@ def test_long_runs_equal_the_library_in_little_time():
     got = pieces.Encoder(tables).encode(texts)
     assert time.monotonic() - start < 30  # a merge a round took a minute for 32,000 spaces
     assert got == [model.encode(t) + [model.eos_id()] for t in texts]
+
+
+def test_common_tokens_stay_in_a_small_memory(library, monkeypatch):
+    """What every text holds is encoded once, whatever else fills the memory, which stays within its bound."""
+    monkeypatch.setattr(pieces, "REMEMBERED", 20)
+    merged, rounds = [], pieces.merge_rounds
+    monkeypatch.setattr(pieces, "merge_rounds", lambda tokens, tables: merged.extend(tokens) or rounds(tokens, tables))
+    own = pieces.Encoder(pieces.read_tables(PATH))
+    for i in range(40):
+        text = f"common words and x{i} y{i} z{i}"
+        assert own.encode([text]) == [library.encode(text) + [library.eos_id()]]
+        assert len(own.known) + len(own.before) <= 40
+    assert merged.count(pieces.SPACE + "common") == 1

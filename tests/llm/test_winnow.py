@@ -2,8 +2,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from msgflow import staging
 from msgflow.llm import winnow
 
 from .helpers import UPPER
@@ -81,3 +84,29 @@ def test_windows_share_a_fingerprint():
         for i in range(max(1, len(hashes) - 7)):
             run = hashes[i:i + 8]
             assert any(i <= k < i + len(run) and hashes[k] == run.min() for k in kept)
+
+
+def test_texts_are_handed_over_in_small_batches(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    def largest(docs):
+        return max(r.n for r in docs.mapInArrow(run, "n long").collect())
+
+    docs = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("ab "), 20_000).alias("text"))
+    assert largest(docs) > 16 << 20
+    assert staging.in_small_batches(largest)(docs) < 5 << 20
+    assert spark.conf.get(setting) == before
+
+
+def test_contamination_uses_small_batches(spark, monkeypatch):
+    setting, met = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before, keep = spark.conf.get(setting), winnow.stage
+    monkeypatch.setattr(winnow, "stage", lambda df, name: met.append(spark.conf.get(setting)) or keep(df, name))
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    winnow.contamination(docs, docs.select(F.col("doc_id").alias("item_id"), "text"))
+    assert met and set(met) == {"4m"} and spark.conf.get(setting) == before

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import pyarrow as pa
 
@@ -34,3 +35,16 @@ def test_slices_and_pieces():
     assert first.tolist() == [0, 1, 3]
     assert hashes[0] == Words(b" ").cut(pa.array(["g"]))[3][0]
     assert Words(b" ").cut(pa.array([], pa.string()))[0].tolist() == [0]
+
+
+def test_a_piece_takes_little_memory():
+    """A task of 2 cores has to share 3 GB with Spark's heap."""
+    column = pa.array(["some words of one text " * 100] * 2000)
+    tracemalloc.start()
+    try:
+        cutter = Words(b" ")
+        for start, stop in pieces(column):
+            cutter.cut(column.slice(start, stop - start))
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()
