@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from msgflow.llm.words import pieces as text_pieces, text_column
+from msgflow.staging import in_small_batches, stage
 
 SPACE = "▁"
 _FREE = 1 << 20  # symbols from here are characters that no piece holds
@@ -236,12 +237,13 @@ def encoded(docs: DataFrame, text: str, model_path: str) -> DataFrame:
     return _mapped(docs, text, model_path, {"ids": "array<int>"}, rows)
 
 
+@in_small_batches
 def digests(docs: DataFrame, text: str, model_path: str) -> DataFrame:
     """The columns of ``docs`` without the text, and n_tokens, ids_sha256 and decoded_sha256.
 
     The ids are those of :func:`encoded`; ``ids_sha256`` is over the decimal ids
     joined by one space, ``decoded_sha256`` over the UTF-8 text that the library's
-    ``decode`` makes of them.
+    ``decode`` makes of them.  The table is staged, so that texts come in small batches.
     """
 
     def rows(encoder, model, texts):
@@ -252,7 +254,7 @@ def digests(docs: DataFrame, text: str, model_path: str) -> DataFrame:
             text_sha.append(hashlib.sha256(model.decode(ids).encode()).hexdigest())
         return [pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
 
-    return _mapped(docs, text, model_path, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, rows)
+    return stage(_mapped(docs, text, model_path, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, rows), "digests")
 
 
 def _mapped(docs, text, model_path, added, rows):

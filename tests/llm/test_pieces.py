@@ -84,3 +84,12 @@ def test_common_tokens_stay_in_a_small_memory(library, monkeypatch):
         assert own.encode([text]) == [library.encode(text) + [library.eos_id()]]
         assert len(own.known) + len(own.before) <= 40
     assert merged.count(pieces.SPACE + "common") == 1
+
+
+def test_digests_take_texts_in_small_batches(spark, monkeypatch):
+    setting, met = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before, keep = spark.conf.get(setting), pieces.stage
+    monkeypatch.setattr(pieces, "stage", lambda df, name: met.append(spark.conf.get(setting)) or keep(df, name))
+    df = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    assert pieces.digests(df, "text", PATH).count() == 1
+    assert met == ["4m"] and spark.conf.get(setting) == before
