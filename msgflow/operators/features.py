@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -17,7 +16,8 @@ from msgflow.functions.terms import char_terms, once, sparse_vector, vector_part
 from msgflow.staging import stage
 
 LOCAL_TERMS = 1 << 22  # weights (16 bytes each) that every executor may hold
-ROWS_AT_ONCE = 512     # rows whose terms a task counts at a time
+ROWS_AT_ONCE = 4096    # rows whose terms a task counts at a time
+CHARS_AT_ONCE = 1 << 19  # bytes of texts whose n-grams a task counts at a time, or one text if that is longer
 HEAVY = 256            # a term is hot if it makes up this part of all or more, so there are at most so many
 
 
@@ -48,116 +48,110 @@ SENTIMENT_TERMS = TermRule("word", max_n=2, max_features=20_000, min_df=2)
 def term_counts(df: DataFrame, text: str, rule: TermRule) -> DataFrame:
     """(term, total, n_docs) over the corpus.
 
-    Each row emits its distinct terms with their counts, so one map-side aggregation
+    Each task adds up some texts at a time, so one map-side aggregation of few rows
     serves both and neither texts nor (document, term) pairs are shuffled.
     """
     counted = _counted(df, text, rule)
-    return counted.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("n_docs"))
+    return counted.groupBy("term").agg(F.sum("tf").alias("total"), (F.count("*") + F.sum("more")).alias("n_docs"))
 
 
-def _batch_counter(rule: TermRule) -> Callable:
-    """words of each row -> (row, term, count) arrays by row, and the terms by number; for a task, so that a word is taken apart once.
+def _batch_counter(rule: TermRule, index: dict | None = None) -> Callable:
+    """words of each row -> (first row, number of rows, row, term, count, names) of some rows at a time, by row and term.
 
-    ``words`` is a list column of tokens ("word") or a lowered text ("char"; Python splits at the
-    white space that ``collapse_spaces`` knows). The counts are those of :meth:`TermRule.terms`.
+    ``words`` is a list column of tokens ("word") or a lowered text ("char"; white space is what
+    Python's ``split`` and ``collapse_spaces`` know). The counts are those of :meth:`TermRule.terms`.
+    A term is a place in ``names``, the terms met; with an ``index`` {term: number} other terms are
+    left out and ``names`` holds the numbers, ascending.
     """
-    n_grams, chars, most_known, cells = rule.max_n, rule.analyzer == "char", 1 << 18, 1 << 21
-    known: dict = {}          # word -> number
-    terms: list = []          # terms by number
-    number: dict = {}         # term -> number
-    grams: list = []          # char: of each word its (numbers, counts)
-
-    def taken_apart(word):
-        padded, found = f" {word} ", {}
-        for n in range(1, n_grams + 1):
-            for i in range(len(padded) - n + 1):
-                found[padded[i:i + n]] = found.get(padded[i:i + n], 0) + 1
-        for t in found:
-            if t not in number:
-                number[t] = len(terms)
-                terms.append(t)
-        return [number[t] for t in found], list(found.values())
-
-    def distinct(row, key, times, n_rows):
-        """Counts of the distinct pairs of row and key."""
-        import numpy as np
+    n_grams, chars, cells, at_once = rule.max_n, rule.analyzer == "char", 1 << 22, CHARS_AT_ONCE
+    table = np.zeros(0x110000, np.int32)  # code points to places in the alphabet of some rows
+    white = np.array([chr(i).isspace() for i in range(0x3001)])
 
-        wide = int(key.max()) + 1 if len(key) else 1
-        both = row * wide + key
-        if 16 * len(both) < n_rows * wide or n_rows * wide > 8 * cells:
-            order = np.argsort(both, kind="stable")
-            both = both[order]
+    def distinct(row, key, n_rows, wide):
+        """Counts of the distinct pairs of row and key."""
+        both = row.astype(np.int64) * wide + key
+        if 16 * len(both) < n_rows * wide or n_rows * wide > 4 * cells:
+            both.sort()
             first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
-            both, tf = both[first], np.add.reduceat(times[order], first) if len(first) else np.zeros(0, np.int64)
+            both, tf = both[first], np.diff(np.r_[first, len(both)])
         else:
-            tf = np.bincount(both, times, n_rows * wide)
+            tf = np.bincount(both, minlength=n_rows * wide)
             both = np.flatnonzero(tf)
-            tf = tf[both].astype(np.int64)
+            tf = tf[both]
         return both // wide, both % wide, tf
 
-    def count(words):
-        import numpy as np
+    def numbered(key, space):
+        """(the distinct keys, the place of each key among them)"""
+        if space > max(cells, 8 * len(key)):
+            return np.unique(key, return_inverse=True)
+        seen = np.zeros(space, bool)
+        seen[key] = True
+        keys = np.flatnonzero(seen)
+        place = np.empty(space, np.int32)
+        place[keys] = np.arange(len(keys), dtype=np.int32)
+        return keys, place[key]
+
+    def grams(code, group, row, names, space):
+        """Runs of neighbours in one group: a run of n is numbered by the run before and the one after it."""
+        rows, keys, every, run, last = [row], [code], list(names), code.copy(), names
+        for n in range(2, n_grams + 1):
+            at = np.flatnonzero(group[n - 1:] == group[:max(0, len(group) - n + 1)])
+            found, own = numbered(run[at].astype(np.int64) * len(names) + code[at + n - 1], max(1, len(last) * len(names)))
+            before, after = (found // max(1, len(names))).tolist(), (found % max(1, len(names))).tolist()
+            last = [f"{last[a]}{space}{names[b]}" for a, b in zip(before, after)]
+            run[at] = own
+            rows.append(row[at])
+            keys.append(own + len(every))
+            every += last
+        return np.concatenate(rows), np.concatenate(keys), every
+
+    def counted(row, key, names, n_rows):
+        if index is not None:
+            number = np.array([index.get(t, -1) for t in names], np.int64)
+            names = np.unique(number[number >= 0])
+            place = np.where(number >= 0, np.searchsorted(names, number), -1)
+            key = place[key] if len(place) else key
+            row, key = row[key >= 0], key[key >= 0]
+        return (*distinct(row, key, n_rows, max(1, len(names))), names)
+
+    def of_words(words):
+        import pyarrow.compute as pc
+
+        lengths = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = pc.list_flatten(words).dictionary_encode()
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        yield 0, len(lengths), *counted(*grams(code, row, row, coded.dictionary.to_pylist(), " "), len(lengths))
+
+    def of_chars(texts):
+        import pyarrow as pa
 
-        if len(number) + len(known) > most_known:  # what a task holds is bounded; the numbers are used for one batch only
-            known.clear(), number.clear(), terms.clear(), grams.clear()
-        if not chars:
-            lengths = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            coded = words.flatten().dictionary_encode()
-            for w in (listed := coded.dictionary.to_pylist()):
-                if w not in known:
-                    known[w] = number[w] = len(terms)
-                    terms.append(w)
-            word = np.array([known[w] for w in listed], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if listed else np.zeros(0, np.int64)
-            return ngrams(word, np.repeat(np.arange(len(lengths)), lengths), len(lengths))
-        n_rows, word, times, sizes = len(words), [], [], []
-        for t in words.to_pylist():
-            found = Counter(t.split())
-            for w in found:
-                if w not in known:
-                    known[w] = len(known)
-                    grams.append(tuple(np.array(x, np.int64) for x in taken_apart(w)))
-            word += [known[w] for w in found]
-            times += found.values()
-            sizes.append(len(found))
-        row, word, times = np.repeat(np.arange(n_rows), sizes), np.array(word, np.int64), np.array(times, np.int64)
-        used, place = np.unique(word, return_inverse=True)
-        sizes = np.array([len(grams[w][0]) for w in used], np.int64)
-        begin = np.cumsum(sizes) - sizes
-        term = np.concatenate([grams[w][0] for w in used] or [np.zeros(0, np.int64)])
-        tf = np.concatenate([grams[w][1] for w in used] or [np.zeros(0, np.int64)])
-        made, at, step = [], 0, max(1, cells // max(1, len(terms)))
-        edges = np.searchsorted(row, np.arange(n_rows + 1))
-        while at < n_rows:
-            stop = min(at + step, n_rows)
-            some = slice(edges[at], edges[stop])
-            n = sizes[place[some]]
-            which = np.repeat(begin[place[some]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            r, t, c = distinct(np.repeat(row[some] - at, n), term[which], tf[which] * np.repeat(times[some], n), stop - at)
-            made.append((r + at, t, c))
+        texts = texts.cast(pa.large_string()).fill_null("")
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + at_once, side="right")) - 1)
+            plain = texts.buffers()[2][ends[at]:ends[stop]].to_pybytes() if ends[stop] > ends[at] else b""
+            begins = np.r_[0, np.cumsum((np.frombuffer(plain, np.uint8) & 0xC0) != 0x80)][ends[at:stop + 1] - ends[at]]
+            point = np.frombuffer(plain.decode().encode("utf-32-le"), np.uint32)
+            place = np.flatnonzero(~white[np.minimum(point, len(white) - 1)] | (point >= len(white)))
+            point, row = point[place], np.repeat(np.arange(stop - at), np.diff(begins))[place]
+            first = np.ones(len(place), bool)
+            first[1:] = (place[1:] != place[:-1] + 1) | (row[1:] != row[:-1])
+            word = np.cumsum(first) - 1
+            n_words = int(word[-1]) + 1 if len(word) else 0
+            letters = np.flatnonzero(np.bincount(point)) if len(point) else np.zeros(0, np.int64)
+            table[letters] = np.arange(1, len(letters) + 1)
+            code = np.zeros(len(point) + 2 * n_words, np.int64)  # every word with a space on each side
+            code[np.arange(len(point)) + 2 * word + 1] = table[point]
+            sizes = np.diff(np.r_[np.flatnonzero(first), len(point)]) + 2
+            group = np.repeat(np.arange(n_words), sizes)
+            row = np.repeat(row[first], sizes)
+            names = [" ", *map(chr, letters.tolist())]
+            yield at, stop - at, *counted(*grams(code, group, row, names, ""), stop - at)
             at = stop
-        made = made or [(np.zeros(0, np.int64),) * 3]
-        return (*(np.concatenate(x) for x in zip(*made)), terms)
-
-    def ngrams(word, row, n_rows):
-        """Words and their neighbours: a run of n words is numbered by the run before and the word after it."""
-        import numpy as np
 
-        names, rows, keys, run, shift = list(terms), [row], [word], word, len(terms)
-        for n in range(2, n_grams + 1):
-            inside = row[n - 1:] == row[:max(0, len(row) - n + 1)]
-            pair = run[:len(inside)][inside] * (len(terms) + 1) + word[n - 1:][inside]
-            pairs, own = np.unique(pair, return_inverse=True)
-            before = names[shift - len(terms):] if n == 2 else last
-            last = [f"{before[p // (len(terms) + 1)]} {terms[p % (len(terms) + 1)]}" for p in pairs.tolist()]
-            run = np.full(len(inside), -1)
-            run[inside] = own
-            rows.append(row[:len(inside)][inside])
-            keys.append(own + shift)
-            names, shift = names + last, shift + len(last)
-        row, key = np.concatenate(rows), np.concatenate(keys)
-        return (*distinct(row, key, np.ones(len(key), np.int64), n_rows), names)
-
-    return count
+    return of_chars if chars else of_words
 
 
 def _words(text: Column, rule: TermRule) -> Column:
@@ -166,8 +160,8 @@ def _words(text: Column, rule: TermRule) -> Column:
 
 
 def _counted(df: DataFrame, text: str, rule: TermRule) -> DataFrame:
-    """(term, tf): every distinct term of every row."""
-    make, names = _batch_counter, ["term", "tf"]
+    """(term, tf, more): a row stands for the first of some texts that hold the term, and for ``more`` others."""
+    make, names = _batch_counter, ["term", "tf", "more"]
 
     def run(batches):
         import pyarrow as pa
@@ -175,18 +169,12 @@ def _counted(df: DataFrame, text: str, rule: TermRule) -> DataFrame:
         count = make(rule)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                _, term, tf, terms = count(batch.column(0).slice(at, ROWS_AT_ONCE))
-                yield pa.RecordBatch.from_arrays([_named(term, terms), pa.array(tf, pa.int64())], names)
-
-    return df.select(_words(F.col(text), rule).alias("_words")).mapInArrow(run, "term string, tf long")
-
-
-def _named(term, terms):
-    """The terms of an array of their numbers."""
-    import pyarrow as pa
+                for _, _, _, term, tf, terms in count(batch.column(0).slice(at, ROWS_AT_ONCE)):
+                    total, n = np.bincount(term, tf, len(terms)).astype(np.int64), np.bincount(term, minlength=len(terms))
+                    met = pa.array(n > 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t).filter(met) for x, t in ((terms, pa.string()), (total, pa.int64()), (n - 1, pa.int64()))], names)
 
-    used, place = np.unique(term, return_inverse=True)
-    return pa.array([terms[t] for t in used.tolist()], pa.string()).take(pa.array(place))
+    return df.select(_words(F.col(text), rule).alias("_words")).mapInArrow(run, "term string, tf long, more long")
 
 
 def fit_terms(df: DataFrame, text: str, rule: TermRule, n_rows: int | None = None) -> DataFrame:
@@ -214,8 +202,6 @@ class TfIdf:
         if not rows:
             raise ValueError("Empty vocabulary: no term passes min_df.")
         self.terms = [r["term"] for r in rows]
-        # Built once: handing the terms over to the JVM costs more than planning with them.
-        self._counter = CountVectorizerModel.from_vocabulary(self.terms, inputCol="_terms", outputCol="_counts")
         self._idf = np.array([r["idf"] for r in rows])
         self._weigher = ElementwiseProduct(scalingVec=Vectors.dense(self._idf), inputCol="_counts", outputCol="_weighted")
 
@@ -223,6 +209,17 @@ class TfIdf:
     def fit(cls, df: DataFrame, text: str, rule: TermRule, n_rows: int | None = None) -> TfIdf:
         return cls(rule, fit_terms(df, text, rule, n_rows))
 
+    @cached_property
+    def _counter(self) -> CountVectorizerModel:
+        """Built once; the terms go to the JVM as one text, which is as ``from_vocabulary`` but not with a call for each term."""
+        context = self.vocabulary.sparkSession.sparkContext
+        met = set("".join(self.terms))
+        between = next(c for c in map(chr, range(0xE000, 0x110000)) if c not in met)
+        terms = context._jvm.java.util.regex.Pattern.compile(between).split(between.join(self.terms), -1)
+        model = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", terms)
+        model.setInputCol("_terms").setOutputCol("_counts")
+        return model._set(vocabSize=len(self.terms))
+
     def vectors(self, df: DataFrame, text: str, output: str = "features") -> DataFrame:
         """Add the TF-IDF vector (Spark ML, sparse, L2 norm 1 or no terms at all)."""
         out = self._counter.transform(df.withColumn("_terms", self.rule.terms(F.col(text))))
@@ -253,22 +250,16 @@ class TfIdf:
         rule, weights, make, at_once = self.rule, self._at_hand, _batch_counter, ROWS_AT_ONCE
 
         def run(batches):
-            import numpy as np
-
-            count, (index, idf) = make(rule), weights.value
+            index, idf = weights.value
+            count = make(rule, index)
             for batch in batches:
                 for at in range(0, batch.num_rows, at_once):
                     some = batch.slice(at, at_once)
-                    row, term, tf, terms = count(some.column(len(kept)))
-                    used, place = np.unique(term, return_inverse=True)
-                    idx = np.array([index.get(terms[t], -1) for t in used.tolist()], np.int64)[place]
-                    known = idx >= 0
-                    row, idx, tf = row[known], idx[known], tf[known].astype(np.float64)
-                    order = np.lexsort((idx, row))
-                    row, idx, tf = row[order], idx[order], tf[order]
-                    weight = (1.0 + np.log(tf) if rule.sublinear else tf) * idf[idx]
-                    norm = np.sqrt(np.bincount(row, weight * weight, some.num_rows))
-                    yield made(some.columns[:len(kept)], some.num_rows, row, idx, weight / norm[row])
+                    for first, n, row, idx, tf, numbers in count(some.column(len(kept))):
+                        idx = numbers[idx]
+                        weight = (1.0 + np.log(tf) if rule.sublinear else tf) * idf[idx]
+                        norm = np.sqrt(np.bincount(row, weight * weight, n))
+                        yield made(some.slice(first, n).columns[:len(kept)], n, row, idx, weight / norm[row])
 
         return df.select(*kept, _words(F.col(text), rule).alias("_words")).mapInArrow(run, schema)
 

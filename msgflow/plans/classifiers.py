@@ -8,19 +8,24 @@ raises an error; no class is dropped.
 from __future__ import annotations
 
 import math
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseMatrix, DenseVector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from msgflow.functions.smalltalk import small_talk
 from msgflow.functions.text import clean_intent_text, clean_language_text
 from msgflow.operators import evaluate
 from msgflow.operators.features import (INTENT_TERMS, LANGUAGE_TERMS, SENTIMENT_TERMS, TermRule, TfIdf)
+from msgflow.operators.linear import fit_softmax
 from msgflow.operators.prepare import clean_rows, mapped, short_spans
 from msgflow.staging import new_path, stage
 
@@ -38,13 +43,15 @@ class TextClassifier:
     model: LogisticRegressionModel
 
     def score(self, df: DataFrame, text: str, output: str = "prediction",
-              confidence: str = "confidence", probability: str | None = None) -> DataFrame:
+              confidence: str = "confidence", probability: str | None = None, whole: bool = False) -> DataFrame:
         """Add the most probable class (the first on a tie) and its probability.
 
-        Rows are scored where they are; there is no shuffle and no Python.
+        Rows are scored where they are; there is no shuffle and no Python.  For a ``whole`` table
+        of long texts the vectors are made in batches, many times as fast; then Python has a part in it.
         """
         vector = "_features"
-        return self.score_vectors(self.features.vectors(df, text, vector), vector, output, confidence, probability).drop(vector)
+        rows = self.features.written_vectors(df, text, df.columns, vector) if whole else self.features.vectors(df, text, vector)
+        return self.score_vectors(rows, vector, output, confidence, probability).drop(vector)
 
     def score_vectors(self, df: DataFrame, vector: str, output: str = "prediction",
                       confidence: str = "confidence", probability: str | None = None) -> DataFrame:
@@ -120,22 +127,23 @@ def aggregation_depth(tasks: int) -> int:
 
 
 def fit_linear(vectors: DataFrame, c: float, max_iter: int = 1000, tol: float = 1e-4) -> LogisticRegressionModel:
-    """Minimise c * sum(w * loss) + |coefficients|^2 / 2, intercepts free.
+    """Minimise c * sum(w * loss) + |coefficients|^2 / 2, intercepts free; see :mod:`msgflow.operators.linear`.
 
-    Spark averages the loss over the weights, so the penalty is 1 / (c * sum(w)).
+    The loss is averaged over the weights, so the penalty is 1 / (c * sum(w)).
     """
-    rows, total = vectors.agg(F.count("*"), F.sum("weight")).first()
-    # Every iteration is a job: a small table in few partitions saves most of its cost.
-    spread = vectors.sparkSession.sparkContext.defaultParallelism * TASKS_PER_CORE
+    spark = vectors.sparkSession
+    sums = {int(r["target"]): (r["n"], r["weight"]) for r in vectors.groupBy("target").agg(
+        F.count("*").alias("n"), F.sum("weight").alias("weight")).collect()}  # a row per class
+    rows, weights = sum(n for n, _ in sums.values()), np.array([sums.get(k, (0, 0.0))[1] for k in range(max(sums) + 1)])
+    # Every step is a job: a small table in few partitions saves most of its cost.
+    spread = spark.sparkContext.defaultParallelism * TASKS_PER_CORE
     tasks = min(vectors.rdd.getNumPartitions(), rows // ROWS_PER_TASK + 1, spread)
-    vectors = vectors.coalesce(tasks)
-    model = LogisticRegression(
-        featuresCol="features", labelCol="target", weightCol="weight", family="multinomial",
-        regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False,
-        maxIter=max_iter, tol=tol, aggregationDepth=aggregation_depth(tasks),
-    ).fit(vectors)
-    # Read back, the model no longer drags its training summary into every task.
-    path = new_path(vectors.sparkSession, "fitted")
+    coefficients, intercepts = fit_softmax(vectors.coalesce(tasks), vectors.first()["features"].size, weights,
+                                           1.0 / (c * weights.sum()), max_iter, tol, aggregation_depth(tasks))
+    matrix = DenseMatrix(*coefficients.shape, coefficients.ravel(order="F"))
+    java = [_py2java(spark.sparkContext, x) for x in (matrix, DenseVector(intercepts))]
+    model = spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(f"softmax-{uuid.uuid4().hex}", *java, len(weights), True)
+    path = new_path(spark, "fitted")
     model.write().save(path)
     return LogisticRegressionModel.load(path)
 
@@ -155,14 +163,14 @@ def fit_classifier(df: DataFrame, text: str, label: str, rule: TermRule, c: floa
 
 def language_training_rows(train: DataFrame, id_col: str = "id", text: str = "text",
                            label: str = "label", seed: int = 42) -> DataFrame:
-    """Cleaned rows and, cleaned again, one short span of each."""
-    cleaned = clean_rows(train.select(id_col, text, label), text)
+    """Cleaned rows, staged, and, cleaned again, one short span of each."""
+    cleaned = stage(clean_rows(train.select(id_col, text, label), text), "cleaned-rows")
     spans = clean_rows(short_spans(cleaned, id_col, text, label, seed=seed).select(id_col, text, label), text)
     return cleaned.unionByName(spans)
 
 
 def train_language(train: DataFrame, id_col: str = "id", text: str = "text", label: str = "label") -> TextClassifier:
-    rows = language_training_rows(train, id_col, text, label)
+    rows = stage(language_training_rows(train, id_col, text, label).select(text, label), "language-rows")  # read three times
     return fit_classifier(rows, text, label, LANGUAGE_TERMS, c=10.0)
 
 
@@ -197,16 +205,16 @@ def train_sentiment(train: DataFrame, val: DataFrame, text: str = "text", label:
 def split_accuracy(classifier: TextClassifier, df: DataFrame, text: str, label: str,
                    split: str = "split") -> DataFrame:
     """Accuracy of a fitted model on each split."""
-    return evaluate.accuracy(classifier.score(df, text), label, by=[split])
+    return evaluate.accuracy(classifier.score(df.select(text, label, split), text, whole=True), label, by=[split])
 
 
 # --------------------------------------------------------------- predictions
 
 
-def predict_language(df: DataFrame, classifier: TextClassifier, text: str = "text") -> DataFrame:
+def predict_language(df: DataFrame, classifier: TextClassifier, text: str = "text", whole: bool = False) -> DataFrame:
     """Add language and language_confidence; nothing left after cleaning gives unknown and 0.0."""
     out = df.withColumn("_clean", clean_language_text(F.col(text)))
-    out = classifier.score(out, "_clean", "language", "language_confidence")
+    out = classifier.score(out, "_clean", "language", "language_confidence", whole=whole)
     empty = F.col("_clean") == ""
     return (out.withColumn("language", F.when(empty, UNKNOWN_LANGUAGE).otherwise(F.col("language")))
             .withColumn("language_confidence", F.when(empty, 0.0).otherwise(F.col("language_confidence")))
