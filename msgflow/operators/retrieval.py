@@ -150,6 +150,14 @@ def _kernel(sparse: bool, k: int) -> tuple[Callable, Callable]:
         def postings(first, n):
             return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
+        def add(w, begin, n):
+            """The terms' part of the scores: short lists together, long ones as they lie."""
+            short = n < 256
+            which = postings(begin[short], n[short])
+            np.add.at(scores, docs[which], np.repeat(w[short], n[short]) * weights[which])
+            for x, a, m in zip(w[~short].tolist(), begin[~short].tolist(), n[~short].tolist()):
+                np.add.at(scores, docs[a:a + m], x * weights[a:a + m])
+
         def one(at, w):
             """(documents that may be among the k best, their scores)"""
             begin = starts[at]
@@ -160,33 +168,32 @@ def _kernel(sparse: bool, k: int) -> tuple[Callable, Callable]:
             plain = block["plain"] and not (w < 0).any()
             rest = np.append(np.cumsum((w * block["most"][at])[::-1])[::-1], 0.0)  # what the terms from here on can add
             scores.fill(0.0)
-            a, some = 0, None
+            a, early, least = 0, docs[:0], -np.inf
             while a < len(at):
                 z = max(a + 1, int(np.searchsorted(cost, max(256, 4 * cost[a - 1] if a else 0), side="right")))
-                which = postings(begin[a:z], n[a:z])
-                np.add.at(scores, docs[which], np.repeat(w[a:z], n[a:z]) * weights[which])
+                add(w[a:z], begin[a:z], n[a:z])
                 a = z
-                if not plain or a >= len(at):
-                    continue
-                some = np.flatnonzero(scores)
-                if len(some) < keep:
+                if len(early) < keep:  # documents of the rarest terms: the k-th best of them is a bound for the k-th best of all
+                    early = np.unique(np.concatenate([early, *[docs[x:x + min(m, 256 + keep)] for x, m in zip(begin[:z][::-1][:32], n[:z][::-1][:32])]]))
+                if len(early) < keep:
                     continue
-                reached = scores[some]
-                least = np.partition(reached, len(some) - keep)[len(some) - keep] - slack
-                if rest[a] >= least:
+                reached = scores[early]
+                least = np.partition(reached, len(early) - keep)[len(early) - keep] - slack
+                if not plain or a >= len(at) or rest[a] >= least:
                     continue
-                some = some[reached + rest[a] >= least]
+                some = np.flatnonzero(scores >= least - rest[a])
                 sizes = block["row_starts"][some + 1] - block["row_starts"][some]
                 if 2 * int(sizes.sum()) > cost[-1] - cost[a - 1]:
                     continue  # the other terms cost less than these documents
-                some = np.union1d(some, pads)
-                sizes = block["row_starts"][some + 1] - block["row_starts"][some]
                 which = postings(block["row_starts"][some], sizes)
                 np.add.at(of_term, at, w)
                 value = np.bincount(np.repeat(np.arange(len(some)), sizes), of_term[block["row_term"][which]] * block["row_weight"][which], len(some))
                 of_term[at] = 0.0
                 return some, value
-            some = np.union1d(np.flatnonzero(scores), pads) if plain else np.arange(n_docs)
+            if plain and least <= 0:  # documents without any of the terms may be among the best
+                some = np.union1d(np.flatnonzero(scores), pads)
+            else:
+                some = np.flatnonzero(scores >= least)
             return some, scores[some]
 
         for i in range(len(lengths)):
